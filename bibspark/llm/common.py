@@ -6,6 +6,7 @@ Lineage is cut only by reliable checkpoints in the folder that the cluster names
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -39,6 +40,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more, instead of holding them until memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """Identifies a row by what it holds. Repeated rows (same id, same text) share it, and every operator treats such rows alike."""
     return F.xxhash64(F.col(id_col), F.col(text_col), F.length(text_col))

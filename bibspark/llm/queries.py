@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secrets, simhash, tokens
+from . import decontaminate, langid, lines, mixing, pii, quality, secrets, simhash, tokens
 from .common import read
 
 
@@ -26,8 +26,38 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(read(spark, sf_dir, "documents"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_counts(read(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_token_counts, op3_simhash_near_dedup, op4_pii_pseudonyms)
+    own = (
+        op1_secret_scan,
+        op2_token_counts,
+        op3_simhash_near_dedup,
+        op4_pii_pseudonyms,
+        op5_source_mixing,
+        op6_language_id,
+        op8_line_dedup,
+        op9_decontamination,
+        op10_quality_rules,
+    )
     return {f.__name__: f for f in own}
 
 
