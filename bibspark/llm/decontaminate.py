@@ -17,7 +17,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import filled, text_slices
 
@@ -270,20 +272,27 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[int]:
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with the words of all removal spans cut out of the texts (n_chars follows, where there is such a column); clean rows are unchanged."""
-    from pyspark.sql import functions as F
+    """``docs`` with the words of all removal spans cut out of the texts (n_chars follows, where there is such a column).
 
-    found = find_leaks(docs.withColumns({"__own": F.struct(*docs.columns)}), benchmark, keep=("text", "__own"))
+    A document of which no word is left goes; clean rows are unchanged.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("own"), "text")
+    found = find_leaks(packed, benchmark, id_col="own", keep=("text",)).filter("n_hit = 0 or n_hit < n_words").select("own", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cut_words(t, s) if s else t for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["__own", "__cut"])
-
-    own = docs.schema
-    shown = found.select("__own", "text", "spans").mapInArrow(cut, f"__own {own.simpleString()}, __cut string")
-    fresh = {"text": F.col("__cut"), "n_chars": F.length("__cut").cast("long")}
-    return shown.select(*(fresh[c].alias(c) if c in fresh else F.col(f"__own.`{c}`").alias(c) for c in docs.columns))
+            texts, spans = batch.column(1), batch.column(2).to_pylist()
+            hit = [i for i, s in enumerate(spans) if s]
+            if hit:
+                mask = np.zeros(len(spans), bool)
+                mask[hit] = True
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([cut_words(texts[i].as_py(), spans[i]) for i in hit], texts.type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["own", "text"])
+
+    shown = found.mapInArrow(cut, found.select("own", "text").schema)
+    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return shown.select(*(fresh[c].alias(c) if c in fresh else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
 
 
 def cut_words(text: str, spans: str) -> str:

@@ -267,3 +267,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
     return met.select(id_col, *keep, text_col, "__stay").mapInArrow(cut, f"{kinds}, `{text_col}` string, n_lines long, n_dropped long")
+
+
+def drop_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` (all columns) with texts from dedup_lines(); n_chars follows, where there is such a column. A document that had words and has none left goes."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in others)).alias("own") if others else F.lit(0).alias("own"))
+    found = dedup_lines(packed, keep=("own",)).filter((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    fresh = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.when(F.col("n_dropped") == 0, F.col("own.n_chars")).otherwise(F.length("text").cast("long")) if "n_chars" in others else F.lit(None)}
+    return found.select(*(fresh[c].alias(c) if c in fresh else F.col(f"own.`{c}`").alias(c) for c in docs.columns))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, lines, mixing, pii, quality, secrets, simhash, tokens
+from . import decontaminate, langid, lines, mixing, pii, quality, secrets, simhash, suffix, tokens
 from .common import read
 
 
@@ -34,6 +34,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_substrings(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_pii_pseudonyms,
         op5_source_mixing,
         op6_language_id,
+        op7_suffix_dedup,
         op8_line_dedup,
         op9_decontamination,
         op10_quality_rules,

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, filled
+from .common import checkpointed, filled, row_key
 from .graph import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
@@ -176,7 +176,7 @@ def links(nodes: DataFrame, groups: int = GROUPS, chunk: int = CHUNK) -> DataFra
 
 # ---------------------------------------------------------------- operator
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), groups: int = GROUPS, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: id, ``keep``..., fingerprint (16 hex digits), component_id (least id reachable by links of at most 3 bits).
+    """One row per document: id, ``keep``..., fingerprint (16 hex digits), component_id (least id reachable by links of at most 3 bits), root (a number of the component).
 
     Wordless documents have fingerprint zero and link like any other. Repeated rows share a component. A null id never names a component
     that has another id. An empty table gives no rows.
@@ -186,6 +186,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(nodes, groups, chunk))
     named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(roots, "root").select(F.col("fp").alias("__fp"), "component_id")
+    by_fp = named.join(roots, "root").select(F.col("fp").alias("__fp"), "component_id", "root")
     out = own.join(by_fp, F.col("fp") == F.col("__fp"))
-    return out.select(id_col, *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select(id_col, *keep, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` (all columns) per component: that of the least id (null ids last), of several the one with the least row hash; repeated rows stay once."""
+    keyed = docs.select("*", row_key("doc_id", "text").alias("__row"))
+    found = near_duplicates(keyed, keep=("__row",))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("b"))
+    best = best.select(F.col("b.doc_id").alias("__best"), F.col("b.__row").alias("__key"))
+    kept = keyed.join(best, (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__best")), "left_semi")
+    return kept.dropDuplicates(["__row", "doc_id"]).drop("__row")
