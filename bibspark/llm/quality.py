@@ -21,7 +21,7 @@ WINDOW, LEAST_WORDS, MOST_REPEATS = 5, 10, 20
 #: A threshold lies FENCE spreads (upper quartile less lower quartile, one thousandth at least) beyond the quartile, but never inside the floor.
 FEATURES: tuple[tuple[str, str, str, int], ...] = (
     ("symbols", "n_symbols * 1000 div n_words", "high", 200),
-    ("repeats", "n_repeat_words * 1000 div n_words", "high", 100),
+    ("repeats", "n_repeat_words * 1000 div n_words", "high", 200),
     ("dup_lines", "n_dup_lines * 1000 div n_words", "high", 100),
     ("long_words", "word_chars * 1000 div n_words", "high", 9000),
     ("short_words", "word_chars * 1000 div n_words", "low", 2500),
