@@ -32,8 +32,10 @@ from .common import bytes_of, checkpointed, filled, release, row_key, text_slice
 LENGTH = 200
 #: Bytes of an anchor; the least of LENGTH - GRAM + 1 hashes is the anchor of a window.
 GRAM = 32
-#: Different contexts of one anchor up to which they are gathered; bytes of one sorted shard; suffixes that queues hold in memory.
-MOST_CONTEXTS, SHARD_BYTES, QUEUED = 512, 4 << 20, 1 << 22
+#: Bytes of one sorted shard; suffixes that queues hold in memory.
+SHARD_BYTES, QUEUED = 4 << 20, 1 << 22
+#: Different contexts of one anchor up to which they are gathered: about 5 MB of text, one shard.
+MOST_CONTEXTS = 1 << 14
 BLOCK_BYTES = 1 << 20
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -413,6 +415,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null texts are empty; texts under ``length`` bytes are never touched. Repeated rows (same id and text) repeat each other and come out alike.
     """
     windows = repeated_windows(docs, id_col, text_col, length, **options)
+    release(docs.sparkSession)  # of all that led to the windows only these are needed from here on
     held = windows.groupBy("id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans")).withColumnsRenamed({"id": "__id", "row": "__row"})
     own = docs.select(id_col, *keep, row_key(id_col, text_col).alias("__key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__t"))
     met = own.join(held, (F.col("__key") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
