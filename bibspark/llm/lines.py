@@ -67,18 +67,6 @@ class Lines:
         """Hash of words a..b (end exclusive, absolute places), equal for equal words wherever they stand."""
         return (self.sum[b] - self.sum[a]) * self.inverse[a]
 
-    def segments(self) -> list[np.ndarray]:
-        """Four sieve keys per line: first and second half as the shorter (or an equally long) line of a pair, and as the longer one; 0 for none."""
-        keys = []
-        for base, tag in ((self.n, 1), (self.n - 1, 1)):
-            half, fits = base // 2, base >= NEAR_WORDS
-            end = self.start + self.n
-            first = self.range(self.start, np.where(fits, self.start + half, self.start))
-            second = self.range(np.where(fits, end - (base - half), end), end)
-            mark = base.astype(np.uint64) << np.uint64(2)
-            keys += [np.where(fits, _mix(first ^ _mix(mark | np.uint64(1))), np.uint64(0)), np.where(fits, _mix(second ^ _mix(mark | np.uint64(2))), np.uint64(0))]
-        return keys
-
     def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, line number, whole): keys of lines, of their one-word deletions, and of deletions with their place."""
         line = np.repeat(np.arange(len(self.n)), self.n)
@@ -119,35 +107,32 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        from xxhash import xxh3_64_digest, xxh3_128_digest
+
+        def halves(words: list[bytes], base: int) -> bytes:
+            """Keys of the first and the second half, as a line of ``base`` words sees them; none for short lines."""
+            if base < NEAR_WORDS:
+                return b"\0" * 16
+            half = base // 2
+            return xxh3_64_digest(b" ".join(words[:half]), 4 * base + 1) + xxh3_64_digest(b" ".join(words[half - base :]), 4 * base + 2)
 
-        cache = _WordHash()
         for batch in batches:
-            texts = filled(batch.column(2))
-            doc, no, lines = [], [], []
-
-            def out(doc=doc, no=no, lines=lines, batch=batch) -> pa.RecordBatch:
-                digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(b" ".join(x)) for x in lines]), ">u8").astype(np.uint64)
-                own = Lines(lines, cache)
-                pick = pa.array(doc, pa.int32())
-                cols = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(no, pa.int64()), _long(own.n), _long(digest[::2]), _long(digest[1::2]), *map(_long, own.segments())]
-                return pa.RecordBatch.from_arrays(cols, ["id", "row", "no", "n", "h1", "h2", "k0", "k1", "k2", "k3"])
-
-            held = 0
-            for i, text in enumerate(texts):
-                for j, line in enumerate(text.as_py().split("\n")):
-                    words = words_of(line)
-                    if len(words) >= LEAST_WORDS:
+            doc, no, size, digests, keys = [], [], [], [], []
+            for i, raw in enumerate(filled(batch.column(2)).cast(pa.large_binary())):
+                for j, line in enumerate(raw.as_py().translate(_LOWER).split(b"\n")):
+                    words = line.split()
+                    n = len(words)
+                    if n >= LEAST_WORDS:
                         doc.append(i)
                         no.append(j)
-                        lines.append(words)
-                        held += len(words)
-                if held >= 1 << 19:
-                    yield out()
-                    doc.clear(), no.clear(), lines.clear()
-                    held = 0
-            if lines:
-                yield out()
+                        size.append(n)
+                        digests.append(xxh3_128_digest(b" ".join(words)))
+                        # as the shorter line of a pair (or an equally long one), and as the longer one
+                        keys.append(halves(words, n) + halves(words, n - 1))
+            pick = pa.array(doc, pa.int32())
+            h, k = (np.frombuffer(b"".join(x), ">i8").astype(np.int64).reshape(-1, m) for x, m in ((digests, 2), (keys, 4)))
+            cols = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(no, pa.int64()), pa.array(size, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in (*h.T, *k.T))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "row", "no", "n", "h1", "h2", "k0", "k1", "k2", "k3"])
 
     keys = ["k0", "k1", "k2", "k3"]
     found = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("t"))
