@@ -208,7 +208,7 @@ def label_field(text: Column, label: str) -> Column:
 def meta_parts(text: Column) -> tuple[Column, Column, Column]:
     """(author, publisher, publish_date) of a text with parts between slashes: four digits make a date and a publisher's word a publisher (the
     last of each counts), the first other part is the author."""
-    parts = F.filter(F.transform(F.split(text, "/"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, "/"), lambda p: F.trim(p)), lambda p: p != "")
     date = lambda p: p.rlike("^[0-9]{4}")
     house = lambda p: p.rlike("出版社|出版|Publish")
     pick = lambda rule, at: F.coalesce(F.try_element_at(F.filter(parts, rule), F.lit(at)), F.lit(""))

@@ -33,4 +33,4 @@ def merge_from_source(books: DataFrame, source: DataFrame, key: str = "ord", fie
 
 def tags_of(text: Column) -> Column:
     """Comma-separated tags, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
