@@ -39,9 +39,9 @@ def group_details(groups: DataFrame, members: DataFrame) -> DataFrame:
     return groups.join(per, "group_id")
 
 
-def compare_view(members: DataFrame) -> DataFrame:
+def compare_view(ranked_members: DataFrame) -> DataFrame:
     """Ranked members of each group with scores and reasons."""
-    own = recommend.ranked(recommend.scored(members)).withColumn("keep_reasons", recommend.keep_reasons())
+    own = ranked_members.withColumn("keep_reasons", recommend.keep_reasons())
     preview = F.substring(F.coalesce("text_preview", F.lit("")), 1, 300)
     return own.select("group_id", "rank", "ord", "title", "author", "score", "metadata_score", "keep_reasons", human_size(F.col("file_size")).alias("size_text"), preview.alias("preview"))
 
