@@ -25,7 +25,7 @@ from .common import filled, text_slices
 
 #: Fixed value: words of an item's windows.
 WINDOW = 10
-SHARD_BYTES, SAMPLE_RATE = 8 << 20, 8
+SHARD_BYTES, SAMPLE_RATE = 4 << 20, 8
 #: Words of benchmark text in one block of phrases (some tens of MB in a worker).
 BLOCK_WORDS = 400_000
 

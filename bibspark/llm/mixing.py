@@ -3,7 +3,8 @@
 Sizes are words. Every source's target is its weighted share of all words, stopped at MOST times its
 size (water-filling of the excess). A keyed hash permutes a source's documents and deals them into
 BLOCKS blocks; a target is whole passes over all blocks, one partial pass over the first blocks of
-the permutation, and a cut inside the last of these. The blocks drawn are the source's exact quota.
+the permutation, a cut inside the last of these, and a few single documents that fill what the
+cut leaves open. The blocks drawn are the source's exact quota.
 The tree then halves the output shards again and again: at each node the left half's blocks per
 source are drawn from the multivariate hypergeometric distribution, so that every shard gets the
 same number of blocks, every source's quota is met exactly, and every assignment is equally likely.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, count_words, row_key
 
 WEIGHTS, MOST, BLOCKS, SHARDS, SEED = (1, 2, 3), 3, 1024, 64, 20240607
+#: Blocks behind a partial pass whose documents may fill what its cut leaves open, and how many do.
+FILL_BLOCKS, FILL_ROUNDS = 64, 4
 #: Rows of the tree: each source has its own as long as there are no more sources than that, else sources share rows.
 STRATA = 4096
 
@@ -85,29 +88,48 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 def mixing_plan(placed: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(sources, draws). ``placed`` has __source, __size, __h, __block and is cheap to read again.
 
-    sources: __source, source_size, weight, target. draws: __source, __block, pass, shard, cut: the documents of the block go to the shard
-    once, where ``cut`` is given only those with __h <= cut.
+    sources: __source, source_size, weight, target. draws: __source, __block, pass, shard, low, cut: the documents of the block go to the
+    shard once, where ``cut`` is given only those with low <= __h <= cut.
     """
     by_block = checkpointed(placed.groupBy("__source", "__block").agg(F.sum("__size").alias("size")))
     sources = checkpointed(targets(by_block, weights, most))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     met = by_block.join(sources, "__source").withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    order = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed + 2), "__block"), "__block").rowsBetween(Window.unboundedPreceding, 0)
-    met = met.withColumn("upto", F.sum("size").over(order)).withColumn("left", F.col("rest") - (F.col("upto") - F.col("size")))
-    met = checkpointed(met.select("__source", "__block", "stratum", "size", "passes", "left"))
-
-    # the cut inside the block in which the partial pass ends: documents whose middle lies within what is left
-    partial = met.filter((F.col("left") > 0) & (F.col("left") < F.col("size"))).select("__source", "__block", "left")
-    places = placed.select("__source", "__block", "__h", "__size").join(partial, ["__source", "__block"]).groupBy("__source", "__block", "left", "__h").agg(F.sum("__size").alias("s"))
+    order = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed + 2), "__block"), "__block")
+    met = met.withColumns({"upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)), "turn": F.row_number().over(order)}).withColumn("left", F.col("rest") - (F.col("upto") - F.col("size")))
+    met = checkpointed(met.select("__source", "__block", "stratum", "size", "passes", "left", "turn"))
+
+    # the cut inside the block in which the partial pass ends: the longest run of documents that fits
+    partial = met.filter((F.col("left") > 0) & (F.col("left") < F.col("size")))
+    ends = partial.select("__source", F.col("turn").alias("end"), F.col("left").alias("gap"))
+    near = met.join(ends, "__source").filter((F.col("turn") >= F.col("end")) & (F.col("turn") <= F.col("end") + FILL_BLOCKS))
+    near = near.select("__source", "__block", "stratum", "passes", "gap", (F.col("turn") == F.col("end")).alias("last"))
+    places = placed.select("__source", "__block", "__h", "__size").join(near, ["__source", "__block"])
+    places = places.groupBy("__source", "__block", "__h").agg(F.sum("__size").alias("s"), *(F.first(x).alias(x) for x in ("stratum", "passes", "gap", "last")))
     along = Window.partitionBy("__source", "__block").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = places.withColumn("upto", F.sum("s").over(along)).filter(F.col("upto") - F.col("s") / 2 <= F.col("left")).groupBy("__source", "__block").agg(F.max("__h").alias("cut"))
-
+    places = checkpointed(places.withColumn("fits", F.col("last") & (F.sum("s").over(along) <= F.col("gap"))))
+    cuts = places.filter("fits").groupBy("__source", "__block").agg(F.max("__h").alias("cut"))
+
+    # what the cut leaves open is filled with single documents from there on, the one that comes nearest first
+    gaps = places.groupBy("__source").agg((F.max("gap") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("s"))), F.lit(0))).alias("gap"))
+    spare = places.filter("not fits and s > 0").drop("gap", "fits", "last")
+    single = spare.select("__source", "__block", "stratum", "passes", "__h").limit(0)
+    for _ in range(FILL_ROUNDS):
+        fit = F.abs(F.col("gap") - F.col("s")).alias("miss")
+        pick = spare.join(gaps, "__source").filter("s < 2 * gap").groupBy("__source").agg(F.min(F.struct(fit, "s", "__h", "__block", "stratum", "passes")).alias("p"))
+        pick = checkpointed(pick.select("__source", "p.*"))
+        single = single.unionByName(pick.select("__source", "__block", "stratum", "passes", "__h"))
+        gaps = gaps.join(pick.select("__source", "s"), "__source", "left").select("__source", (F.col("gap") - F.coalesce("s", F.lit(0))).alias("gap"))
+        spare = spare.join(pick.select("__source", "__h"), ["__source", "__h"], "left_anti")
+
+    none = F.lit(None).cast("long")
     whole, part = met.filter("passes > 0"), met.filter("left > 0 and size > 0")
-    drawn = whole.select("__source", "__block", "stratum", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass"), F.lit(None).cast("long").alias("cut"))
-    last = part.filter("left >= size").select("__source", "__block", "stratum", (F.col("passes") + 1).alias("pass"), F.lit(None).cast("long").alias("cut"))
-    split = part.filter("left < size").join(cuts, ["__source", "__block"]).select("__source", "__block", "stratum", (F.col("passes") + 1).alias("pass"), "cut")
-    drawn = drawn.unionByName(last).unionByName(split)
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed + 3), "__source", "__block", "pass"), "__source", "__block", "pass")) - 1
+    drawn = whole.select("__source", "__block", "stratum", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass"), none.alias("low"), none.alias("cut"))
+    last = part.filter("left >= size").select("__source", "__block", "stratum", (F.col("passes") + 1).alias("pass"), none.alias("low"), none.alias("cut"))
+    split = part.filter("left < size").join(cuts, ["__source", "__block"]).select("__source", "__block", "stratum", (F.col("passes") + 1).alias("pass"), F.lit(-(1 << 63)).alias("low"), "cut")
+    alone = single.select("__source", "__block", "stratum", (F.col("passes") + 1).alias("pass"), F.col("__h").alias("low"), F.col("__h").alias("cut"))
+    drawn = drawn.unionByName(last).unionByName(split).unionByName(alone)
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed + 3), "__source", "__block", "pass", "cut"), "__source", "__block", "pass", "cut")) - 1
     drawn = checkpointed(drawn.withColumn("place", place))
 
     spark = placed.sparkSession
@@ -118,7 +140,7 @@ def mixing_plan(placed: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     for i, s in enumerate(names):
         rows += [(int(s), k, int(first[i, k]), int(first[i, k] + dealt[i, k]) - 1) for k in range(shards) if dealt[i, k]]
     runs = spark.createDataFrame(rows, "stratum int, shard int, a int, b int").select("stratum", "shard", F.explode(F.sequence("a", "b")).alias("place"))
-    draws = checkpointed(drawn.join(runs, ["stratum", "place"]).select("__source", "__block", "pass", "shard", "cut"))
+    draws = checkpointed(drawn.join(runs, ["stratum", "place"]).select("__source", "__block", "pass", "shard", "low", "cut"))
     return sources.drop("stratum"), draws
 
 
@@ -130,8 +152,10 @@ def mixed_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = with_places(docs.select(id_col, text_col, source_col), id_col, text_col, source_col)
     placed = checkpointed(places.select(id_col, "__source", "__size", "__h", "__block"))
     sources, draws = mixing_plan(placed, **options)
-    taken = draws.groupBy("__source", "__block").agg(F.count_if(F.col("cut").isNull()).alias("n"), F.max("cut").alias("cut"))
-    copies = F.coalesce(F.col("n"), F.lit(0)) + F.coalesce((F.col("__h") <= F.col("cut")).cast("int"), F.lit(0))
+    runs = F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("low", "cut")))  # one cut and FILL_ROUNDS documents per source at most
+    taken = draws.groupBy("__source", "__block").agg(F.count_if(F.col("cut").isNull()).alias("n"), runs.alias("runs"))
+    inside = F.filter("runs", lambda r: (F.col("__h") >= r["low"]) & (F.col("__h") <= r["cut"]))
+    copies = F.coalesce(F.col("n"), F.lit(0)) + F.coalesce(F.size(inside), F.lit(0))
     met = placed.join(taken, ["__source", "__block"], "left").join(sources, "__source")
     return met.select(id_col, F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"))
 
@@ -143,6 +167,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     places = with_places(own, id_col, text_col, source_col)
     placed = checkpointed(places.select("__source", "__size", "__h", "__block"))
     _, draws = mixing_plan(placed, **options)
-    met = places.join(draws, ["__source", "__block"]).filter(F.col("cut").isNull() | (F.col("__h") <= F.col("cut")))
+    met = places.join(draws, ["__source", "__block"]).filter(F.col("cut").isNull() | F.col("__h").between(F.col("low"), F.col("cut")))
     shuffled = met.repartition(options.get("shards", SHARDS), "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(options.get("seed", SEED) + 4), "shard", "pass", "__h"))
     return shuffled.select(*own.columns, "shard", "pass")

@@ -33,8 +33,8 @@ LENGTH = 200
 #: Bytes of an anchor; the least of LENGTH - GRAM + 1 hashes is the anchor of a window.
 GRAM = 32
 #: Bytes of one sorted shard; suffixes that queues hold in memory.
-SHARD_BYTES, QUEUED = 4 << 20, 1 << 22
-#: Different contexts of one anchor up to which they are gathered: about 5 MB of text, one shard.
+SHARD_BYTES, QUEUED = 2 << 20, 1 << 22
+#: Different contexts of one anchor up to which they are gathered: about 5 MB of text.
 MOST_CONTEXTS = 1 << 14
 BLOCK_BYTES = 1 << 20
 _SEED = np.uint64(0x9E3779B97F4A7C15)
