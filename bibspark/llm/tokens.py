@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: The vocabulary's public pre-tokenization pattern, and its usual place.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -59,7 +61,7 @@ def limits_report(histogram: DataFrame) -> DataFrame:
     lengths and inside each block, so that no task sees the whole histogram.
     """
     n, d = F.col("n_tokens"), F.col("n_docs")
-    held = histogram.withColumn("block", F.floor(n / BLOCK))
+    held = checkpointed(histogram).withColumn("block", F.floor(n / BLOCK))
     blocks = held.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum(n * d).alias("b_tokens"))
     after, every = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     blocks = blocks.select(
