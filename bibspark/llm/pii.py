@@ -161,7 +161,10 @@ def _day_first(text: str, move: Callable) -> str | None:
     new = _date(y, b, a, move)
     if new:
         return text[2].join((new[2], new[1], new[0]))
+    # month first: stays among dates that cannot be read day first
     new = _date(y, a, b, move)
+    while new and int(new[2]) <= 12:
+        new = _date(*new, move)
     return new and text[2].join((new[1], new[2], new[0]))
 
 
