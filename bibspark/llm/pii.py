@@ -175,7 +175,7 @@ def _email(text: str, move: Callable) -> str:
 
 #: kind, pattern, pseudonym. Earlier kinds win where matches overlap. The bounds keep parts of longer numbers out.
 KINDS: tuple[tuple[str, str, Callable], ...] = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("card", r"(?<![0-9.-])[0-9](?:[0-9]{12,18}|[0-9]{3}(?:[\x20-][0-9]{4}){3})(?![0-9]|[.-][0-9])", _card),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])", _ip),
