@@ -34,14 +34,13 @@ def reachable(members: DataFrame, edges: DataFrame) -> DataFrame:
     ``members`` is (bucket, ord), ``edges`` (bucket, j, i) with j before i. Equals what stands on a path of increasing places from the first.
     """
     edges = cut(edges.select("bucket", "j", "i"))
-    front = cut(members.groupBy("bucket").agg(F.min("ord").alias("ord")))
-    found = front
+    found = front = cut(members.groupBy("bucket").agg(F.min("ord").alias("ord")))
     for _ in range(MOST_ROUNDS):
         step = edges.join(front.withColumnRenamed("ord", "j"), ["bucket", "j"]).select("bucket", F.col("i").alias("ord")).distinct()
         front = cut(step.join(found, ["bucket", "ord"], "left_anti"))
         if front.isEmpty():
             return found
-        found = cut(found.unionByName(front))
+        found = found.unionByName(front)  # of checkpointed rounds
     raise RuntimeError("no end of the greedy pass")
 
 
