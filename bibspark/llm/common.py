@@ -7,6 +7,7 @@ Lineage is cut only by reliable checkpoints in the folder that the cluster names
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -40,6 +41,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of one Arrow batch between Spark and a Python worker. Rows hold whole texts, so that a limit on rows bounds nothing.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES; they are buffered off the heap on both sides, once per running task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(name)) or 0) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files and checkpoints that nothing refers to any more, instead of holding them until memory runs short."""
     gc.collect()

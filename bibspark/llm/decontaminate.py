@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, text_slices
+from .common import bounded_batches, filled, text_slices
 
 #: Fixed value: words of an item's windows.
 WINDOW = 10
@@ -200,6 +200,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Null texts have no words. Items without words never match; rows of one item_id count as one item, a null item_id as the empty name.
     An empty benchmark leaves every document clean. Repeated rows give repeated results.
     """
+    bounded_batches(docs.sparkSession)
     names = [id_col, *keep]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     state = docs.select(*names, docs[text_col].alias("__text")).selectExpr(*(f"`{c}`" for c in names), "__text", "cast(null as long) as n_words", "cast(array() as array<long>) as edges", "cast(array() as array<string>) as items")
@@ -276,6 +277,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A document of which no word is left goes; clean rows are unchanged.
     """
+    bounded_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("own"), "text")
     found = find_leaks(packed, benchmark, id_col="own", keep=("text",)).filter("n_hit = 0 or n_hit < n_words").select("own", "text", "spans")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Bins of the hashed trigrams. Training rows per language (expected; a documented bound on what the models are counted on).
 BINS, SAMPLE = 1 << 14, 3000
 FOLDS, HELD_OUT = 4, 2
@@ -85,6 +87,7 @@ def mixture(counts: np.ndarray, chance: np.ndarray) -> tuple[list[int], np.ndarr
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages in order, BINS x languages trigram probabilities) from training rows with a label; at most BINS numbers per language reach the driver."""
+    bounded_batches(docs.sparkSession)
     train = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(known) > MOST_LANGUAGES:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, filled, release, row_key
+from .common import bounded_batches, checkpointed, filled, release, row_key
 
 LEAST_WORDS, NEAR_WORDS = 5, 10
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -104,6 +104,7 @@ def _long(x: np.ndarray) -> pa.Array:
 # ---------------------------------------------------------------- distinct lines
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2, n, first(id, row, no), k0..k3): one row per distinct line of LEAST_WORDS words, with its earliest place and sieve keys."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

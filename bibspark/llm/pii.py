@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import filled
+from .common import bounded_batches, filled
 
 ROUNDS = 10
 DEFAULT_KEY = "bibspark-demo-key"
@@ -221,6 +221,7 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id"
     A null text stays null with zero counts. Invalid values (failed check digit, impossible date or octet) stay as they are.
     ``back=True`` with the same key restores the originals. Other input columns are ignored, whatever their names.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Pseudonymizer(key, back)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import bytes_of, filled, text_slices
+from .common import bounded_batches, bytes_of, filled, text_slices
 
 _parser = re._parser  # the standard library's own regular expression parser
 
@@ -235,6 +235,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null or empty text: zero counts, empty ``spans``. Repeated rows give repeated results; other input columns are ignored, whatever their names.
     """
+    bounded_batches(docs.sparkSession)
     kinds = [r.kind for r in rules]
     base = kinds[:n_base]
 

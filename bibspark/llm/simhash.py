@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, filled, row_key
+from .common import bounded_batches, checkpointed, filled, row_key
 from .graph import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
@@ -55,6 +55,7 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, ``keep``..., fp long) of whole texts; null and wordless texts have fingerprint 0."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

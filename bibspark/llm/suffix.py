@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, checkpointed, filled, release, row_key, text_slices
+from .common import bounded_batches, bytes_of, checkpointed, filled, release, row_key, text_slices
 
 LENGTH = 200
 #: Bytes of an anchor; the least of LENGTH - GRAM + 1 hashes is the anchor of a window.
@@ -269,6 +269,7 @@ def repeated(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, most: i
 # ---------------------------------------------------------------- distributed part
 def _contexts(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     """(anchor, context, id, row, at): each anchor with a digest of its context. ``at`` is first window * 256 + further windows."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

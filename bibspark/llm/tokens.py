@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import bounded_batches, checkpointed
 
 #: The vocabulary's public pre-tokenization pattern, and its usual place.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -40,6 +40,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str =
 
     Repeated rows count each. An empty table gives an empty histogram.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, pattern).encode_ordinary
