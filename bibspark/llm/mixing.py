@@ -16,12 +16,17 @@ Documents meet the plan in one join on (source, block): no source, however large
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, count_words, row_key
 
-WEIGHTS, MOST, BLOCKS, SHARDS, SEED = (1, 2, 3), 3, 1024, 64, 20240607
+WEIGHTS, MOST, SEED = (1, 2, 3), 3, 20240607
+#: Least numbers of blocks and of output shards; words of the corpus per block of a source, and per shard.
+BLOCKS, SHARDS, BLOCK_WORDS, SHARD_WORDS = 1024, 64, 1_000_000, 8_000_000
+#: Nodes of the tree that the driver splits; their subtrees are split by the executors.
+TOP_NODES = 64
 #: Blocks behind a partial pass whose documents may fill what its cut leaves open, and how many do.
 FILL_BLOCKS, FILL_ROUNDS = 64, 4
 #: Rows of the tree: each source has its own as long as there are no more sources than that, else sources share rows.
@@ -33,15 +38,20 @@ def _key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
 
-def with_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, blocks: int = BLOCKS) -> DataFrame:
-    """``docs`` plus __source, __size (words), __h (place in the source's permutation) and __block. Narrow; repeated rows have one place."""
-    h = F.xxhash64(F.lit(seed), F.col("__row"))
-    return (
-        docs.withColumn("__row", row_key(id_col, text_col))
-        .withColumns({"__source": _key(source_col), "__size": count_words(F.col(text_col)), "__h": h})
-        .withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__h")), F.lit(blocks)).cast("int"))
-        .drop("__row")
-    )
+def with_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """``docs`` plus __source, __size (words) and __h (place in the source's permutation). Narrow; repeated rows have one place."""
+    h = F.xxhash64(F.lit(seed), row_key(id_col, text_col))
+    return docs.withColumns({"__source": _key(source_col), "__size": count_words(F.col(text_col)), "__h": h})
+
+
+def block_of(blocks: int, seed: int = SEED) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__h")), F.lit(blocks)).cast("int")
+
+
+def scale(placed: DataFrame) -> tuple[int, int]:
+    """(blocks per source, output shards): they grow with the corpus, so that blocks and shards do not."""
+    words = placed.agg(F.coalesce(F.sum("__size"), F.lit(0))).first()[0]
+    return max(BLOCKS, 1 << (words // BLOCK_WORDS).bit_length()), max(SHARDS, -(-words // SHARD_WORDS))
 
 
 def targets(by_block: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -63,29 +73,49 @@ def targets(by_block: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return filled.select("__source", "source_size", "weight", target.alias("target"), F.pmod("rank", F.lit(STRATA)).alias("stratum"))
 
 
-def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """(len(quotas), shards) block counts: rows add up to ``quotas``, columns differ by one at most, drawn by recursive hypergeometric halving."""
-    out = np.zeros((len(quotas), shards), np.int64)
-    total = int(quotas.sum())
-    edge = [total * k // shards for k in range(shards + 1)]
-    todo = [(0, shards, quotas.astype(np.int64))]
-    while todo:
-        lo, hi, held = todo.pop()
-        if hi - lo == 1:
-            out[:, lo] = held
-            continue
-        mid = (lo + hi) // 2
-        draw = np.random.Generator(np.random.Philox(key=[seed, lo << 32 | hi]))
-        left, need, rest = np.zeros_like(held), edge[mid] - edge[lo], int(held.sum())
-        for i, n in enumerate(held):
-            rest -= int(n)
-            left[i] = draw.hypergeometric(int(n), rest, need) if need and n else 0
-            need -= int(left[i])
-        todo += [(lo, mid, left), (mid, hi, held - left)]
-    return out
-
-
-def mixing_plan(placed: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def split_tree(quotas: np.ndarray, lo: int, hi: int, shards: int, total: int, seed: int, leaf: int = 1) -> list[tuple[int, int, np.ndarray]]:
+    """(first shard, end, block counts) of the nodes with at most ``leaf`` shards below the node of shards lo to hi with the given counts.
+
+    Of ``total`` blocks every shard gets its even share, to within one; each split is drawn from the multivariate hypergeometric distribution,
+    by a generator that is keyed by the node. So a subtree gives the same wherever it is split.
+    """
+    if hi - lo <= leaf:
+        return [(lo, hi, quotas)]
+    mid = (lo + hi) // 2
+    draw = np.random.Generator(np.random.Philox(key=[seed, lo << 32 | hi]))
+    left, need, rest = np.zeros_like(quotas), total * mid // shards - total * lo // shards, int(quotas.sum())
+    for i, n in enumerate(quotas):
+        rest -= int(n)
+        left[i] = draw.hypergeometric(int(n), rest, need) if need and n else 0
+        need -= int(left[i])
+    return split_tree(left, lo, mid, shards, total, seed, leaf) + split_tree(quotas - left, mid, hi, shards, total, seed, leaf)
+
+
+def _runs(drawn: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(stratum, shard, a, b): the shard takes the stratum's permuted draws a to b. The driver holds TOP_NODES counts for STRATA rows at most."""
+    quotas = {r["stratum"]: r["n"] for r in drawn.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names, total = sorted(quotas), sum(quotas.values())
+    counts = np.array([quotas[s] for s in names], np.int64)
+    rows, first = [], np.zeros_like(counts)
+    for lo, hi, own in split_tree(counts, 0, shards, shards, total, seed, -(-shards // TOP_NODES)):
+        rows += [(lo, hi, int(s), int(n), int(f)) for s, n, f in zip(names, own, first, strict=True)]
+        first = first + own
+
+    def below(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("stratum")
+        lo, hi, at = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0]), pdf["first"].to_numpy()
+        out = []
+        for shard, _, own in split_tree(pdf["n"].to_numpy(), lo, hi, shards, total, seed):
+            some = own > 0
+            out.append(pd.DataFrame({"stratum": pdf["stratum"].to_numpy()[some], "shard": shard, "a": at[some], "b": (at + own - 1)[some]}))
+            at = at + own
+        return pd.concat(out)
+
+    nodes = drawn.sparkSession.createDataFrame(rows, "lo int, hi int, stratum int, n long, first long")
+    return nodes.groupBy("lo").applyInPandas(below, "stratum int, shard int, a long, b long")
+
+
+def mixing_plan(placed: DataFrame, shards: int, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(sources, draws). ``placed`` has __source, __size, __h, __block and is cheap to read again.
 
     sources: __source, source_size, weight, target. draws: __source, __block, pass, shard, low, cut: the documents of the block go to the
@@ -132,14 +162,7 @@ def mixing_plan(placed: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     place = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed + 3), "__source", "__block", "pass", "cut"), "__source", "__block", "pass", "cut")) - 1
     drawn = checkpointed(drawn.withColumn("place", place))
 
-    spark = placed.sparkSession
-    quotas = {r["stratum"]: r["n"] for r in drawn.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}  # STRATA rows at most
-    names = sorted(quotas)
-    dealt = split_tree(np.array([quotas[s] for s in names], np.int64), shards, seed)
-    rows, first = [], np.cumsum(dealt, axis=1) - dealt
-    for i, s in enumerate(names):
-        rows += [(int(s), k, int(first[i, k]), int(first[i, k] + dealt[i, k]) - 1) for k in range(shards) if dealt[i, k]]
-    runs = spark.createDataFrame(rows, "stratum int, shard int, a int, b int").select("stratum", "shard", F.explode(F.sequence("a", "b")).alias("place"))
+    runs = _runs(drawn, shards, seed).select("stratum", "shard", F.explode(F.sequence("a", "b")).alias("place"))
     draws = checkpointed(drawn.join(runs, ["stratum", "place"]).select("__source", "__block", "pass", "shard", "low", "cut"))
     return sources.drop("stratum"), draws
 
@@ -150,8 +173,10 @@ def mixed_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and wordless texts have size 0. An empty table gives no rows; a table without a word takes nothing.
     """
     places = with_places(docs.select(id_col, text_col, source_col), id_col, text_col, source_col)
-    placed = checkpointed(places.select(id_col, "__source", "__size", "__h", "__block"))
-    sources, draws = mixing_plan(placed, **options)
+    placed = checkpointed(places.select(id_col, "__source", "__size", "__h"))
+    blocks, shards = scale(placed)
+    placed = placed.withColumn("__block", block_of(blocks))
+    sources, draws = mixing_plan(placed, shards, **options)
     runs = F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("low", "cut")))  # one cut and FILL_ROUNDS documents per source at most
     taken = draws.groupBy("__source", "__block").agg(F.count_if(F.col("cut").isNull()).alias("n"), runs.alias("runs"))
     inside = F.filter("runs", lambda r: (F.col("__h") >= r["low"]) & (F.col("__h") <= r["cut"]))
@@ -165,8 +190,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     run of rows in its own random order. Columns of ``docs`` named shard or pass are replaced."""
     own = docs.drop("shard", "pass")
     places = with_places(own, id_col, text_col, source_col)
-    placed = checkpointed(places.select("__source", "__size", "__h", "__block"))
-    _, draws = mixing_plan(placed, **options)
-    met = places.join(draws, ["__source", "__block"]).filter(F.col("cut").isNull() | F.col("__h").between(F.col("low"), F.col("cut")))
-    shuffled = met.repartition(options.get("shards", SHARDS), "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(options.get("seed", SEED) + 4), "shard", "pass", "__h"))
+    placed = checkpointed(places.select("__source", "__size", "__h"))
+    blocks, shards = scale(placed)
+    _, draws = mixing_plan(placed.withColumn("__block", block_of(blocks)), shards, **options)
+    met = places.withColumn("__block", block_of(blocks)).join(draws, ["__source", "__block"]).filter(F.col("cut").isNull() | F.col("__h").between(F.col("low"), F.col("cut")))
+    shuffled = met.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(options.get("seed", SEED) + 4), "shard", "pass", "__h"))
     return shuffled.select(*own.columns, "shard", "pass")

@@ -190,8 +190,22 @@ def test_split_tree_meets_quotas():
     import numpy as np
 
     q = np.array([100, 0, 3, 5000, 17])
-    out = mixing.split_tree(q, 7, 5)
-    assert (out.sum(axis=1) == q).all() and np.ptp(out.sum(axis=0)) <= 1 and (out == mixing.split_tree(q, 7, 5)).all()
+    whole = mixing.split_tree(q, 0, 7, 7, 5120, 5)
+    out = np.stack([n for _, _, n in whole], axis=1)
+    assert [lo for lo, _, _ in whole] == list(range(7)) and (out.sum(axis=1) == q).all() and np.ptp(out.sum(axis=0)) <= 1
+    parts = [x for lo, hi, n in mixing.split_tree(q, 0, 7, 7, 5120, 5, leaf=3) for x in mixing.split_tree(n, lo, hi, 7, 5120, 5)]
+    assert all((a[2] == b[2]).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_mix_over_many_shards(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 100)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 10)
+    got = mixing.mix(docs).collect()
+    assert len({r["shard"] for r in got}) > 64
+    want = Counter()
+    for r in mixing.mixed_counts(docs).collect():
+        want[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in got) == +want
 
 
 def test_quality_counts(docs, rows):
