@@ -13,7 +13,7 @@ benchmark travels in blocks of bounded size; each further block is one more narr
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, filled, text_slices
 
+Pass = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 #: Fixed value: words of an item's windows.
 WINDOW = 10
 SHARD_BYTES, SAMPLE_RATE = 4 << 20, 8
@@ -194,11 +196,12 @@ def phrase_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), block_words: int = BLOCK_WORDS, then: tuple[Pass, str] | None = None) -> DataFrame:
     """One row per document: id, ``keep``..., n_words, n_hit, n_items, items_sha256, contaminated, spans (merged ``first:end`` word ranges), items.
 
     Null texts have no words. Items without words never match; rows of one item_id count as one item, a null item_id as the empty name.
-    An empty benchmark leaves every document clean. Repeated rows give repeated results.
+    An empty benchmark leaves every document clean. Repeated rows give repeated results. ``then`` is a further pass over these rows, with the
+    schema of what it gives; it runs in the same worker.
     """
     bounded_batches(docs.sparkSession)
     names = [id_col, *keep]
@@ -238,7 +241,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, edges, items = (batch.column(len(names) + k).to_pylist() for k in range(3))
+            n_words, edges, items = (batch.column(len(names) + 1 + k).to_pylist() for k in range(3))
             hit = [sum(e[1::2]) - sum(e[::2]) for e in edges]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -255,12 +258,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             )
 
     schema = f"{kinds}, __text string, n_words long, edges array<long>, items array<string>"
-    blocks = 0
+    shown = f"{kinds}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string, items array<string>"
+    after, result = then or (None, shown)
+    last: list[tuple[str, list[bytes]]] = []
     for block in phrase_blocks(benchmark, item_col, item_text_col, block_words):
-        state, blocks = state.mapInArrow(search(block), schema), blocks + 1
-    if not blocks:  # still counts the words
-        state = state.mapInArrow(search([]), schema)
-    return state.drop("__text").mapInArrow(finish, f"{kinds}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string, items array<string>")
+        if last:
+            state = state.mapInArrow(search(last), schema)
+        last = block
+
+    def finally_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last block's search and all that follows: one worker per task, which texts enter once."""
+        for step in (search(last), finish, after):
+            batches = step(batches) if step else batches
+        return batches
+
+    return state.mapInArrow(finally_, result)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[int]:
@@ -280,11 +292,12 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("own"), "text")
-    found = find_leaks(packed, benchmark, id_col="own", keep=("text",)).filter("n_hit = 0 or n_hit < n_words").select("own", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(1), batch.column(2).to_pylist()
+            n_words, n_hit = batch.column(2), batch.column(3)
+            batch = batch.filter(pc.or_(pc.equal(n_hit, 0), pc.less(n_hit, n_words)))
+            texts, spans = batch.column(1), batch.column(7).to_pylist()
             hit = [i for i, s in enumerate(spans) if s]
             if hit:
                 mask = np.zeros(len(spans), bool)
@@ -292,9 +305,9 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([cut_words(texts[i].as_py(), spans[i]) for i in hit], texts.type))
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["own", "text"])
 
-    shown = found.mapInArrow(cut, found.select("own", "text").schema)
+    kept = find_leaks(packed, benchmark, id_col="own", keep=("text",), then=(cut, f"own {packed.schema['own'].dataType.simpleString()}, text string"))
     fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return shown.select(*(fresh[c].alias(c) if c in fresh else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
+    return kept.select(*(fresh[c].alias(c) if c in fresh else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
 
 
 def cut_words(text: str, spans: str) -> str:
