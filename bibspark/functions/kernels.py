@@ -66,9 +66,10 @@ def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
-def grams(text: str, n: int) -> set[str]:
+@lru_cache(1 << 14)
+def grams(text: str, n: int) -> frozenset[str]:
     text = text.replace(" ", "")
-    return {text[i : i + n] for i in range(max(len(text) - n, 0) + 1)}
+    return frozenset(text[i : i + n] for i in range(max(len(text) - n, 0) + 1))
 
 
 def ngram(a: str, b: str, n: int) -> float:
@@ -157,3 +158,27 @@ def title(a: str, b: str) -> float:
     if ia and ib:
         return 0.30 * ngram(ca, cb, 2) + 0.25 * ngram(ca, cb, 3) + 0.25 * ratio(ca, cb) + 0.20 * jaccard(set(ia), set(ib))
     return combined(ca, cb)
+
+
+def title_from(floor: float):
+    """title(), or 0.0 where that is under ``floor``: the costly ratio is left out where even a ratio of 1 could not reach it."""
+
+    def kernel(a: str, b: str) -> float:
+        if not a or not b:
+            return 0.0
+        ca, cb = clean(a), clean(b)
+        fa = title_form(a)
+        if ca == cb or fa and fa == title_form(b):
+            return title(a, b)
+        ia, ib = ideographs(ca), ideographs(cb)
+        if ia and ib:
+            most = 0.30 * ngram(ca, cb, 2) + 0.25 * ngram(ca, cb, 3) + 0.25 + 0.20 * jaccard(set(ia), set(ib))
+        else:
+            ga, gb = general(ca), general(cb)
+            most = 1.0 if ga == gb else 0.30 + 0.25 * ngram(ca, cb, 2) + 0.30 * ngram(ca, cb, 3) + 0.15 * jaccard(set(ga.split()), set(gb.split()))
+        if most < floor - 1e-6:
+            return 0.0
+        value = title(a, b)
+        return value if value >= floor else 0.0
+
+    return kernel

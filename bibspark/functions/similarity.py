@@ -36,6 +36,8 @@ def _pairwise(kernel):
 
 
 seq_ratio, combined, author, title = map(_pairwise, (kernels.ratio, kernels.combined, kernels.author, kernels.title))
+#: Exact from 0.40 on, else 0: under that no pair is ever accepted.
+title_from_040 = _pairwise(kernels.title_from(0.40))
 cjk_author, western_author = map(_pairwise, (kernels.cjk_author, kernels.western_author))
 
 

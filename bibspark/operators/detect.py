@@ -181,7 +181,12 @@ def detect(books: DataFrame, config: MatchConfig = MatchConfig()) -> tuple[DataF
 
     if config.enable_fuzzy:
         left = cut(rest())
-        scored = cut(_scored(_fuzzy_pairs(left)).filter("title_ab >= 0.40 or title_ba >= 0.40"))
+        # caps reject an author score under 0.55 (unless the ISBNs are equal) and a title score under 0.40, so these decide first
+        pairs = _fuzzy_pairs(left).withColumn("author_ab", similarity.author(F.col("a_author"), F.col("b_author")))
+        equal = (F.col("a_isbn_normalized") != "") & (F.col("a_isbn_normalized") == F.col("b_isbn_normalized"))
+        pairs = pairs.filter((F.col("author_ab") >= 0.55) | equal)
+        pairs = pairs.withColumn("title_ab", similarity.title_from_040(F.col("a_title"), F.col("b_title"))).filter("title_ab >= 0.40")
+        scored = cut(verify.verified(pairs).withColumn("same", F.col("verdict.is_same_book")).drop("verdict"))
         close = F.col("same") & (similarity.pair_overall("a_", "b_", F.col("author_ab"), F.col("title_ab")) >= 0.55)
         cover = stars(scored.filter(close).select(F.col("a_ord").alias("j"), F.col("b_ord").alias("i")))
         cover = cut(cover.select(F.col("seed").cast("string").alias("bucket"), "ord"))
