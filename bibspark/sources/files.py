@@ -20,13 +20,18 @@ PARSED = T.StructType([*(T.StructField(c, T.StringType()) for c in ("title", "au
 
 def scan(spark: SparkSession, folders: list[str], recursive: bool = True, suffixes: list[str] = K.EXTENSIONS) -> DataFrame:
     """(path, modificationTime, length, content) of book files; roots that overlap give their files more than once, and a missing root gives none."""
-    out = None
-    for folder in folders:
+    out = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    for folder in filter(lambda f: _exists(spark, f), folders):
         own = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("ignoreMissingFiles", True).load(folder)
-        out = own if out is None else out.unionByName(own)
+        out = out.unionByName(own)
     return out.filter(supported(F.col("path"), suffixes))
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def supported(path: Column, suffixes: list[str] = K.EXTENSIONS) -> Column:
     return text.suffix(path).isin(suffixes)
 

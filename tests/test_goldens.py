@@ -328,6 +328,8 @@ def test_epub_round_trip(tmp_path, spark):
     rows = {r["title"]: r for r in files.parse(files.scan(spark, [str(tmp_path)])).collect()}
     assert set(rows) == {"Third", "x"} and rows["Third"]["file_format"] == "epub" and rows["x"]["file_format"] == "pdf"
     assert files.scan(spark, [str(tmp_path)], recursive=False).count() == 1
+    assert files.scan(spark, [str(tmp_path / "none")]).count() == 0
+    assert files.scan(spark, [str(tmp_path), str(tmp_path / "sub")]).count() == 3  # overlapping roots
 
 
 def test_streaming_import(tmp_path, spark):
