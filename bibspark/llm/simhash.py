@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import bounded_batches, checkpointed, filled, row_key
 from .graph import components
 
@@ -193,10 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` (all columns) per component: that of the least id (null ids last), of several the one with the least row hash; repeated rows stay once."""
+    """One row of ``docs`` (all columns) per component of similar documents (see shingles): that of the least id (null ids last), of several the one with the least row hash; repeated rows stay once."""
     keyed = docs.select("*", row_key("doc_id", "text").alias("__row"))
-    found = near_duplicates(keyed, keep=("__row",))
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("b"))
-    best = best.select(F.col("b.doc_id").alias("__best"), F.col("b.__row").alias("__key"))
+    best = shingles.groups(docs).select(F.col("doc_id").alias("__best"), F.col("row").alias("__key"))
     kept = keyed.join(best, (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__best")), "left_semi")
     return kept.dropDuplicates(["__row", "doc_id"]).drop("__row")
