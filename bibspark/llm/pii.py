@@ -94,18 +94,15 @@ def _card(text: str, move: Callable) -> str | None:
     return "".join(next(fresh) if c.isdigit() else c for c in text)
 
 
-_HIGH = DIGIT[2:]  # North American area and exchange codes begin with 2 to 9
+_LOW, _HIGH = DIGIT[:2], DIGIT[2:]  # North American area and exchange codes begin with 2 to 9
 
 
-def _phone(text: str, move: Callable) -> str | None:
+def _phone(text: str, move: Callable) -> str:
     digits = re.sub(r"\D", "", text)
-    if text.startswith("+") and not digits.startswith("1") or len(digits) == 11 and digits[0] != "1":
-        return None
     own = digits[-10:]
-    if len(own) < 10 or own[0] not in _HIGH or own[3] not in _HIGH:
-        return None
-    # the exchange 555 marks numbers kept for fiction; the exchange code is kept so that such numbers stay such numbers
-    places = [_HIGH, DIGIT, DIGIT, "", "", "", DIGIT, DIGIT, DIGIT, DIGIT]
+    # the exchange 555 marks numbers kept for fiction; the exchange code is kept so that such numbers stay such numbers.
+    # An area code that cannot be dialled is as private as another one; it stays of its kind.
+    places = [_HIGH if own[0] in _HIGH else _LOW, DIGIT, DIGIT, "", "", "", DIGIT, DIGIT, DIGIT, DIGIT]
     fresh = iter(digits[:-10] + _by_place(own, places, move))
     return "".join(next(fresh) if c.isdigit() else c for c in text)
 
@@ -139,6 +136,32 @@ def _iban(text: str, move: Callable) -> str | None:
     return "".join(c if c.isspace() else next(fresh) for c in text)
 
 
+#: Length of the IBANs of each country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 33: "LC RU",
+}
+
+
+def _iban_form(n: int, countries: str) -> str:
+    groups, rest = divmod(n - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}" + (rf"\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: What follows an IBAN is not read as part of it: its country says how long it is. Looked for at every place, as a failed one may hide the start of another.
+_IBAN = rf"(?<![A-Za-z0-9])(?=({'|'.join(_iban_form(*x) for x in IBAN_LENGTHS.items())})(?![A-Za-z0-9]))"
+_OWN_LENGTH = re.compile(_IBAN, re.ASCII)
+
+
+def _other_iban(text: str, move: Callable) -> str | None:
+    """Right check digits, but not of its country's length: stays among values that hold no IBAN of that length at their start."""
+    new = _iban(text, move)
+    while new and (m := _OWN_LENGTH.match(new)) and _iban(m.group(1), lambda n, x: x):
+        new = _iban(new, move)
+    return new
+
+
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -176,8 +199,9 @@ def _email(text: str, move: Callable) -> str:
 #: kind, pattern, pseudonym. Earlier kinds win where matches overlap. The bounds keep parts of longer numbers out.
 KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    ("card", r"(?<![0-9.-])[0-9](?:[0-9]{12,18}|[0-9]{3}(?:[\x20-][0-9]{4}){3})(?![0-9]|[.-][0-9])", _card),
+    ("iban", _IBAN, _iban),
+    ("iban2", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _other_iban),
+    ("card", r"(?<![0-9.-])[0-9](?:[0-9]{12,18}|[0-9]{3}(?:(?:[\x20-][0-9]{4}){3}|[\x20-][0-9]{6}[\x20-][0-9]{4,5}))(?![0-9]|[.-][0-9])", _card),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])", _ip),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
     ("date", r"(?<![0-9/.-])[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}(?![0-9]|[-/][0-9])", _iso_date),
@@ -203,8 +227,9 @@ class Pseudonymizer:
         taken: list[tuple[int, int, str, str]] = []
         for kind, pattern, make in self.patterns:
             for m in pattern.finditer(text):
-                if not any(m.start() < e and s < m.end() for s, e, _, _ in taken) and (new := self.value(kind, m.group(), make)) is not None:
-                    taken.append((m.start(), m.end(), kind, new))
+                s, e = m.span(1 if pattern is _OWN_LENGTH else 0)
+                if not any(s < b and a < e for a, b, _, _ in taken) and (new := self.value(kind, text[s:e], make)) is not None:
+                    taken.append((s, e, kind, new))
         return sorted(taken)
 
     def rewrite(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from bibspark.llm import shingles, simhash
+from bibspark.llm import pii, shingles, simhash
 
 from .test_contracts import brute_fingerprint
 
@@ -58,3 +58,25 @@ def test_near_copies_differ_in_many_bits():
     a = edited()
     bits = [(brute_fingerprint(x) ^ brute_fingerprint(y)).bit_count() for i, (_, x) in enumerate(a) for _, y in a[:i] if len(brute_groups([(0, x), (1, y)])) == 1]
     assert sum(b > 3 for b in bits) > len(bits) / 4  # what a bound of 3 bits leaves
+
+
+PRIVATE = [
+    ("iban", "AT61 1904 3002 3457 3201", " USD"), ("iban", "ES91 2100 0418 4502 0005 1332", " BIC"), ("iban", "AT611904300234573201", " 2024"),
+    ("iban", "BE68 5390 0754 7034", " EUR"), ("iban", "DE89 3704 0044 0532 0130 00", " AT61 0000"), ("card", "3782 822463 10005", ","), ("card", "3782-822463-10005", ""),
+    ("card", "3056 930902 5904", "."), ("phone", "+1 (023) 555-0142", " x"), ("phone", "123-555-0142", ""),
+]
+
+
+@pytest.mark.parametrize("kind,value,rest", PRIVATE)
+def test_no_valid_value_stays(kind, value, rest):
+    text = f"pay {value}{rest}"
+    fresh, spans = pii.Pseudonymizer("k").rewrite(text)
+    assert [(text[s:e], k) for s, e, k, _ in spans] == [(value, kind)]
+    assert value not in fresh and fresh.endswith(rest) and len(fresh) == len(text)
+    assert pii.Pseudonymizer("k", back=True).rewrite(fresh)[0] == text
+
+
+def test_ibans_side_by_side():
+    text = "AT61 1904 3002 3457 3201 BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00 USD, no AT61 1904 3002 3457 3202"
+    fresh, spans = pii.Pseudonymizer("k").rewrite(text)
+    assert len(spans) == 3 and fresh.endswith("AT61 1904 3002 3457 3202") and pii.Pseudonymizer("k", back=True).rewrite(fresh)[0] == text
