@@ -1,8 +1,9 @@
 """Line dedup across documents through deletion neighbourhoods.
 
-A line is its sequence of words (A-Z lower-cased). Lines of LEAST_WORDS words or more are kept once:
-a line goes if an earlier one (by document id, then place) is equal, or, from NEAR_WORDS words on,
-lies within an edit distance of one word (a word put in, left out or replaced).
+A line is its sequence of words (A-Z lower-cased); each character of a script without spaces is a
+word of its own. Lines of ``least`` words or more are kept once: a line goes if an earlier one (by
+document id, then place) is equal, or, from NEAR_WORDS words on, lies within an edit distance of one
+word (a word put in, left out or replaced). In shorter lines one word is over a fifth of the line.
 
 Near lines are found by joining equal deletion variants. A line emits a hashed key for itself, for
 each of its one-word deletions, and for each deletion together with its place (two lines with the
@@ -14,6 +15,7 @@ their second half with any other distinct line: one edit leaves one of the halve
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, checkpointed, filled, release, row_key
 
-LEAST_WORDS, NEAR_WORDS = 5, 10
+LEAST_WORDS, NEAR_WORDS = 5, 5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Thai, Lao, Tibetan, Burmese, Khmer, Tai scripts, kana, bopomofo and Han.
+_UNSPACED = "\u0e00-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u2e80-\u2fdf\u3005-\u3007\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_UNITS = re.compile(f"[{_UNSPACED}]|[^\\x20\\x09-\\x0D{_UNSPACED}]+")
+_HIGH_BYTE = re.compile(b"[\xe0-\xf4]")
 #: An odd multiplier and its inverse modulo 2**64, for sums that can be moved to any place.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -87,6 +93,17 @@ def words_of(line: str) -> list[bytes]:
     return line.encode().translate(_LOWER).split()
 
 
+def units_of(line: bytes) -> list[bytes]:
+    """Words of a lower-cased line, those in scripts without spaces taken apart into characters."""
+    if _HIGH_BYTE.search(line) is None:
+        return line.split()
+    return [x.encode() for x in _UNITS.findall(line.decode())]
+
+
+def line_units(line: str) -> list[bytes]:
+    return units_of(line.encode().translate(_LOWER))
+
+
 def within_one_word(a: list[bytes], b: list[bytes]) -> bool:
     """Edit distance over words of at most 1."""
     if abs(len(a) - len(b)) > 1:
@@ -102,8 +119,8 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 # ---------------------------------------------------------------- distinct lines
-def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, n, first(id, row, no), k0..k3): one row per distinct line of LEAST_WORDS words, with its earliest place and sieve keys."""
+def distinct_lines(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST_WORDS) -> DataFrame:
+    """(h1, h2, n, first(id, row, no), k0..k3): one row per distinct line of ``least`` words, with its earliest place and sieve keys."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -121,9 +138,9 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             doc, no, size, digests, keys = [], [], [], [], []
             for i, raw in enumerate(filled(batch.column(2)).cast(pa.large_binary())):
                 for j, line in enumerate(raw.as_py().translate(_LOWER).split(b"\n")):
-                    words = line.split()
+                    words = units_of(line)
                     n = len(words)
-                    if n >= LEAST_WORDS:
+                    if n >= least:
                         doc.append(i)
                         no.append(j)
                         size.append(n)
@@ -172,7 +189,7 @@ def _links(texts: DataFrame) -> DataFrame:
         for batch in batches:
             r, text = batch.column(0).to_numpy(), batch.column(1)
             for k in range(0, batch.num_rows, 1024):
-                key, line, whole = Lines([words_of(x.as_py()) for x in text.slice(k, 1024)], cache).variants()
+                key, line, whole = Lines([line_units(x.as_py()) for x in text.slice(k, 1024)], cache).variants()
                 # a whole line stands before the deletions that equal it
                 yield pa.RecordBatch.from_arrays([_long(key), pa.array(np.where(whole, 0, 1).astype(np.int8)), _long(r[k : k + 1024][line])], ["key", "role", "r"])
 
@@ -208,7 +225,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) ->
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [within_one_word(words_of(a), words_of(b)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            good = [within_one_word(line_units(a), line_units(b)) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select([0])
 
     links = _links(texts)
@@ -218,14 +235,14 @@ def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) ->
 
 
 # ---------------------------------------------------------------- operator
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), least: int = LEAST_WORDS) -> DataFrame:
     """One row per document: id, ``keep``..., text without the lines dropped, n_lines, n_dropped.
 
-    Lines under LEAST_WORDS words always stay. A null text stays null with 0 lines; ids that are null count as last. Repeated rows (same id and
+    Lines under ``least`` words always stay. A null text stays null with 0 lines; ids that are null count as last. Repeated rows (same id and
     text) are one document and come out alike. The order of the remaining lines does not change.
     """
     spark = docs.sparkSession
-    lines = checkpointed(distinct_lines(docs, id_col, text_col))
+    lines = checkpointed(distinct_lines(docs, id_col, text_col, least))
     release(spark)
     near = checkpointed(near_lines(docs, lines, id_col, text_col))
     release(spark)
@@ -244,7 +261,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out.append(None), n_lines.append(0), n_dropped.append(0)
                     continue
                 split, stays = own.split("\n"), set(nos.as_py() or ())
-                left = [x for i, x in enumerate(split) if i in stays or len(words_of(x)) < LEAST_WORDS]
+                left = [x for i, x in enumerate(split) if i in stays or len(line_units(x)) < least]
                 out.append("\n".join(left)), n_lines.append(len(split)), n_dropped.append(len(split) - len(left))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep) + 1], pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],

@@ -40,7 +40,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(read(spark, sf_dir, "documents"))
+    return lines.dedup_lines(read(spark, sf_dir, "documents"), least=1)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from bibspark.llm import pii, shingles, simhash
+from bibspark.llm import lines, pii, queries, shingles, simhash
 
 from .test_contracts import brute_fingerprint
 
@@ -80,3 +80,11 @@ def test_ibans_side_by_side():
     text = "AT61 1904 3002 3457 3201 BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00 USD, no AT61 1904 3002 3457 3202"
     fresh, spans = pii.Pseudonymizer("k").rewrite(text)
     assert len(spans) == 3 and fresh.endswith("AT61 1904 3002 3457 3202") and pii.Pseudonymizer("k", back=True).rewrite(fresh)[0] == text
+
+
+def test_lines_of_any_length_and_script(spark, tmp_path):
+    rows = [(1, "Chapter one\nThe first of six words\n\u4eca\u5929\u5929\u6c14\u5f88\u597d\nkept\n\n"), (2, "chapter  one\nThe first of seven words\n\u4eca\u65e5\u5929\u6c14\u5f88\u597d\nown\n\n"), (3, "kept\nChapter two\n\u4eca\u5929\u5929\u6c14\u5f88\u597d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text"] for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "own\n\n", 3: "Chapter two"}
+    assert lines.line_units("Ab \u4eca\u5929c") == [b"ab", "\u4eca".encode(), "\u5929".encode(), b"c"]
