@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are maximal runs of anything but ASCII white space (fixed value, used by several contracts).
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -63,6 +64,40 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col), F.length(text_col))
 
 
+def column(name: str) -> Column:
+    """The column of exactly that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names that no column of ``df`` has, in any case of letters."""
+    taken = {c.casefold() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = stem
+        while name.casefold() in taken:
+            name += "_"
+        taken.add(name.casefold())
+        out.append(name)
+    return out
+
+
+def schema_of(df: DataFrame, names: list[str] | tuple[str, ...], more: str) -> T.StructType:
+    """Schema of the named columns of ``df`` followed by ``more`` (DDL of fixed names): column names of a user never go through a parser."""
+    return T.StructType([T.StructField(n, df.schema[n].dataType) for n in names] + (T.StructType.fromDDL(more).fields if more else []))
+
+
+def packed(docs: DataFrame, *plain: str) -> DataFrame:
+    """``docs`` as the ``plain`` columns and a struct ``own`` of all the others, so that no temporary name can clash with one of theirs."""
+    others = [column(c) for c in docs.columns if c not in plain]
+    return docs.select(*plain, (F.struct(*others) if others else F.lit(None).cast("int")).alias("own"))
+
+
+def unpacked(like: DataFrame, fresh: dict[str, Column]) -> list[Column]:
+    """The columns of ``like`` from what packed() made of it: those in ``fresh`` anew, the others out of ``own``."""
+    return [(fresh[c] if c in fresh else F.col("own").getField(c)).alias(c) for c in like.columns]
+
+
 def count_words(text: Column) -> Column:
     """Number of words of a text, 0 for null; JVM only."""
     return F.coalesce(F.size(F.filter(F.split(text, WORD_GAP), lambda w: w != "")), F.lit(0)).cast("long")

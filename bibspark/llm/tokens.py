@@ -8,6 +8,7 @@ that survive truncation for every context limit at once, without touching a docu
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,11 +22,14 @@ from .common import bounded_batches, checkpointed
 #: The vocabulary's public pre-tokenization pattern, and its usual place.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The pattern's white space (Unicode property White_Space). Longer runs than LONG_GAP are encoded by themselves: the pattern tries
+#: them backwards, one level of its stack per character.
+_GAP, LONG_GAP = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]", 1 << 16
 #: Lengths per block of the two-level sums.
 BLOCK = 1024
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def encoder(path: str, pattern: str):
     """Encoder of a rank file; once per worker process."""
     import tiktoken
@@ -35,20 +39,34 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoded_length(text: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> int:
+    """Number of tokens of a text. A run of white space is one piece of the pattern but for its last character, which goes with what follows;
+    so a long run can be encoded apart, with the same tokens."""
+    encode = encoder(vocabulary, pattern).encode_ordinary
+    if len(text) <= LONG_GAP:
+        return len(encode(text))
+    total, at = 0, 0
+    for m in re.finditer(f"{_GAP}{{{LONG_GAP},}}", text):
+        stop = m.end() if m.end() == len(text) else m.end() - 1
+        total += len(encode(text[at : m.start()])) + len(encoder(vocabulary, r"\s+").encode_ordinary(text[m.start() : stop]))
+        at = stop
+    return total + len(encode(text[at:]))
+
+
 def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(n_tokens, n_docs): how many documents have which encoded length, whole texts; null and empty texts have 0 tokens.
 
-    Repeated rows count each. An empty table gives an empty histogram.
+    Repeated rows count each; ties are documents of one length. An empty table gives an empty histogram. Texts of any length are encoded whole,
+    one at a time. Other columns are ignored, whatever their names. ``vocabulary`` is a rank file at the same path on every machine.
     """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern).encode_ordinary
         counts: Counter[int] = Counter()
         for batch in batches:
             for text in batch.column(0):
                 own = text.as_py()
-                counts[len(encode(own)) if own else 0] += 1
+                counts[encoded_length(own, vocabulary, pattern) if own else 0] += 1
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["n_tokens", "n_docs"])
 
     return docs.select(text_col).mapInArrow(run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
@@ -83,13 +101,23 @@ def limits_report(histogram: DataFrame) -> DataFrame:
 
 
 def truncated_totals(report: DataFrame, limits: DataFrame, limit_col: str = "context_limit") -> DataFrame:
-    """(context_limit, docs_cut, truncated_total) for any limits, occurring as a length or not. ``limits`` is a small table the caller states."""
-    above = report.select("n_tokens", "docs_ge", "tokens_ge")
-    total = report.agg(F.coalesce(F.max("tokens_total"), F.lit(0)).alias("tokens_total"))
-    first = F.min_by(F.struct("docs_ge", "tokens_ge"), "n_tokens")
-    met = F.broadcast(limits.select(limit_col).distinct()).join(above, F.col("n_tokens") > F.col(limit_col), "left").groupBy(limit_col).agg(first.alias("s"))
+    """(context_limit, docs_cut, truncated_total) for any limits, occurring as a length or not.
+
+    Limits and lengths are put in one order, block by block, and each limit takes the next length above it: no join by inequality.
+    """
+    total = report.agg(F.max("tokens_total")).first()[0] or 0
+    own = limits.select(F.col(limit_col).cast("long").alias("at")).filter(F.col("at").isNotNull()).distinct()
+    none = F.lit(None).cast("struct<docs_ge:bigint,tokens_ge:bigint>")
+    both = own.select("at", F.lit(1).alias("limit"), none.alias("s")).unionByName(report.select(F.col("n_tokens").alias("at"), F.lit(0).alias("limit"), F.struct("docs_ge", "tokens_ge").alias("s")))
+    both = both.withColumn("block", F.floor(F.col("at") / BLOCK))
+    heads = both.groupBy("block").agg(F.min_by("s", F.when(F.col("limit") == 0, F.col("at"))).alias("head"))
+    later = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    heads = heads.select("block", F.first("head", ignorenulls=True).over(later).alias("next"))
+    inside = Window.partitionBy("block").orderBy("at", "limit").rowsBetween(1, Window.unboundedFollowing)
+    met = both.withColumn("s", F.when(F.col("limit") == 1, F.first("s", ignorenulls=True).over(inside))).filter("limit = 1").join(heads, "block")
+    met = met.select("at", F.coalesce("s", "next").alias("s"))
     cut, over = F.coalesce("s.docs_ge", F.lit(0)), F.coalesce("s.tokens_ge", F.lit(0))
-    return met.join(F.broadcast(total)).select(limit_col, cut.alias("docs_cut"), (F.col("tokens_total") - over + F.col(limit_col) * cut).alias("truncated_total"))
+    return met.select(F.col("at").alias(limit_col), cut.alias("docs_cut"), (F.lit(total) - over + F.col("at") * cut).alias("truncated_total"))
 
 
 def quantiles(report: DataFrame, shares: list[float]) -> DataFrame:
