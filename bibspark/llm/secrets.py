@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, bytes_of, filled, text_slices
+from .common import bounded_batches, bytes_of, column, filled, schema_of, text_slices
 
 _parser = re._parser  # the standard library's own regular expression parser
 
@@ -57,7 +57,8 @@ MORE_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # it begins where its run of characters begins, else every start in a long run without a dot would read the run to its end
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 DEFAULT_RULES = BASE_RULES + MORE_RULES
 
@@ -226,14 +227,14 @@ class TrigramIndex:
         return found
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 BLOCK_BYTES = 4 << 20
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = DEFAULT_RULES, n_base: int = len(BASE_RULES)) -> DataFrame:
     """One row per document: counts of the first ``n_base`` kinds, their digest, and all spans ``kind:start:end`` (code points, end exclusive).
 
-    Null or empty text: zero counts, empty ``spans``. Repeated rows give repeated results; other input columns are ignored, whatever their names.
+    Null or empty text: zero counts, empty ``spans``. Spans that start together stand in the order of their kinds. Texts of any length are read
+    whole, in linear time. Repeated rows give repeated results, an empty table none; other input columns are ignored, whatever their names.
     """
     bounded_batches(docs.sparkSession)
     kinds = [r.kind for r in rules]
@@ -257,6 +258,5 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [id_col, *(f"n_{k}" for k in base), "base_sha256", "spans"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in base) + ", base_sha256 string, spans string"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = schema_of(docs, [id_col], ", ".join(f"n_{k} long" for k in base) + ", base_sha256 string, spans string")
+    return docs.select(column(id_col), column(text_col)).mapInArrow(run, schema)
