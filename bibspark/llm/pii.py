@@ -12,8 +12,11 @@ from __future__ import annotations
 import calendar
 import datetime
 import hashlib
+import heapq
+import ipaddress
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -22,10 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, filled
+from .common import bounded_batches, column, filled, schema_of
 
 ROUNDS = 10
-DEFAULT_KEY = "bibspark-demo-key"
 
 
 # ---------------------------------------------------------------- permutation of 0 .. n-1
@@ -80,9 +82,26 @@ def _by_place(text: str, alphabets: list[str], move: Callable[[int, int], int])
     return "".join(reversed(out))
 
 
+def _letters(first: int, last: int, of: Callable[[str], bool] = str.isalpha) -> str:
+    return "".join(c for c in map(chr, range(first, last + 1)) if of(c))
+
+
+#: Letters of other scripts that are permuted among themselves: Latin with accents, Greek, Cyrillic, Hebrew, Arabic, kana, Han, Hangul.
+OTHER = (
+    *(_letters(a, b, of) for a, b in ((0xC0, 0x17F), (0x391, 0x3C9), (0x400, 0x45F)) for of in (str.islower, str.isupper)),
+    *(_letters(a, b) for a, b in ((0x5D0, 0x5EA), (0x627, 0x64A), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))),
+)
+
+
+@lru_cache(maxsize=1 << 12)
+def _alphabet(c: str) -> str:
+    """The characters among which one is permuted; none for marks and letters of no known script."""
+    return next((own for own in (LOWER, UPPER, DIGIT, *OTHER) if c in own), "")
+
+
 def _classes(text: str, start: int = 0, stop: int | None = None) -> list[str]:
     stop = len(text) if stop is None else stop
-    return ["" if not start <= i < stop else LOWER if c in LOWER else UPPER if c in UPPER else DIGIT if c in DIGIT else "" for i, c in enumerate(text)]
+    return [_alphabet(c) if start <= i < stop else "" for i, c in enumerate(text)]
 
 
 def _card(text: str, move: Callable) -> str | None:
@@ -107,6 +126,33 @@ def _phone(text: str, move: Callable) -> str:
     return "".join(next(fresh) if c.isdigit() else c for c in text)
 
 
+def _world_phone(text: str, move: Callable) -> str | None:
+    """+ and a country code (up to the first gap, else two digits), which stay; 8 to 15 digits in all."""
+    digits = re.sub(r"\D", "", text)
+    lead = re.match(r"\+([0-9]{1,3})(?![0-9])", text)
+    code = len(lead.group(1)) if lead else 1 if digits[0] in "17" else 2
+    if not 8 <= len(digits) <= 15:
+        return None
+    own = digits[code:]
+    fresh = iter(digits[:code] + _by_place(own, ["0" if own[0] == "0" else DIGIT[1:], *[DIGIT] * (len(own) - 1)], move))
+    return "".join(next(fresh) if c.isdigit() else c for c in text)
+
+
+def _ip6(text: str, move: Callable) -> str | None:
+    """Digit for digit and letter for letter, so that groups keep their lengths; a group's first digit does not become zero."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    if sum(c != ":" for c in text) < 4 or not any(c.isdigit() for c in text):
+        return None
+    kinds = ["" if c == ":" else DIGIT if c.isdigit() else LOWER[:6] if c.islower() else UPPER[:6] for c in text]
+    for i, c in enumerate(text):
+        if kinds[i] == DIGIT and (i == 0 or text[i - 1] == ":"):
+            kinds[i] = "" if c == "0" else DIGIT[1:]
+    return _by_place(text, kinds, move)
+
+
 def _ip(text: str, move: Callable) -> str | None:
     parts = text.split(".")
     if any(int(p) > 255 or str(int(p)) != p for p in parts):
@@ -162,12 +208,13 @@ def _other_iban(text: str, move: Callable) -> str | None:
     return new
 
 
-_FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+YEARS = 1800, 2199
+_FIRST, _LAST = datetime.date(YEARS[0], 1, 1).toordinal(), datetime.date(YEARS[1], 12, 31).toordinal()
 
 
 def _date(year: str, month: str, day: str, move: Callable) -> tuple[str, str, str] | None:
     y, m, d = int(year), int(month), int(day)
-    if not 1900 <= y <= 2099 or not 1 <= m <= 12 or not 1 <= d <= calendar.monthrange(y, m)[1]:
+    if not YEARS[0] <= y <= YEARS[1] or not 1 <= m <= 12 or not 1 <= d <= calendar.monthrange(y, m)[1]:
         return None
     new = datetime.date.fromordinal(_FIRST + move(_LAST - _FIRST + 1, datetime.date(y, m, d).toordinal() - _FIRST))
     return f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
@@ -191,46 +238,82 @@ def _day_first(text: str, move: Callable) -> str | None:
     return new and text[2].join((new[1], new[2], new[0]))
 
 
+MONTHS = "January February March April May June July August September October November December".split()
+_MONTH = "|".join([*MONTHS, *(m[:3] for m in MONTHS)])
+
+
+def _written_date(text: str, move: Callable) -> str | None:
+    """A day, an English month's name and a year, in either order. Long and short names, and days of one and of two digits, stay of their kind."""
+    year, name, day = text[-4:], re.search(_MONTH, text).group(), re.search("[0-9]{1,2}", text[:-4]).group()
+    month = next(i for i, m in enumerate(MONTHS) if m[:3] == name[:3])
+    short = name != MONTHS[month]
+    fits = lambda d: (int(d[2]) < 10) == (int(day) < 10) and not (short and d[1] == "05")  # noqa: E731  May has no short name
+    new = _date(year, f"{month + 1:02d}", f"{int(day):02d}", move)
+    while new and not fits(new):
+        new = _date(*new, move)
+    if not new:
+        return None
+    fresh = MONTHS[int(new[1]) - 1]
+    fresh = fresh[:3] if short else fresh
+    number = new[2] if len(day) == 2 else str(int(new[2]))
+    return text[:-4].replace(day, number, 1).replace(name, fresh, 1) + new[0]
+
+
 def _email(text: str, move: Callable) -> str:
     """The local part, letter for letter and digit for digit; the domain stays, as it names no person."""
     return _by_place(text, _classes(text, 0, text.index("@")), move)
 
 
-#: kind, pattern, pseudonym. Earlier kinds win where matches overlap. The bounds keep parts of longer numbers out.
+#: kind, pattern, pseudonym. Earlier kinds win where matches overlap. The bounds keep parts of longer numbers out. A digit after a kind's name
+#: sets several forms of one kind apart.
 KINDS: tuple[tuple[str, str, Callable], ...] = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
+    ("email", r"(?<![\w.%+-])(?u:\w)(?u:[\w.%+-]){0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
     ("iban", _IBAN, _iban),
     ("iban2", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _other_iban),
     ("card", r"(?<![0-9.-])[0-9](?:[0-9]{12,18}|[0-9]{3}(?:(?:[\x20-][0-9]{4}){3}|[\x20-][0-9]{6}[\x20-][0-9]{4,5}))(?![0-9]|[.-][0-9])", _card),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])", _ip),
+    ("ip6", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.[0-9])", _ip6),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
     ("date", r"(?<![0-9/.-])[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}(?![0-9]|[-/][0-9])", _iso_date),
     ("date2", r"(?<![0-9/.-])[0-9]{2}([-/.])[0-9]{2}\1[0-9]{4}(?![0-9]|[-/.][0-9])", _day_first),
+    ("date3", rf"(?<![0-9A-Za-z.-])(?:[0-9]{{1,2}}\x20(?:{_MONTH}),?|(?:{_MONTH})\x20[0-9]{{1,2}},?)\x20[0-9]{{4}}(?![0-9A-Za-z])", _written_date),
     ("phone", r"(?<![0-9A-Za-z.-])(?:\+?1[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9]|[.-][0-9])", _phone),
+    ("phone2", r"(?<![0-9A-Za-z.+-])[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z]|[.-][0-9])", _phone),
+    ("phone3", r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,6}(?![0-9A-Za-z]|[.-][0-9])", _world_phone),
 )
 REPORTED = ("email", "iban", "card", "ip", "ssn", "date", "phone")
 #: A text without this has no match of any kind (RE2).
-SIEVE = r"[0-9][0-9]|[0-9]\.[0-9]|@"
+SIEVE = r"[0-9][0-9]|[0-9]\.[0-9]|@|:[0-9A-Fa-f]{0,4}:"
 
 
 class Pseudonymizer:
-    def __init__(self, key: str = DEFAULT_KEY, back: bool = False):
+    def __init__(self, key: str, back: bool = False):
+        if not key:
+            raise ValueError("a secret key is needed: whoever knows it can reverse the pseudonyms")
         self.key, self.back = hashlib.blake2b(key.encode(), digest_size=32).digest(), back
-        self.patterns = [(k.rstrip("2"), re.compile(p, re.ASCII), f) for k, p, f in KINDS]
+        self.patterns = [(k.rstrip("236"), re.compile(p, re.ASCII), f) for k, p, f in KINDS]
         self.value = lru_cache(maxsize=1 << 16)(self._value)
 
     def _value(self, kind: str, text: str, make: Callable) -> str | None:
         return make(text, lambda n, x: _feistel(self.key, kind, n, x, self.back))
 
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
-        """(start, end, kind, pseudonym) of what is valid, in order, without overlaps."""
+        """(start, end, kind, pseudonym) of what is valid, in order, without overlaps. Each kind's matches are merged into those of the earlier kinds."""
         taken: list[tuple[int, int, str, str]] = []
         for kind, pattern, make in self.patterns:
+            fresh, free = [], 0
+            starts = [t[0] for t in taken]
             for m in pattern.finditer(text):
                 s, e = m.span(1 if pattern is _OWN_LENGTH else 0)
-                if not any(s < b and a < e for a, b, _, _ in taken) and (new := self.value(kind, text[s:e], make)) is not None:
-                    taken.append((s, e, kind, new))
-        return sorted(taken)
+                at = bisect_right(starts, s)
+                if s < free or at and taken[at - 1][1] > s or at < len(taken) and starts[at] < e:
+                    continue
+                if (new := self.value(kind, text[s:e], make)) is not None:
+                    fresh.append((s, e, kind, new))
+                    free = e
+            if fresh:
+                taken = list(heapq.merge(taken, fresh)) if taken else fresh
+        return taken
 
     def rewrite(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
         spans, parts, at = self.spans(text), [], 0
@@ -240,11 +323,13 @@ class Pseudonymizer:
         return "".join(parts) + text[at:], spans
 
 
-def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
     """One row per document: id, text with pseudonyms, a count per kind, and ``pii_spans`` (kind:start:end in the input, code points).
 
-    A null text stays null with zero counts. Invalid values (failed check digit, impossible date or octet) stay as they are.
-    ``back=True`` with the same key restores the originals. Other input columns are ignored, whatever their names.
+    A null text stays null with zero counts, an empty one empty. Invalid values (failed check digit, impossible date or octet) stay as they are.
+    Where kinds overlap, the one that KINDS names first wins. Texts of any length are read whole, in time linear but for the sorting of spans.
+    Repeated rows give repeated results, an empty table none. ``back=True`` with the same key restores the originals; ``key`` is the caller's
+    secret and has no default. Other input columns are ignored, whatever their names.
     """
     bounded_batches(docs.sparkSession)
 
@@ -270,6 +355,5 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id"
                 [id_col, text_col, *(f"n_{k}" for k in REPORTED), "pii_spans"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, `{text_col}` string, " + ", ".join(f"n_{k} long" for k in REPORTED) + ", pii_spans string"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = schema_of(docs, [id_col, text_col], ", ".join(f"n_{k} long" for k in REPORTED) + ", pii_spans string")
+    return docs.select(column(id_col), column(text_col)).mapInArrow(run, schema)
