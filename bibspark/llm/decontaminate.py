@@ -7,7 +7,8 @@ matrix with rank directories, and sampled suffix positions. All phrases are sear
 once, their occurrences located by walking to the nearest sample, and the spans merged per document.
 
 Shards are slices of Arrow batches: the pass over the texts is narrow, without a shuffle. The
-benchmark travels in blocks of bounded size; each further block is one more narrow pass.
+benchmark travels in blocks of at most BLOCK_WORDS words, each made into arrays once and broadcast;
+each further block is one more narrow pass.
 """
 
 from __future__ import annotations
@@ -20,16 +21,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, filled, text_slices
+from .common import bounded_batches, column, filled, free_names, packed, schema_of, text_slices, unpacked
 
 Pass = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 #: Fixed value: words of an item's windows.
 WINDOW = 10
 SHARD_BYTES, SAMPLE_RATE = 4 << 20, 8
-#: Words of benchmark text in one block of phrases (some tens of MB in a worker).
-BLOCK_WORDS = 400_000
+#: Words of benchmark text in one block of phrases: a broadcast of at most 64 bytes a word, 64 MB in all.
+BLOCK_WORDS = 1_000_000
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -40,23 +42,32 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Phrases:
-    """Distinct windows of some benchmark items over an alphabet of their words (numbers from 1)."""
+    """Distinct windows of some benchmark items over an alphabet of their words (numbers from 1), as arrays.
+
+    ``words`` holds the windows right-aligned for backward search, ``owner`` the items of window k at ``at[k]`` to ``at[k + 1]``.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.number: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[int]] = {}
         self.items = [name for name, _ in items]
-        for k, (_, words) in enumerate(items):
-            own = [self.number.setdefault(w, len(self.number) + 1) for w in words]
-            for i in range(max(len(own) - window, 0) + 1 if own else 0):
-                windows.setdefault(tuple(own[i : i + window]), set()).add(k)
-        keys = sorted(windows, key=len)
-        self.owners = [sorted(windows[k]) for k in keys]
-        self.length = np.array([len(k) for k in keys], np.int64)
-        self.shortest = int(self.length.min()) if keys else 0
-        self.words = np.zeros((len(keys), window), np.int64)  # right-aligned, for backward search
-        for i, k in enumerate(keys):
-            self.words[i, window - len(k) :] = k
+        self.number: dict[bytes, int] = {}
+        sizes = np.fromiter((len(words) for _, words in items), np.int64, len(items))
+        flat = np.fromiter((self.number.setdefault(w, len(self.number) + 1) for _, words in items for w in words), np.int32, int(sizes.sum()))
+        count = np.where(sizes > 0, np.maximum(sizes - window, 0) + 1, 0)
+        item = np.repeat(np.arange(len(items)), count)
+        first = np.repeat(np.cumsum(sizes) - sizes, count) + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(sizes[item], window)
+        place = first[:, None] + np.arange(window) - (window - length)[:, None]
+        rows = np.where(place >= first[:, None], flat[np.maximum(place, 0)] if len(flat) else 0, 0).astype(np.int32)
+        order = np.lexsort((item, *rows.T[::-1]))
+        rows, item, length = rows[order], item[order], length[order]
+        new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1)) if len(rows) else np.zeros(0, bool)
+        own = new | np.append(True, item[1:] != item[:-1]) if len(rows) else new  # an item counts once per window
+        self.words, self.length = rows[new], length[new]
+        self.owner, self.at = item[own], np.append(np.flatnonzero(new[own]), own.sum())
+        self.shortest = int(self.length.min()) if len(self.length) else 0
+
+    def owners(self, phrases: np.ndarray) -> set[str]:
+        return {self.items[k] for p in np.unique(phrases).tolist() for k in self.owner[self.at[p] : self.at[p + 1]].tolist()}
 
 
 class WaveletMatrix:
@@ -196,21 +207,26 @@ def phrase_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), block_words: int = BLOCK_WORDS, then: tuple[Pass, str] | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), block_words: int = BLOCK_WORDS, then: tuple[Pass, T.StructType] | None = None) -> DataFrame:
     """One row per document: id, ``keep``..., n_words, n_hit, n_items, items_sha256, contaminated, spans (merged ``first:end`` word ranges), items.
 
-    Null texts have no words. Items without words never match; rows of one item_id count as one item, a null item_id as the empty name.
-    An empty benchmark leaves every document clean. Repeated rows give repeated results. ``then`` is a further pass over these rows, with the
-    schema of what it gives; it runs in the same worker.
+    Null and empty texts have no words. Items without words never match; rows of one item_id count as one item, a null item_id as the empty name.
+    An empty benchmark leaves every document clean, an empty table gives no rows. Repeated rows give repeated results. A text of any length is
+    one sequence of its shard and read whole. Of several occurrences that overlap or tie, all count. Columns other than those named are ignored,
+    whatever their names. ``then`` is a further pass over these rows, with the schema of what it gives; it runs in the same worker.
     """
     bounded_batches(docs.sparkSession)
     names = [id_col, *keep]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    state = docs.select(*names, docs[text_col].alias("__text")).selectExpr(*(f"`{c}`" for c in names), "__text", "cast(null as long) as n_words", "cast(array() as array<long>) as edges", "cast(array() as array<string>) as items")
+    whole, number, cuts, found = free_names(docs.select(*map(column, names)), "text_", "n_words_", "edges_", "items_")
+    state = docs.select(
+        *map(column, names), column(text_col).alias(whole), F.lit(None).cast("long").alias(number), F.array().cast("array<long>").alias(cuts), F.array().cast("array<string>").alias(found)
+    )
 
     def search(block: list[tuple[str, list[bytes]]]):
+        shared = docs.sparkSession.sparkContext.broadcast(Phrases(block))  # at most BLOCK_WORDS words
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(block)
+            phrases = shared.value
             for batch in batches:
                 texts = filled(batch.column(len(names)))
                 n_words, edges, items = [], [], []
@@ -228,13 +244,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                             starts = np.concatenate([np.array(old_edges[::2], np.int64), first[own]])
                             ends = np.concatenate([np.array(old_edges[1::2], np.int64), first[own] + phrases.length[phrase[own]]])
                             edges.append(merged(starts, ends))
-                            items.append(sorted({*old_items, *(phrases.items[k] for p in set(phrase[own].tolist()) for k in phrases.owners[p])}))
+                            items.append(sorted({*old_items, *phrases.owners(phrase[own])}))
                         else:
                             edges.append(old_edges)
                             items.append(old_items)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[: len(names) + 1], pa.array(n_words, pa.int64()), pa.array(edges, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                    [*names, "__text", "n_words", "edges", "items"],
+                    [*names, whole, number, cuts, found],
                 )
 
         return run
@@ -257,18 +273,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 [*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
             )
 
-    schema = f"{kinds}, __text string, n_words long, edges array<long>, items array<string>"
-    shown = f"{kinds}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string, items array<string>"
+    schema = schema_of(docs, names, f"{whole} string, {number} long, {cuts} array<long>, {found} array<string>")
+    shown = schema_of(docs, names, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string, items array<string>")
     after, result = then or (None, shown)
     last: list[tuple[str, list[bytes]]] = []
     for block in phrase_blocks(benchmark, item_col, item_text_col, block_words):
         if last:
             state = state.mapInArrow(search(last), schema)
         last = block
+    last_search = search(last)
 
     def finally_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The last block's search and all that follows: one worker per task, which texts enter once."""
-        for step in (search(last), finish, after):
+        for step in (last_search, finish, after):
             batches = step(batches) if step else batches
         return batches
 
@@ -287,11 +304,10 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[int]:
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the words of all removal spans cut out of the texts (n_chars follows, where there is such a column).
 
-    A document of which no word is left goes; clean rows are unchanged.
+    A document of which no word is left goes; clean rows, null and empty texts among them, are unchanged, repeated rows as often as they come.
     """
     bounded_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("own"), "text")
+    own = packed(docs, "text").select("own", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,9 +321,9 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([cut_words(texts[i].as_py(), spans[i]) for i in hit], texts.type))
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["own", "text"])
 
-    kept = find_leaks(packed, benchmark, id_col="own", keep=("text",), then=(cut, f"own {packed.schema['own'].dataType.simpleString()}, text string"))
-    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return kept.select(*(fresh[c].alias(c) if c in fresh else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
+    kept = find_leaks(own, benchmark, id_col="own", keep=("text",), then=(cut, schema_of(own, ["own", "text"], "")))
+    fresh = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNotNull(), F.length("text").cast("long"))}
+    return kept.select(*unpacked(docs, fresh))
 
 
 def cut_words(text: str, spans: str) -> str:
