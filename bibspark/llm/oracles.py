@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from .quality import FEATURES, FENCE, LEAST_GROUP, LEAST_WORDS, MOST_REPEATS, WINDOW, _measures
+from .quality import DIGITS, FEATURES, FENCE, LEAST_WORDS, MOST_REPEATS, PRIOR, WINDOW, _measures
 
 SPACE, INK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 
 def _sketch_bin(value: str) -> str:
-    shift = f"greatest(length(bin({value})) - 6, 0)"
-    return f"CASE WHEN {value} < 64 THEN {value} ELSE ({value} >> {shift}) << {shift} END"
+    return f"({value} >> greatest(length(bin({value})) - {DIGITS}, 0)) << greatest(length(bin({value})) - {DIGITS}, 0)"
 
 
 def quality_sql() -> str:
@@ -18,12 +17,13 @@ def quality_sql() -> str:
     rows = " UNION ALL ".join(f"SELECT lang, source, {name!r} AS feature, CAST({_sketch_bin(value(v))} AS BIGINT) AS bin FROM ok" for name, v in _measures())
     picks = ", ".join(f"min(bin) FILTER (feature = {name!r} AND 4 * c >= {q} * total) AS q{q}_{name}" for name, _ in _measures() for q in (1, 3))
     fences = []
-    for name, v, side, floor in FEATURES:
+    for name, v, side in FEATURES:
         q1, q3 = f"q1_{shared[v]}", f"q3_{shared[v]}"
         spread = f"{FENCE} * greatest({q3} - {q1}, 1)"
-        fences.append((f"greatest({q3} + {spread}, {floor})" if side == "high" else f"least({q1} - {spread}, {floor})") + f" AS f_{name}")
-    which = lambda name: f"CASE WHEN own.n IS NOT NULL THEN own.f_{name} WHEN lng.n IS NOT NULL THEN lng.f_{name} ELSE whole.f_{name} END"
-    bad = " OR ".join(f"coalesce({value(v)} {'>' if side == 'high' else '<'} {which(name)}, false)" for name, v, side, _ in FEATURES)
+        fences.append((f"{q3} + {spread}" if side == "high" else f"greatest({q1} - {spread}, 0)") + f" AS f_{name}")
+    mixed = lambda f, g: f"CAST((a.n * a.{f} + {PRIOR} * b.{g}) // (a.n + {PRIOR}) AS BIGINT) AS {f}"
+    names = [f"f_{name}" for name, *_ in FEATURES]
+    bad = " OR ".join(f"coalesce({value(v)} {'>' if side == 'high' else '<'} own.f_{name}, false)" for name, v, side in FEATURES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, list_filter(regexp_split_to_array(t, '{SPACE}+'), lambda x: x <> '') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{INK}')) AS lines, t FROM d),
@@ -38,10 +38,11 @@ x AS ({rows}),
 k AS (SELECT 2 AS level, lang, source, feature, bin, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 1, lang, NULL, feature, bin, count(*) FROM x GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, feature, bin, count(*) FROM x GROUP BY ALL),
 c AS (SELECT level, lang, source, feature, bin, sum(n) OVER (PARTITION BY level, lang, source, feature ORDER BY bin) AS c, sum(n) OVER (PARTITION BY level, lang, source, feature) AS total FROM k),
 q AS (SELECT level, lang, source, max(total) AS n, {picks} FROM c GROUP BY ALL),
-t AS (SELECT level, lang, source, n, {', '.join(fences)} FROM q)
+t AS (SELECT level, lang, source, CAST(n AS BIGINT) AS n, {', '.join(fences)} FROM q),
+lng AS (SELECT a.lang, {', '.join(mixed(f, f) for f in names)} FROM t a, t b WHERE a.level = 1 AND b.level = 0),
+own AS (SELECT a.lang, a.source, {', '.join(mixed(f, f) for f in names)} FROM t a JOIN lng b ON a.lang IS NOT DISTINCT FROM b.lang WHERE a.level = 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({bad}) AS kept
-FROM b LEFT JOIN t own ON own.level = 2 AND own.n >= {LEAST_GROUP} AND own.lang IS NOT DISTINCT FROM b.lang AND own.source IS NOT DISTINCT FROM b.source
-LEFT JOIN t lng ON lng.level = 1 AND lng.n >= {LEAST_GROUP} AND lng.lang IS NOT DISTINCT FROM b.lang LEFT JOIN t whole ON whole.level = 0
+FROM b LEFT JOIN own ON own.lang IS NOT DISTINCT FROM b.lang AND own.source IS NOT DISTINCT FROM b.source
 """
 
 

@@ -2,9 +2,11 @@
 
 Counts per document feed mergeable quantile sketches per language and source; thresholds are read
 off the sketches and joined back. The sketch is a logarithmic-linear histogram of integers: exact
-below 64 and with 32 bins per power of two above, so two sketches merge by adding counts, in any
-order, with the same result on every run. Groups with few documents use their language's merged
-sketch, then that of the whole corpus.
+below 512 and with 256 bins per power of two above, so two sketches merge by adding counts, in any
+order, with the same result on every run. A threshold is a fence FENCE spreads beyond a quartile of
+the group's own sketch: quartiles stay put as long as less than a quarter of a group is junk. The
+fence of a group of n documents is mixed with its language's, n to PRIOR, and that with the whole
+corpus's, so that small groups lean on the wider sketches by degrees. There are no fixed cutoffs.
 """
 
 from __future__ import annotations
@@ -12,23 +14,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, checkpointed, row_key
+from .common import WORD_GAP, checkpointed, column, free_names, row_key
 
 SPACES, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATS = 5, 10, 20
 
-#: Adaptive features: name, value in thousandths as an integer expression (SQL for both engines), which side is bad, floor of the fence.
-#: A threshold lies FENCE spreads (upper quartile less lower quartile, one thousandth at least) beyond the quartile, but never inside the floor.
-FEATURES: tuple[tuple[str, str, str, int], ...] = (
-    ("symbols", "n_symbols * 1000 div n_words", "high", 200),
-    ("repeats", "n_repeat_words * 1000 div n_words", "high", 200),
-    ("dup_lines", "n_dup_lines * 1000 div n_words", "high", 100),
-    ("long_words", "word_chars * 1000 div n_words", "high", 9000),
-    ("short_words", "word_chars * 1000 div n_words", "low", 2500),
+#: Adaptive features: name, value in thousandths as an integer expression (SQL for both engines), which side is bad.
+#: Repeated words are left to the base rule: most documents have none, and those that have some are no outliers.
+FEATURES: tuple[tuple[str, str, str], ...] = (
+    ("symbols", "n_symbols * 1000 div n_words", "high"),
+    ("dup_lines", "n_dup_lines * 1000 div n_words", "high"),
+    ("long_words", "word_chars * 1000 div n_words", "high"),
+    ("short_words", "word_chars * 1000 div n_words", "low"),
 )
-FENCE = 4
-#: Documents that a group's own sketch needs; smaller groups use the next wider one.
-LEAST_GROUP = 50
+#: Spreads (upper quartile less lower quartile, one thousandth at least) from a quartile to its fence.
+FENCE = 10
+#: Documents' worth of the wider sketch's fence in that of a narrower one. Leading binary digits that a sketch keeps of a value.
+PRIOR, DIGITS = 50, 9
 
 
 def _words(text: Column) -> Column:
@@ -92,8 +94,8 @@ def base_failed() -> Column:
 
 
 def sketch_bin(value: Column) -> Column:
-    """Lower end of the value's bin: itself below 64, else the value with all but its 6 leading bits cleared."""
-    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+    """Lower end of the value's bin: the value with all but its DIGITS leading binary digits cleared."""
+    shift = F.greatest(F.length(F.bin(value)) - DIGITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
@@ -115,7 +117,7 @@ def sketches(features: DataFrame) -> DataFrame:
 def _measures() -> list[tuple[str, str]]:
     """One sketch per distinct expression."""
     seen: dict[str, str] = {}
-    for name, value, _, _ in FEATURES:
+    for name, value, _ in FEATURES:
         seen.setdefault(value, name)
     return [(name, value) for value, name in seen.items()]
 
@@ -134,59 +136,56 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
 
 def _fences(levels: DataFrame) -> DataFrame:
-    """Fence per feature and level, as columns."""
+    """(lang, source, f_<feature>...) of every language and source: its own fence mixed with its language's, that one with the corpus's."""
     shared = dict((value, name) for name, value in _measures())
-    cols = []
-    for name, value, side, floor in FEATURES:
+    own = []
+    for name, value, side in FEATURES:
         q1, q3 = F.col(f"q1_{shared[value]}"), F.col(f"q3_{shared[value]}")
         spread = FENCE * F.greatest(q3 - q1, F.lit(1))
-        cols.append((F.greatest(q3 + spread, F.lit(floor)) if side == "high" else F.least(q1 - spread, F.lit(floor))).alias(f"f_{name}"))
-    return levels.select("level", "lang", "source", "n", *cols)
+        own.append((q3 + spread if side == "high" else F.greatest(q1 - spread, F.lit(0))).alias(f"f_{name}"))
+    raw = checkpointed(levels.select("level", "lang", "source", "n", *own))
+    names = [f"f_{name}" for name, *_ in FEATURES]
+    whole = raw.filter("level = 0").first() or dict.fromkeys(names)  # one row
+    mixed = lambda f, g: F.call_function("div", F.col("n") * F.col(f) + PRIOR * g, F.col("n") + PRIOR)
+    lang = raw.filter("level = 1").select(F.col("lang").alias("of"), *(mixed(f, F.lit(whole[f]).cast("long")).alias(f"w{f}") for f in names))
+    met = raw.filter("level = 2").join(lang, F.col("lang").eqNullSafe(F.col("of")))
+    return met.select("lang", "source", *(mixed(f, F.col(f"w{f}")).alias(f) for f in names))
 
 
 def verdicts(features: DataFrame) -> DataFrame:
     """``features`` (cheap to read again; with lang and source) plus base_failed and kept."""
-    fences = checkpointed(_fences(thresholds(sketches(features))))
-    names = [f"f_{name}" for name, *_ in FEATURES]
-    own, lang, whole = (
-        fences.filter((F.col("level") == level) & (F.col("n") >= (LEAST_GROUP if level else 0))).select(
-            *(F.col(c).alias(f"__{level}_{c}") for c in key), F.struct(*names).alias(f"__t{level}")
-        )
-        for level, key in ((2, ["lang", "source"]), (1, ["lang"]), (0, []))
-    )
-    met = (
-        features.join(own, features.lang.eqNullSafe(F.col("__2_lang")) & features.source.eqNullSafe(F.col("__2_source")), "left")
-        .join(lang, features.lang.eqNullSafe(F.col("__1_lang")), "left")
-        .join(F.broadcast(whole.limit(1)), F.lit(True), "left")  # one row: the whole corpus
-    )
-    fence = F.coalesce("__t2", "__t1", "__t0")
-    words = F.greatest(F.col("n_words"), F.lit(1))
+    fences = _fences(thresholds(sketches(features)))
+    fences = fences.select(F.col("lang").alias("lang_of"), F.col("source").alias("source_of"), *(f"f_{name}" for name, *_ in FEATURES))
+    met = features.join(fences, features.lang.eqNullSafe(F.col("lang_of")) & features.source.eqNullSafe(F.col("source_of")), "left")
     bad = F.lit(False)
-    for name, value, side, _ in FEATURES:
+    for name, value, side in FEATURES:
         v = F.expr(value.replace("div n_words", "div greatest(n_words, 1)"))
-        limit = fence[f"f_{name}"]
-        bad = bad | F.coalesce(v > limit if side == "high" else v < limit, F.lit(False))
+        bad = bad | F.coalesce(v > F.col(f"f_{name}") if side == "high" else v < F.col(f"f_{name}"), F.lit(False))
     return met.select(*features.columns, base_failed().alias("base_failed"), (~base_failed() & ~bad).alias("kept"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per document: id, base counts, base_failed, kept.
 
-    Null texts have no words and fail. Null languages and sources form groups of their own. A corpus in which no document passes the base
-    rules has no sketch, and base_failed alone decides. Repeated rows are judged alike; other columns are ignored, whatever their names.
+    Null, empty and wordless texts have no words and fail. Null languages and sources form groups of their own. A corpus in which no document
+    passes the base rules has no sketch, and base_failed alone decides; an empty table gives no rows. Values that tie with a fence are kept.
+    Texts of any length are counted whole. Repeated rows are judged alike; other columns are ignored, whatever their names.
     """
     features = checkpointed(_features(docs, id_col, text_col, lang_col, source_col))
     return verdicts(features).drop("lang", "source", "row_key")
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    made = counts(docs, [id_col, lang_col, source_col, row_key(id_col, text_col)], text_col)
+    made = counts(docs, [*map(column, (id_col, lang_col, source_col)), row_key(id_col, text_col)], text_col)
     return made.withColumnsRenamed({"k0": id_col, "k1": "lang", "k2": "source", "k3": "row_key"})
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns, repeated rows as often as they come) that quality() keeps."""
     features = checkpointed(_features(docs, "doc_id", "text", "lang", "source"))
-    kept = verdicts(features).filter("kept").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"), F.col("lang").alias("__lang"), F.col("source").alias("__source"))
-    same = (row_key("doc_id", "text") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
+    key_at, *at = free_names(docs, "key", "id_of", "lang_of", "source_of")
+    kept = verdicts(features).filter("kept").select(F.col("row_key").alias(key_at), *(F.col(c).alias(n) for c, n in zip(("doc_id", "lang", "source"), at, strict=True)))
+    same = row_key("doc_id", "text") == F.col(key_at)
+    for c, n in zip(("doc_id", "lang", "source"), at, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
     return docs.join(kept, same, "left_semi")
