@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-MOST_ROUNDS = 60
-
 
 def _star(pairs: DataFrame, small: bool) -> DataFrame:
     """``pairs`` (u, v): point every v (for small stars also u itself) to the least of u and its neighbours."""
@@ -32,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct())
     state = None
-    for _ in range(MOST_ROUNDS):
+    while True:  # ends at the fixed point; rounds grow with the logarithm of the longest path
         mark = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h"), F.bit_xor(F.hash("a", "b")).alias("s")).first()
         if mark["n"] == 0 or tuple(mark) == state:
             break
@@ -40,7 +38,5 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _star(both, small=False)
         edges = checkpointed(_star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), small=True))
-    else:
-        raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import bounded_batches, checkpointed, filled, row_key
+from .common import bounded_batches, checkpointed, column, filled, free_names, row_key, schema_of
 from .graph import components
+from .segments import _FIELDS, manhattan, segment_counts
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 GROUPS = 6
@@ -65,27 +66,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], own], names)
 
     names = [id_col, *keep, "fp"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names[:-1]) + ", fp long"
-    return docs.select(*names[:-1], text_col).mapInArrow(run, schema)
-
-
-# ---------------------------------------------------------------- embedding and grid
-_FIELDS = 0x5555555555555555
-
-
-def segment_counts(fp: np.ndarray) -> np.ndarray:
-    """Bit counts of the 32 two-bit segments, packed in two-bit fields (uint64 in, uint64 out)."""
-    return fp - (fp >> np.uint64(1) & np.uint64(_FIELDS))
-
-
-def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Manhattan distance of packed embeddings: fields hold 0, 1 or 2, and a field's difference is found from its two bits."""
-    low = np.uint64(_FIELDS)
-    a1, a0, b1, b0 = a >> np.uint64(1) & low, a & low, b >> np.uint64(1) & low, b & low
-    two = (a1 & ~b1 & ~b0 | b1 & ~a1 & ~a0) & low
-    return np.bitwise_count((a1 ^ b1 | a0 ^ b0) & low) + np.bitwise_count(two)
+    return docs.select(*map(column, names[:-1]), column(text_col)).mapInArrow(run, schema_of(docs, names[:-1], "fp long"))
 
 
+# ---------------------------------------------------------------- grid
 def grid_masks(groups: int = GROUPS) -> list[int]:
     """One mask of embedding fields per grid: all groups but MOST_BITS of them."""
     edge = [round(i * 32 / groups) for i in range(groups + 1)]
@@ -180,8 +164,9 @@ def links(nodes: DataFrame, groups: int = GROUPS, chunk: int = CHUNK) -> DataFra
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), groups: int = GROUPS, chunk: int = CHUNK) -> DataFrame:
     """One row per document: id, ``keep``..., fingerprint (16 hex digits), component_id (least id reachable by links of at most 3 bits), root (a number of the component).
 
-    Wordless documents have fingerprint zero and link like any other. Repeated rows share a component. A null id never names a component
-    that has another id. An empty table gives no rows.
+    Wordless documents (null, empty) have fingerprint zero and link like any other. Repeated rows share a component, and ties (equal fingerprints
+    or ids) do too. A null id never names a component that has another id. An empty table gives no rows. Texts of any length are hashed whole, in
+    slices. Columns other than those named are ignored, whatever their names.
     """
     own = checkpointed(fingerprints(docs, id_col, text_col, keep))
     nodes = checkpointed(own.groupBy("fp").agg(F.min(id_col).alias("first_id")))
@@ -194,8 +179,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` (all columns) per component of similar documents (see shingles): that of the least id (null ids last), of several the one with the least row hash; repeated rows stay once."""
-    keyed = docs.select("*", row_key("doc_id", "text").alias("__row"))
-    best = shingles.groups(docs).select(F.col("doc_id").alias("__best"), F.col("row").alias("__key"))
-    kept = keyed.join(best, (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__best")), "left_semi")
-    return kept.dropDuplicates(["__row", "doc_id"]).drop("__row")
+    """One row of ``docs`` (all columns) per component of similar documents (see shingles): that of the least id (null ids last), of several the one with
+    the least row hash; repeated rows stay once. Wordless texts, null or empty, are one component. An empty table gives no rows."""
+    row, best_id, key = free_names(docs, "row", "best_id", "key")
+    keyed = docs.select("*", row_key("doc_id", "text").alias(row))
+    best = shingles.groups(docs).select(F.col("doc_id").alias(best_id), F.col("row").alias(key))
+    kept = keyed.join(best, (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(best_id)), "left_semi")
+    return kept.dropDuplicates([row, "doc_id"]).drop(row)
