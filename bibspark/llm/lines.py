@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, filled, release, row_key
+from .common import bounded_batches, checkpointed, column, filled, free_names, packed, release, row_key, schema_of, unpacked
 
 LEAST_WORDS, NEAR_WORDS = 5, 5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -238,8 +238,10 @@ def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) ->
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), least: int = LEAST_WORDS) -> DataFrame:
     """One row per document: id, ``keep``..., text without the lines dropped, n_lines, n_dropped.
 
-    Lines under ``least`` words always stay. A null text stays null with 0 lines; ids that are null count as last. Repeated rows (same id and
-    text) are one document and come out alike. The order of the remaining lines does not change.
+    Lines under ``least`` words always stay. A null text stays null with 0 lines, an empty one is one empty line; ids that are null count as last.
+    Documents of one id with different texts come in the order of their row hashes. Repeated rows (same id and text) are one document and come
+    out alike; an empty table gives no rows. Texts of any length are read whole, row by row. The order of the remaining lines does not change.
+    Columns other than those named are ignored, whatever their names.
     """
     spark = docs.sparkSession
     lines = checkpointed(distinct_lines(docs, id_col, text_col, least))
@@ -247,10 +249,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = checkpointed(near_lines(docs, lines, id_col, text_col))
     release(spark)
     same = (lines.row == near.row) & lines.id.eqNullSafe(near.id) & (lines.no == near.no)
-    stay = lines.join(near, same, "left_anti").groupBy("id", "row").agg(F.collect_list("no").alias("__stay"))
-    stay = stay.withColumnsRenamed({"id": "__id", "row": "__row"})
-    own = docs.select(id_col, *keep, text_col, row_key(id_col, text_col).alias("__key"))
-    met = own.join(stay, (F.col("__key") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    names = [id_col, *keep, text_col]
+    stays_at, id_at, row_at, key_at = free_names(docs.select(*map(column, names)), "stays", "id_", "row_", "key_")
+    stay = lines.join(near, same, "left_anti").groupBy(F.col("id").alias(id_at), F.col("row").alias(row_at)).agg(F.collect_list("no").alias(stays_at))
+    own = docs.select(*map(column, names), row_key(id_col, text_col).alias(key_at))
+    met = own.join(stay, (F.col(key_at) == F.col(row_at)) & column(id_col).eqNullSafe(F.col(id_at)), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,14 +271,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [id_col, *keep, text_col, "n_lines", "n_dropped"],
             )
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
-    return met.select(id_col, *keep, text_col, "__stay").mapInArrow(cut, f"{kinds}, `{text_col}` string, n_lines long, n_dropped long")
+    return met.select(*names, stays_at).mapInArrow(cut, schema_of(docs, names, "n_lines long, n_dropped long"))
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns) with texts from dedup_lines(); n_chars follows, where there is such a column. A document that had words and has none left goes."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in others)).alias("own") if others else F.lit(0).alias("own"))
-    found = dedup_lines(packed, keep=("own",)).filter((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    fresh = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.when(F.col("n_dropped") == 0, F.col("own.n_chars")).otherwise(F.length("text").cast("long")) if "n_chars" in others else F.lit(None)}
-    return found.select(*(fresh[c].alias(c) if c in fresh else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
+def drop_lines(docs: DataFrame, least: int = 1) -> DataFrame:
+    """``docs`` (all columns) with texts from dedup_lines(); n_chars follows, where there is such a column. A document that had words and has none left goes;
+    documents that lose no line, null and empty texts among them, are unchanged."""
+    own = packed(docs, "doc_id", "text")
+    found = dedup_lines(own, keep=("own",), least=least).filter((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    fresh = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(F.col("n_dropped") == 0, F.col("own.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*unpacked(docs, fresh))
