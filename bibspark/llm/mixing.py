@@ -5,12 +5,14 @@ size (water-filling of the excess). A keyed hash permutes a source's documents a
 BLOCKS blocks; a target is whole passes over all blocks, one partial pass over the first blocks of
 the permutation, a cut inside the last of these, and a few single documents that fill what the
 cut leaves open. The blocks drawn are the source's exact quota.
-The tree then halves the output shards again and again: at each node the left half's blocks per
+The tree then splits the output shards again and again: at each node the left half's blocks per
 source are drawn from the multivariate hypergeometric distribution, so that every shard gets the
 same number of blocks, every source's quota is met exactly, and every assignment is equally likely.
-A leaf takes the next disjoint run of each source's permuted draws and shuffles it locally.
+A leaf takes the next disjoint run of each source's permuted draws and shuffles it locally. Nodes are
+rows; WIDTH leaves of a level are split in one task, and the levels grow with the shards.
 
-Documents meet the plan in one join on (source, block): no source, however large, is one group.
+Documents meet the plan in one join on (source, block), and places in a source's permutation are
+counted slice by slice: no source, however large, is one group.
 """
 
 from __future__ import annotations
@@ -20,17 +22,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, count_words, row_key
+from .common import checkpointed, column, count_words, packed, row_key, unpacked
 
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, 20240607
 #: Least numbers of blocks and of output shards; words of the corpus per block of a source, and per shard.
 BLOCKS, SHARDS, BLOCK_WORDS, SHARD_WORDS = 1024, 64, 1_000_000, 8_000_000
-#: Nodes of the tree that the driver splits; their subtrees are split by the executors.
-TOP_NODES = 64
-#: Blocks behind a partial pass whose documents may fill what its cut leaves open, and how many do.
+#: Children of a node that one task splits off.
+WIDTH = 64
+#: Blocks behind a partial pass whose documents may fill what its cut leaves open, and how many of them do.
 FILL_BLOCKS, FILL_ROUNDS = 64, 4
-#: Rows of the tree: each source has its own as long as there are no more sources than that, else sources share rows.
-STRATA = 4096
+#: Slices of a permutation in which places are counted; a power of two.
+SLICES = 1024
 
 
 def _key(source: str) -> Column:
@@ -55,7 +57,7 @@ def scale(placed: DataFrame) -> tuple[int, int]:
 
 
 def targets(by_block: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(__source, source_size, weight, target, stratum) from sizes by block; one row per source."""
+    """(__source, source_size, weight, target) from sizes by block; one row per source."""
     sized = by_block.groupBy("__source").agg(F.sum("size").alias("source_size"))
     # '' is the null source and comes last; '=' before the name keeps the order of the names
     rank = F.row_number().over(Window.orderBy((F.col("__source") == "").cast("int"), "__source")) - 1
@@ -70,7 +72,38 @@ def targets(by_block: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     # the level of the first source, by cap per weight, that stays at or under its cap
     held = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct(F.col("cap") / F.col("weight"), F.col("rank"), F.col("level").alias("level")))).over(everything)
     target = F.least(F.col("cap"), F.coalesce(held["level"] * F.col("weight"), F.col("cap")))
-    return filled.select("__source", "source_size", "weight", target.alias("target"), F.pmod("rank", F.lit(STRATA)).alias("stratum"))
+    return filled.select("__source", "source_size", "weight", target.alias("target"))
+
+
+def along(rows: DataFrame, h: Column, ties: tuple[str, ...], value: Column, name: str) -> DataFrame:
+    """``rows`` plus ``name``: the sum of ``value`` over the rows of the same __source that come before in the order of the hash ``h``, then ``ties``.
+
+    The order is cut into SLICES by the hash's leading bits: sums per slice, then places inside each, so that a large source is many groups.
+    """
+    cut = rows.withColumns({"__h0": h, "__v": value}).withColumn("__slice", F.shiftright("__h0", 64 - SLICES.bit_length() + 1))
+    before = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("__source", "__slice").agg(F.sum("__v").alias("__v")).select("__source", "__slice", F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__source", "__slice").orderBy("__h0", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    return cut.join(sums, ["__source", "__slice"]).withColumn(name, F.col("__base") + F.coalesce(F.sum("__v").over(inside), F.lit(0))).drop("__h0", "__v", "__slice", "__base")
+
+
+def hypergeometric(draw: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of ``sample`` draws from good and bad ones without replacement are good. From 1e9 on, where the generator refuses, by the inverse of the
+    distribution function, added up from the ratios of neighbouring probabilities over 12 deviations around the mode."""
+    if good + bad < 1_000_000_000 or not good or not bad or not sample:
+        return int(draw.hypergeometric(good, bad, sample)) if good and sample else 0
+    if sample == good + bad:
+        return good
+    n = good + bad
+    share = good / n
+    mode = (sample + 1) * (good + 1) // (n + 2)
+    reach = int(12 * np.sqrt(sample * share * (1 - share) * (n - sample) / (n - 1))) + 12
+    lo, hi = max(mode - reach, sample - bad, 0), min(mode + reach, good, sample)
+    k = np.arange(lo, hi, dtype=np.float64)
+    ratio = np.log(good - k) + np.log(sample - k) - np.log(k + 1) - np.log(bad - sample + k + 1)
+    chance = np.concatenate([[0.0], np.cumsum(ratio)])
+    below = np.cumsum(np.exp(chance - chance.max()))
+    return lo + int(np.searchsorted(below, draw.random() * below[-1]))
 
 
 def split_tree(quotas: np.ndarray, lo: int, hi: int, shards: int, total: int, seed: int, leaf: int = 1) -> list[tuple[int, int, np.ndarray]]:
@@ -86,33 +119,34 @@ def split_tree(quotas: np.ndarray, lo: int, hi: int, shards: int, total: int, se
     left, need, rest = np.zeros_like(quotas), total * mid // shards - total * lo // shards, int(quotas.sum())
     for i, n in enumerate(quotas):
         rest -= int(n)
-        left[i] = draw.hypergeometric(int(n), rest, need) if need and n else 0
+        left[i] = hypergeometric(draw, int(n), rest, need)
         need -= int(left[i])
     return split_tree(left, lo, mid, shards, total, seed, leaf) + split_tree(quotas - left, mid, hi, shards, total, seed, leaf)
 
 
 def _runs(drawn: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(stratum, shard, a, b): the shard takes the stratum's permuted draws a to b. The driver holds TOP_NODES counts for STRATA rows at most."""
-    quotas = {r["stratum"]: r["n"] for r in drawn.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
-    names, total = sorted(quotas), sum(quotas.values())
-    counts = np.array([quotas[s] for s in names], np.int64)
-    rows, first = [], np.zeros_like(counts)
-    for lo, hi, own in split_tree(counts, 0, shards, shards, total, seed, -(-shards // TOP_NODES)):
-        rows += [(lo, hi, int(s), int(n), int(f)) for s, n, f in zip(names, own, first, strict=True)]
-        first = first + own
-
-    def below(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("stratum")
-        lo, hi, at = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0]), pdf["first"].to_numpy()
-        out = []
-        for shard, _, own in split_tree(pdf["n"].to_numpy(), lo, hi, shards, total, seed):
-            some = own > 0
-            out.append(pd.DataFrame({"stratum": pdf["stratum"].to_numpy()[some], "shard": shard, "a": at[some], "b": (at + own - 1)[some]}))
-            at = at + own
-        return pd.concat(out)
-
-    nodes = drawn.sparkSession.createDataFrame(rows, "lo int, hi int, stratum int, n long, first long")
-    return nodes.groupBy("lo").applyInPandas(below, "stratum int, shard int, a long, b long")
+    """(__source, shard, a, b): the shard takes the source's permuted draws a to b. One group of a level is one node's row per source that it has."""
+    quotas = drawn.groupBy("__source").agg(F.count(F.lit(1)).alias("n"))
+    total = int(quotas.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    nodes, size = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "__source", "n", F.lit(0).cast("long").alias("first")), shards
+
+    def children(leaf: int):
+        def split(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("__source")
+            lo, hi, at = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0]), pdf["first"].to_numpy()
+            out = []
+            for a, b, own in split_tree(pdf["n"].to_numpy(), lo, hi, shards, total, seed, leaf):
+                some = own > 0
+                out.append(pd.DataFrame({"lo": a, "hi": b, "__source": pdf["__source"].to_numpy()[some], "n": own[some], "first": at[some]}))
+                at = at + own
+            return pd.concat(out)
+
+        return split
+
+    while size > 1:
+        size = -(-size // WIDTH)
+        nodes = nodes.groupBy("lo").applyInPandas(children(size), "lo int, hi int, __source string, n long, first long")
+    return nodes.select("__source", F.col("lo").alias("shard"), F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("b"))
 
 
 def mixing_plan(placed: DataFrame, shards: int, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -125,74 +159,79 @@ def mixing_plan(placed: DataFrame, shards: int, weights: tuple[int, ...] = WEIGH
     sources = checkpointed(targets(by_block, weights, most))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     met = by_block.join(sources, "__source").withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    order = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed + 2), "__block"), "__block")
-    met = met.withColumns({"upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)), "turn": F.row_number().over(order)}).withColumn("left", F.col("rest") - (F.col("upto") - F.col("size")))
-    met = checkpointed(met.select("__source", "__block", "stratum", "size", "passes", "left", "turn"))
+    turn = F.xxhash64(F.lit(seed + 2), "__block")
+    met = along(along(met, turn, ("__block",), F.col("size"), "before"), turn, ("__block",), F.lit(1).cast("long"), "turn")
+    met = checkpointed(met.select("__source", "__block", "size", "passes", (F.col("rest") - F.col("before")).alias("left"), "turn"))
 
     # the cut inside the block in which the partial pass ends: the longest run of documents that fits
     partial = met.filter((F.col("left") > 0) & (F.col("left") < F.col("size")))
     ends = partial.select("__source", F.col("turn").alias("end"), F.col("left").alias("gap"))
     near = met.join(ends, "__source").filter((F.col("turn") >= F.col("end")) & (F.col("turn") <= F.col("end") + FILL_BLOCKS))
-    near = near.select("__source", "__block", "stratum", "passes", "gap", (F.col("turn") == F.col("end")).alias("last"))
+    near = near.select("__source", "__block", "passes", "gap", (F.col("turn") == F.col("end")).alias("last"))
     places = placed.select("__source", "__block", "__h", "__size").join(near, ["__source", "__block"])
-    places = places.groupBy("__source", "__block", "__h").agg(F.sum("__size").alias("s"), *(F.first(x).alias(x) for x in ("stratum", "passes", "gap", "last")))
-    along = Window.partitionBy("__source", "__block").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
-    places = checkpointed(places.withColumn("fits", F.col("last") & (F.sum("s").over(along) <= F.col("gap"))))
+    places = places.groupBy("__source", "__block", "__h").agg(F.sum("__size").alias("s"), *(F.first(x).alias(x) for x in ("passes", "gap", "last")))
+    upto = Window.partitionBy("__source", "__block").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
+    places = checkpointed(places.withColumn("fits", F.col("last") & (F.sum("s").over(upto) <= F.col("gap"))))
     cuts = places.filter("fits").groupBy("__source", "__block").agg(F.max("__h").alias("cut"))
 
     # what the cut leaves open is filled with single documents from there on, the one that comes nearest first
     gaps = places.groupBy("__source").agg((F.max("gap") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("s"))), F.lit(0))).alias("gap"))
     spare = places.filter("not fits and s > 0").drop("gap", "fits", "last")
-    single = spare.select("__source", "__block", "stratum", "passes", "__h").limit(0)
+    single = spare.select("__source", "__block", "passes", "__h").limit(0)
     for _ in range(FILL_ROUNDS):
         fit = F.abs(F.col("gap") - F.col("s")).alias("miss")
-        pick = spare.join(gaps, "__source").filter("s < 2 * gap").groupBy("__source").agg(F.min(F.struct(fit, "s", "__h", "__block", "stratum", "passes")).alias("p"))
+        pick = spare.join(gaps, "__source").filter("s < 2 * gap").groupBy("__source").agg(F.min(F.struct(fit, "s", "__h", "__block", "passes")).alias("p"))
         pick = checkpointed(pick.select("__source", "p.*"))
-        single = single.unionByName(pick.select("__source", "__block", "stratum", "passes", "__h"))
+        single = single.unionByName(pick.select("__source", "__block", "passes", "__h"))
         gaps = gaps.join(pick.select("__source", "s"), "__source", "left").select("__source", (F.col("gap") - F.coalesce("s", F.lit(0))).alias("gap"))
         spare = spare.join(pick.select("__source", "__h"), ["__source", "__h"], "left_anti")
 
     none = F.lit(None).cast("long")
     whole, part = met.filter("passes > 0"), met.filter("left > 0 and size > 0")
-    drawn = whole.select("__source", "__block", "stratum", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass"), none.alias("low"), none.alias("cut"))
-    last = part.filter("left >= size").select("__source", "__block", "stratum", (F.col("passes") + 1).alias("pass"), none.alias("low"), none.alias("cut"))
-    split = part.filter("left < size").join(cuts, ["__source", "__block"]).select("__source", "__block", "stratum", (F.col("passes") + 1).alias("pass"), F.lit(-(1 << 63)).alias("low"), "cut")
-    alone = single.select("__source", "__block", "stratum", (F.col("passes") + 1).alias("pass"), F.col("__h").alias("low"), F.col("__h").alias("cut"))
+    drawn = whole.select("__source", "__block", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass"), none.alias("low"), none.alias("cut"))
+    last = part.filter("left >= size").select("__source", "__block", (F.col("passes") + 1).alias("pass"), none.alias("low"), none.alias("cut"))
+    split = part.filter("left < size").join(cuts, ["__source", "__block"]).select("__source", "__block", (F.col("passes") + 1).alias("pass"), F.lit(-(1 << 63)).alias("low"), "cut")
+    alone = single.select("__source", "__block", (F.col("passes") + 1).alias("pass"), F.col("__h").alias("low"), F.col("__h").alias("cut"))
     drawn = drawn.unionByName(last).unionByName(split).unionByName(alone)
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed + 3), "__source", "__block", "pass", "cut"), "__source", "__block", "pass", "cut")) - 1
-    drawn = checkpointed(drawn.withColumn("place", place))
+    ties = ("__block", "pass", "cut")
+    drawn = checkpointed(along(drawn, F.xxhash64(F.lit(seed + 3), *ties), ties, F.lit(1).cast("long"), "place"))
 
-    runs = _runs(drawn, shards, seed).select("stratum", "shard", F.explode(F.sequence("a", "b")).alias("place"))
-    draws = checkpointed(drawn.join(runs, ["stratum", "place"]).select("__source", "__block", "pass", "shard", "low", "cut"))
-    return sources.drop("stratum"), draws
+    runs = _runs(drawn, shards, seed).select("__source", "shard", F.explode(F.sequence("a", "b")).alias("place"))
+    draws = checkpointed(drawn.join(runs, ["__source", "place"]).select("__source", "__block", "pass", "shard", "low", "cut"))
+    return sources, draws
 
 
 def mixed_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken (words that the mix takes of it, repeats counted), copies.
+    """One row per document: id, size, source_size, target, taken (words that the mix takes of it, repeats counted), copies, shards.
 
-    Null and wordless texts have size 0. An empty table gives no rows; a table without a word takes nothing.
+    ``shards`` are the leaves of the tree that take the document, as ``shard:pass`` in order, one for each copy. Null and wordless texts have size 0.
+    An empty table gives no rows; a table without a word takes nothing. Sources that tie in cap per weight are filled in their order; repeated rows
+    share their place and their fate. Texts of any length are counted whole. Other columns are ignored, whatever their names.
     """
-    places = with_places(docs.select(id_col, text_col, source_col), id_col, text_col, source_col)
-    placed = checkpointed(places.select(id_col, "__source", "__size", "__h"))
+    own = docs.select(column(id_col).alias("__id"), column(text_col).alias("__text"), column(source_col).alias("__of"))
+    places = with_places(own, "__id", "__text", "__of")
+    placed = checkpointed(places.select("__id", "__source", "__size", "__h"))
     blocks, shards = scale(placed)
     placed = placed.withColumn("__block", block_of(blocks))
     sources, draws = mixing_plan(placed, shards, **options)
-    runs = F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("low", "cut")))  # one cut and FILL_ROUNDS documents per source at most
-    taken = draws.groupBy("__source", "__block").agg(F.count_if(F.col("cut").isNull()).alias("n"), runs.alias("runs"))
-    inside = F.filter("runs", lambda r: (F.col("__h") >= r["low"]) & (F.col("__h") <= r["cut"]))
-    copies = F.coalesce(F.col("n"), F.lit(0)) + F.coalesce(F.size(inside), F.lit(0))
-    met = placed.join(taken, ["__source", "__block"], "left").join(sources, "__source")
-    return met.select(id_col, F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"))
+    # a block is drawn MOST + 1 + FILL_ROUNDS times at most
+    taken = draws.groupBy("__source", "__block").agg(F.array_sort(F.collect_list(F.struct("shard", "pass", "low", "cut"))).alias("draws"))
+    mine = F.filter("draws", lambda r: r["cut"].isNull() | (F.col("__h") >= r["low"]) & (F.col("__h") <= r["cut"]))
+    met = placed.join(taken, ["__source", "__block"], "left").join(sources, "__source").withColumn("mine", mine)
+    copies = F.coalesce(F.size("mine"), F.lit(0)).cast("long")
+    shown = F.array_join(F.transform("mine", lambda r: F.concat_ws(":", r["shard"], r["pass"])), ",")
+    return met.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * copies).alias("taken"), copies.alias("copies"), F.coalesce(shown, F.lit("")).alias("shards"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: all columns of ``docs``, a row for each time a document is taken, with shard and pass; each shard is one partition's
-    run of rows in its own random order. Columns of ``docs`` named shard or pass are replaced."""
-    own = docs.drop("shard", "pass")
-    places = with_places(own, id_col, text_col, source_col)
-    placed = checkpointed(places.select("__source", "__size", "__h"))
+    run of rows in its own random order. Columns of ``docs`` named shard or pass are replaced, others may have any name."""
+    rest = docs.drop("shard", "pass")
+    own = packed(rest).select("own", *(F.col("own").getField(c).alias(n) for c, n in ((id_col, "__id"), (text_col, "__text"), (source_col, "__of"))))
+    places = with_places(own, "__id", "__text", "__of").select("own", "__source", "__size", "__h")
+    placed = checkpointed(places.drop("own"))
     blocks, shards = scale(placed)
     _, draws = mixing_plan(placed.withColumn("__block", block_of(blocks)), shards, **options)
     met = places.withColumn("__block", block_of(blocks)).join(draws, ["__source", "__block"]).filter(F.col("cut").isNull() | F.col("__h").between(F.col("low"), F.col("cut")))
     shuffled = met.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(options.get("seed", SEED) + 4), "shard", "pass", "__h"))
-    return shuffled.select(*own.columns, "shard", "pass")
+    return shuffled.select(*unpacked(rest, {}), "shard", "pass")
