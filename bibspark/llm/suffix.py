@@ -5,38 +5,37 @@ with the least rolling hash is its anchor, and equal windows have equal anchors
 All windows of one anchor stand in one context (a stretch of text around it). An anchor that comes
 once has nothing to remove; a context that comes twice is removed as a whole; what is left -
 different contexts around one anchor, at the ends of repeated passages and around edits - goes to
-shards by anchor, one copy per different context.
-
-A shard's contexts are ordered by external induced sorting. S* suffixes (local minima of the text)
-are named by their substrings, ordered through the reduced string of their names, and then two
-passes induce all other suffixes: a queue per first byte takes suffixes in order and hands them on
-to the queue of the byte before. Queues become runs on disk as soon as they outgrow their memory.
-Neighbours in the order that agree on LENGTH bytes are the repeats. Anchors with very many different
-contexts are not gathered in one shard: their windows are counted by content, partially aggregated.
+shards by anchor, one copy per different context. Anchors with very many different contexts are dealt
+out once more, by the least of another hash in each window.
+
+A shard's contexts are one text, put in suffix order by external induced sorting (see induced.py);
+suffixes between which all common prefixes reach LENGTH bytes are the repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, bytes_of, checkpointed, filled, release, row_key, text_slices
+from .common import bounded_batches, bytes_of, checkpointed, column, filled, free_names, release, row_key, schema_of, text_slices
+from .induced import QUEUED, suffix_order
 
 LENGTH = 200
-#: Bytes of an anchor; the least of LENGTH - GRAM + 1 hashes is the anchor of a window.
-GRAM = 32
-#: Bytes of one sorted shard; suffixes that queues hold in memory.
-SHARD_BYTES, QUEUED = 2 << 20, 1 << 22
-#: Different contexts of one anchor up to which they are gathered: about 5 MB of text.
-MOST_CONTEXTS = 1 << 14
+#: Bytes of an anchor (less for short windows); the least of LENGTH - GRAM + 1 hashes is the anchor of a window. Multipliers of the two hashes.
+GRAM, FIRST, SECOND = 32, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+#: Least bytes of one sorted shard: many times what the sorter's queues hold in memory.
+SHARD_BYTES = 4 << 20
+#: Different contexts of one anchor from which on they are dealt out once more.
+MANY_CONTEXTS = 1 << 12
 BLOCK_BYTES = 1 << 20
+#: Bits of a packed place that hold the further windows of a context.
+MORE_BITS = 20
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,18 +65,19 @@ def _slide(x: np.ndarray, size: int, of=np.minimum) -> np.ndarray:
     return of(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, base: int = FIRST) -> tuple[np.ndarray, ...]:
     """(text, hash, place, first window, last window) of each anchor of the texts that end at ``at``; the windows from first to last have it.
 
     A window's anchor is the first place with the least hash in it: a function of the window's content alone.
     """
     none = np.zeros(0, np.int64)
-    n, span = len(data), length - GRAM + 1
+    gram = min(GRAM, 1 << length.bit_length() - 1)
+    n, span = len(data), length - gram + 1
     own = np.flatnonzero(np.diff(at) >= length)
     if not len(own):
         return none, none.view(np.uint64), none, none, none
-    h = _mix(rolling(data, GRAM, 0xD1342543DE82EF95))
-    least = _slide(h, span)
+    h = _mix(rolling(data, gram, base))
+    least = _slide(h, span) if span > 1 else h.copy()
     edge = np.zeros(len(least) + 1, np.int8)
     edge[at[own]] += 1
     edge[at[own + 1] - length + 1] -= 1
@@ -99,178 +99,36 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.
         out.append((h[p], p, first, np.minimum(last, p)))
         more = p < last
         first, last, mine = p[more] + 1, last[more], mine[more]
+        if len(out) == 16:  # long runs of one hash: every window by itself
+            size = last - first + 1
+            mine = np.repeat(mine, size)
+            first = last = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(mine))
     hashes, places, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
     text = np.searchsorted(at, lo, "right") - 1
     return text, hashes, places - at[text], lo - at[text], hi - at[text]
 
 
-# ---------------------------------------------------------------- external induced sorting
-class Queues:
-    """A first-in first-out queue of suffixes per symbol; all of them become runs on disk when together they hold too much."""
-
-    def __init__(self, most: int = QUEUED):
-        self.most, self.held, self.parts, self.folder, self.files = most, 0, {}, None, 0
-
-    def put(self, symbol: int, suffix: np.ndarray) -> None:
-        self.parts.setdefault(symbol, []).append(suffix)
-        self.held += len(suffix)
-        if self.held > self.most:
-            self._spill()
-
-    def _spill(self) -> None:
-        self.folder = self.folder or tempfile.mkdtemp(prefix="induce-")  # scratch of this sort, deleted with it
-        for symbol, parts in self.parts.items():
-            loose = [p for p in parts if not isinstance(p, str)]
-            if loose:
-                self.files += 1
-                np.save(path := f"{self.folder}/{self.files}.npy", np.concatenate(loose))
-                self.parts[symbol] = [*(p for p in parts if isinstance(p, str)), path]
-        self.held = 0
-
-    def take(self, symbol: int) -> Iterator[np.ndarray]:
-        """Remove and give all suffixes of the symbol in the order in which they came; those that come in meanwhile follow."""
-        while parts := self.parts.pop(symbol, None):
-            for part in parts:
-                if isinstance(part, str):
-                    yield np.load(part)
-                else:
-                    self.held -= len(part)
-                    yield part
-
-    def read(self, symbol: int, back: bool = False) -> Iterator[np.ndarray]:
-        """Give the suffixes of the symbol and keep them; from last to first if ``back``."""
-        for part in self.parts.get(symbol, [])[:: -1 if back else 1]:
-            run = np.load(part) if isinstance(part, str) else part
-            yield run[::-1] if back else run
-
-    def close(self) -> None:
-        if self.folder:
-            shutil.rmtree(self.folder, ignore_errors=True)
-
-
-def _induce(text: np.ndarray, kind_s: np.ndarray, seeds: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """Suffix order of bytes, run by run, from the sorted S* suffixes: a pass up for L and a pass down for S suffixes."""
-
-    def hand_on(queues: Queues, suffix: np.ndarray, want_s: bool) -> None:
-        before = suffix[suffix > 0] - 1
-        before = before[kind_s[before] == want_s]
-        symbol = text[before]
-        order = np.argsort(symbol, kind="stable")
-        symbol, before = symbol[order], before[order]
-        if not len(symbol):
-            return
-        edge = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
-        for a, b in zip(edge, [*edge[1:], len(symbol)], strict=True):
-            queues.put(int(symbol[a]), before[a:b])
-
-    cut = np.searchsorted(text[seeds], np.arange(257))
-    present = np.flatnonzero(np.bincount(text, minlength=256)).tolist()
-    up, down, large, small = Queues(most), Queues(most), Queues(most), Queues(most)
-    try:
-        hand_on(up, np.array([len(text)]), False)  # the end comes before everything
-        for c in present:
-            for run in up.take(c):
-                large.put(c, run)
-                hand_on(up, run, False)
-            hand_on(up, seeds[cut[c] : cut[c + 1]], False)
-        for c in reversed(present):
-            for run in down.take(c):
-                small.put(c, run)
-                hand_on(down, run, True)
-            for run in large.read(c, back=True):
-                hand_on(down, run, True)
-        for c in present:
-            yield from large.read(c)
-            yield from small.read(c, back=True)  # S suffixes were met from the last to the first
-    finally:
-        for q in (up, down, large, small):
-            q.close()
-
-
-def suffix_order(text: np.ndarray, most: int = QUEUED) -> Iterator[np.ndarray]:
-    """Places of all suffixes of some bytes in order, run by run (a suffix that begins another one comes before it)."""
-    n = len(text)
-    if not n:
-        return
-    # S: less than its successor, equal bytes as the next one; the last suffix is L
-    ends = np.flatnonzero(np.append(text[1:] != text[:-1], True))
-    run = ends[np.searchsorted(ends, np.arange(n))]
-    kind_s = np.append(text, np.uint8(0))[np.minimum(run + 1, n)] > text
-    star = np.flatnonzero(kind_s & np.append(False, ~kind_s[:-1]))
-    if len(star) > 1:
-        star = star[_order_of_names(_names(text, star))]
-    yield from _induce(text, kind_s, star, most)
-
-
-def _order_of_names(names: np.ndarray) -> np.ndarray:
-    """Suffix order of the reduced string. It has nearly as many symbols as places, too many for queues: by doubling."""
-    rank, step, n = names, 1, len(names)
-    order = np.argsort(rank, kind="stable")
-    while step < n and int(rank.max()) < n - 1:  # ranks have no gaps
-        key = rank * (n + 1) + np.append(rank[step:] + 1, np.zeros(min(step, n), np.int64))[:n]
-        order = np.argsort(key, kind="stable")
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
-        step *= 2
-    return order
-
-
-def _names(text: np.ndarray, star: np.ndarray) -> np.ndarray:
-    """Ranks of the substrings from each S* place to the next; equal ones share a rank. Refined byte by byte where ranks are still shared."""
-    n, end = len(text), np.append(star[1:] + 1, len(text))
-    rank, live, k = np.zeros(len(star), np.int64), np.arange(len(star)), 0
-    while len(live):
-        at = star[live] + k
-        # a substring that ends sorts behind one that goes on (it goes on with an L suffix), the end of the text before all
-        over = np.where(end[live] == n, 0, 257)
-        symbol = np.where(at < end[live], text[np.minimum(at, n - 1)].astype(np.int64) + 1, over)
-        order = np.lexsort((symbol, rank[live]))
-        r, s = rank[live][order], symbol[order]
-        group = np.append(True, r[1:] != r[:-1])
-        new = group | np.append(True, s[1:] != s[:-1])
-        spot = np.arange(len(r))
-        rank[live[order]] = r + np.maximum.accumulate(np.where(new, spot, 0)) - np.maximum.accumulate(np.where(group, spot, 0))
-        alone = new & np.append(new[1:], True)
-        live = live[order][~alone & (s > 0) & (s < 257)]
-        k += 1
-    return np.unique(rank, return_inverse=True)[1]
-
-
 def repeated(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, most: int = QUEUED) -> np.ndarray:
     """Of the places ``starts`` (whose strings of ``length`` bytes lie inside one context), those whose string also starts at another of them."""
     valid = np.zeros(len(text), bool)
     valid[starts] = True
-    eight = np.ndarray(max(len(text) - 7, 0), np.uint64, np.ascontiguousarray(text), 0, (1,))  # the 8 bytes from every place on
-    found, last = [np.zeros(0, np.int64)], np.zeros(0, np.int64)
-    held, size = [], 0
-
-    def compare() -> None:
-        nonlocal last
-        run = np.concatenate([last, *held])
-        a, b = run[:-1], run[1:]
-        for off in [length - 8, *range(0, length - 8, 8)]:  # the common prefix, 8 bytes at a time, the last ones first
-            if not len(a):
-                break
-            same = eight[a + off] == eight[b + off]
-            a, b = a[same], b[same]
-        found.extend((a, b))
-        last = run[-1:]
-
-    for run in suffix_order(text, most):
-        held.append(run[valid[run]])
-        size += len(held[-1])
-        if size >= 1 << 18:
-            compare()
-            held, size = [], 0
-    compare()
-    return np.unique(np.concatenate(found))
+    held, found = np.zeros(0, np.int64), [np.zeros(0, np.int64)]
+    for place, common in suffix_order(text, length, most):
+        group = np.cumsum(common < length)  # 0 goes on with the last one of the piece before
+        own = valid[place]
+        group, place, last = np.append(np.zeros(len(held), np.int64), group[own]), np.append(held, place[own]), int(group[-1])
+        several = np.bincount(group, minlength=last + 1)[group] > 1
+        found.append(place[several & (group < last)])
+        held = place[group == last]
+    if len(held) > 1:
+        found.append(held)
+    return np.sort(np.concatenate(found))
 
 
 # ---------------------------------------------------------------- distributed part
 def _contexts(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(anchor, context, id, row, at): each anchor with a digest of its context. ``at`` is first window * 256 + further windows."""
+    """(anchor, context, id, row, at): each anchor with a digest of its context. ``at`` packs the first window and the number of further ones."""
     bounded_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -286,11 +144,11 @@ def _contexts(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataF
                 raw, base = data.tobytes(), at[text]
                 own = b"".join([digest(raw[x:y], p) for x, y, p in zip((base + lo).tolist(), (base + hi + length).tolist(), (place - lo).tolist(), strict=True)])
                 pick = pa.array(text + a)
-                cols = [pa.array(h.view(np.int64)), pa.array(np.frombuffer(own, ">i8").astype(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(lo * 256 + hi - lo)]
+                cols = [pa.array(h.view(np.int64)), pa.array(np.frombuffer(own, ">i8").astype(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(lo << MORE_BITS | hi - lo)]
                 yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "id", "row", "at"])
 
-    own = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("t"))
-    return own.mapInArrow(run, f"anchor long, context long, id {kind}, row long, at long")
+    own = docs.select(column(id_col).alias("id"), row_key(id_col, text_col).alias("row"), column(text_col).alias("t"))
+    return own.mapInArrow(run, T.StructType([*T.StructType.fromDDL("anchor long, context long").fields, *schema_of(own, ["id"], "row long, at long").fields]))
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -356,54 +214,48 @@ def _sorted_shards(length: int, most: int):
     return run
 
 
-def _windows(length: int):
-    """Contexts -> (w1, w2, id, row, lo): digest of every single window."""
+def _dealt_again(length: int):
+    """Contexts of one anchor -> parts of them by the least of another hash in each window: equal windows still share a part's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            pick, lo, digests = [], [], []
-            for i, (context, base) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("lo").to_pylist(), strict=True)):
-                n = len(context) - length + 1
-                digests += [xxhash.xxh3_128_digest(context[k : k + length]) for k in range(n)]
-                pick += [i] * n
-                lo += range(base, base + n)
-            d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            who = pa.array(pick, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), batch.column("id").take(who), batch.column("row").take(who), pa.array(lo, pa.int64())], ["w1", "w2", "id", "row", "lo"])
+            contexts = batch.column(3)
+            data, at = bytes_of(contexts)
+            text, h, _, lo, hi = anchors(data, at, length, SECOND)
+            raw, base = data.tobytes(), at[text]
+            pick = pa.array(text)
+            key = _mix(batch.column(4).to_numpy().view(np.uint64)[text] ^ _mix(h)).view(np.int64)
+            parts = pa.array([raw[a:b] for a, b in zip((base + lo).tolist(), (base + hi + length).tolist(), strict=True)], pa.binary())
+            first = batch.column(2).to_numpy()[text] + lo
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first), parts, pa.array(key)], ["id", "row", "lo", "bytes", "anchor"])
 
     return run
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most_contexts: int = MOST_CONTEXTS, queued: int = QUEUED) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, many: int = MANY_CONTEXTS, queued: int = QUEUED) -> DataFrame:
     """(id, row, lo, hi): all windows of ``length`` bytes that start at lo to hi of a document occur elsewhere too."""
+    if not 2 <= length <= 1 << MORE_BITS:
+        raise ValueError(f"a window has 2 to {1 << MORE_BITS} bytes")
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
     found = checkpointed(_several(_contexts(docs, id_col, text_col, length)))
     release(spark)
     first = F.min(F.struct("id", "row", "at")).alias("first")
     by_context = checkpointed(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), first).select("anchor", "context", "n", "first.*"))
     several = by_context.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    lo, more = F.shiftright("at", 8), F.col("at").bitwiseAND(255)
+    lo, more = F.shiftright("at", MORE_BITS), F.col("at").bitwiseAND((1 << MORE_BITS) - 1)
     wanted = by_context.join(several, "anchor").select("id", "row", F.struct("anchor", "m", lo.alias("lo"), more.alias("more")).alias("w"))
 
     # the texts of the contexts to be sorted
-    own = docs.select(F.col(id_col).alias("__id"), row_key(id_col, text_col).alias("__row"), F.col(text_col).cast("binary").alias("t"))
+    own = docs.select(column(id_col).alias("__id"), row_key(id_col, text_col).alias("__row"), column(text_col).cast("binary").alias("t"))
     wanted = wanted.groupBy("id", "row").agg(F.collect_list("w").alias("ws"))
     met = wanted.join(own, (F.col("row") == F.col("__row")) & F.col("id").eqNullSafe(F.col("__id"))).select("id", "row", "t", F.explode("ws").alias("w"))
     cut = F.substring("t", (F.col("w.lo") + 1).cast("int"), (F.col("w.more") + length).cast("int"))
-    texts = checkpointed(met.select("w.anchor", "w.m", "id", "row", "w.lo", cut.alias("bytes")))
+    texts = checkpointed(met.select("id", "row", "w.lo", cut.alias("bytes"), "w.anchor", "w.m"))
     release(spark)
 
-    schema = f"id {kind}, row long, lo long, hi long"
-    few = texts.filter(F.col("m") <= most_contexts).select("anchor", "id", "row", "lo", "bytes")
-    by_sort = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards(length, queued), schema)
-    windows = texts.filter(F.col("m") > most_contexts).select("id", "row", "lo", "bytes").mapInArrow(_windows(length), f"w1 long, w2 long, id {kind}, row long, lo long")
-    singles = checkpointed(windows)
-    twice = singles.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    by_count = singles.join(twice, ["w1", "w2"], "left_semi").select("id", "row", "lo", F.col("lo").alias("hi"))
-    part = by_sort.unionByName(by_count)
+    few, hot = texts.filter(F.col("m") <= many).drop("m"), texts.filter(F.col("m") > many).drop("m")
+    dealt = few.unionByName(hot.mapInArrow(_dealt_again(length), few.schema))
+    part = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards(length, queued), schema_of(few, ["id"], "row long, lo long, hi long"))
     # contexts that come more than once are repeated as a whole, wherever they are
     often = by_context.filter("n > 1").select("anchor", "context")
     whole = found.join(often, ["anchor", "context"], "left_semi").select("id", "row", lo.alias("lo"), (lo + more).alias("hi"))
@@ -413,14 +265,17 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), length: int = LENGTH, **options) -> DataFrame:
     """One row per document: id, ``keep``..., n_bytes, n_removed, n_spans, kept_sha256, spans (``start:end`` byte ranges removed), kept (bytes).
 
-    Null texts are empty; texts under ``length`` bytes are never touched. Repeated rows (same id and text) repeat each other and come out alike.
+    Null texts are empty; texts under ``length`` bytes are never touched. Repeated rows (same id and text) repeat each other and come out alike, and
+    so do equal texts under several ids: all copies of a repeated string go. An empty table gives no rows. A text of any length is one block of its
+    task. Columns other than those named are ignored, whatever their names.
     """
     windows = repeated_windows(docs, id_col, text_col, length, **options)
     release(docs.sparkSession)  # of all that led to the windows only these are needed from here on
-    held = windows.groupBy("id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("__spans")).withColumnsRenamed({"id": "__id", "row": "__row"})
-    own = docs.select(id_col, *keep, row_key(id_col, text_col).alias("__key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__t"))
-    met = own.join(held, (F.col("__key") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
     names = [id_col, *keep]
+    id_at, row_at, key_at, text_at, spans_at = free_names(docs.select(*map(column, names)), "id_", "row_", "key_", "text_", "spans_")
+    held = windows.groupBy(F.col("id").alias(id_at), F.col("row").alias(row_at)).agg(F.collect_set(F.struct("lo", "hi")).alias(spans_at))
+    own = docs.select(*map(column, names), row_key(id_col, text_col).alias(key_at), F.coalesce(column(text_col), F.lit("")).cast("binary").alias(text_at))
+    met = own.join(held, (F.col(key_at) == F.col(row_at)) & column(id_col).eqNullSafe(F.col(id_at)), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -439,8 +294,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return met.select(*names, "__t", "__spans").mapInArrow(cut, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, kept binary")
+    schema = schema_of(docs, names, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, kept binary")
+    return met.select(*map(column, names), text_at, spans_at).mapInArrow(cut, schema)
 
 
 def _union(spans: list[dict], length: int) -> list[tuple[int, int]]:

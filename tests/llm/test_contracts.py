@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from bibspark.llm import decontaminate, langid, lines, mixing, quality, secrets, simhash, suffix
+from bibspark.llm import decontaminate, induced, langid, lines, mixing, quality, secrets, simhash, suffix
 
 from . import fixtures
 
@@ -224,36 +224,69 @@ def test_quality_counts(docs, rows):
     assert quality.quality_filter(docs).count() == sum(r["kept"] for r in got)
 
 
-def test_suffix(docs, rows):
+@pytest.mark.parametrize("length,options", [(200, {}), (200, {"many": 1}), (200, {"queued": 100}), (100, {}), (400, {}), (600, {}), (20, {"many": 2})])
+def test_suffix(docs, rows, length, options):
     data = [(r[1] or "").encode() for r in rows]
-    seen = Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
+    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
 
     def brute(d):
         hit = bytearray(len(d))
-        for i in range(len(d) - 199):
-            if seen[d[i : i + 200]] > 1:
-                hit[i : i + 200] = b"\1" * 200
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                hit[i : i + length] = b"\1" * length
         kept = bytes(c for c, h in zip(d, hit, strict=True) if not h)
         return len(d), sum(hit), len(re.findall(b"\1+", bytes(hit))), hashlib.sha256(kept).hexdigest()
 
     want = Counter((r[0], *brute(d)) for r, d in zip(rows, data, strict=True))
     assert sum(n for x in want for n in [x[2]]) > 1000
-    assert counted(tuple(r)[:5] for r in suffix.dedup_substrings(docs).collect()) == want
-    # all anchors by counting; queues that spill
-    assert counted(tuple(r)[:5] for r in suffix.dedup_substrings(docs, most_contexts=1).collect()) == want
-    assert counted(tuple(r)[:5] for r in suffix.dedup_substrings(docs, queued=100).collect()) == want
+    assert counted(tuple(r)[:5] for r in suffix.dedup_substrings(docs, length=length, **options).collect()) == want
 
 
 def test_induced_sorting():
+    """Order and common prefixes, with queues that spill and without, taken in steps of any width."""
     import random
 
     import numpy as np
 
     rng = random.Random(1)
+
+    def common(a, b, most):
+        k = 0
+        while k < min(most, len(a), len(b)) and a[k] == b[k]:
+            k += 1
+        return k
+
     for _ in range(400):
-        s = bytes(rng.randint(97, 96 + rng.choice([1, 2, 3, 5])) for _ in range(rng.randint(0, 60)))
-        got = [int(x) for r in suffix.suffix_order(np.frombuffer(s, np.uint8), most=rng.choice([3, 1000])) for x in r]
-        assert got == sorted(range(len(s)), key=lambda i: s[i:])
+        s = bytes(rng.randint(0, rng.choice([1, 2, 3, 5])) for _ in range(rng.randint(0, 60))) * rng.choice([1, 1, 3])
+        length = rng.choice([1, 3, 8, 20])
+        got = [x for p, c in induced.suffix_order(np.frombuffer(s, np.uint8), length, rng.choice([3, 1000]), step=rng.choice([1, 2, 5, 1000])) for x in zip(p.tolist(), c.tolist(), strict=True)]
+        order = sorted(range(len(s)), key=lambda i: s[i:])
+        assert got == list(zip(order, [0, *(common(s[a:], s[b:], length) for a, b in zip(order, order[1:]))], strict=False))[: len(s)]
+
+
+def test_queues_spill_with_production_settings():
+    import numpy as np
+
+    text = np.random.default_rng(1).integers(97, 101, suffix.SHARD_BYTES // 2).astype(np.uint8)
+    scratch = induced.Scratch(induced.QUEUED)
+    try:
+        order = np.concatenate([p for p, _ in induced.suffix_order(text, 0, induced.QUEUED, scratch)])
+        assert scratch.folder and scratch.count > 10  # runs on disk, in a shard of half the usual size
+    finally:
+        scratch.close()
+    assert np.array_equal(np.sort(order), np.arange(len(text)))
+    raw = text.tobytes()
+    assert all(raw[a : a + 64] <= raw[b : b + 64] for a, b in zip(order[:-1:97].tolist(), order[1::97].tolist(), strict=True))
+
+
+def test_anchors_of_one_repeated_byte():
+    import time
+
+    import numpy as np
+
+    began = time.time()
+    text, *_, lo, hi = suffix.anchors(np.full(1_000_000, 97, np.uint8), np.array([0, 1_000_000]))
+    assert (hi - lo + 1).sum() == 1_000_000 - suffix.LENGTH + 1 and time.time() - began < 10
 
 
 WORD9 = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
