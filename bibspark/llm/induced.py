@@ -17,6 +17,7 @@ larger than memory. All files lie in one scratch folder of the running task and
 
 from __future__ import annotations
 
+import os
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -25,6 +26,8 @@ import numpy as np
 
 #: Tuples that a queue holds in memory; the same for any text.
 QUEUED = 1 << 18
+#: Bytes that count as one tuple where arrays are held.
+TUPLE_BYTES = 32
 #: Tuples of one piece of a result; tuples that a pass over names takes at once.
 PIECE, STEP = 1 << 18, 1 << 15
 #: Rounds in which tuples taken at once may still move.
@@ -33,21 +36,28 @@ _NONE, _NO_PREFIX = np.zeros(0, np.int64), np.zeros(0, np.int16)
 
 
 class Scratch:
-    """Files of one sort. Arrays of over ``most`` items go to disk and come back mapped into memory."""
+    """Files of one sort. Arrays of over ``most`` tuples' size go to disk and come back mapped into memory; a file has no name any more once it is
+    mapped, so that its space is free as soon as its array is."""
 
     def __init__(self, most: int):
-        self.most, self.folder, self.count = most, None, 0
+        self.most_bytes, self.folder, self.count = most * TUPLE_BYTES, None, 0
 
     def path(self) -> str:
         self.folder = self.folder or tempfile.mkdtemp(prefix="induce-")
         self.count += 1
-        return f"{self.folder}/{self.count}.npy"
+        return f"{self.folder}/{self.count}"
+
+    def mapped(self, path: str, dtype: np.dtype) -> np.ndarray:
+        values = np.asarray(np.memmap(path, dtype, "r"))
+        os.unlink(path)
+        return values
+
+    def put(self, values: np.ndarray) -> np.ndarray:
+        values.tofile(path := self.path())
+        return self.mapped(path, values.dtype)
 
     def hold(self, values: np.ndarray) -> np.ndarray:
-        if len(values) <= self.most:
-            return values
-        np.save(path := self.path(), values)
-        return np.asarray(np.load(path, mmap_mode="r"))
+        return values if values.nbytes <= self.most_bytes else self.put(values)
 
     def close(self) -> None:
         if self.folder:
@@ -58,31 +68,34 @@ class Sequence:
     """Arrays appended piece by piece, read as one; on disk once they outgrow the scratch folder's limit."""
 
     def __init__(self, scratch: Scratch, dtype: type):
-        self.scratch, self.parts, self.file, self.held, self.dtype = scratch, [], None, 0, dtype
+        self.scratch, self.parts, self.path, self.held, self.dtype = scratch, [], None, 0, np.dtype(dtype)
 
     def add(self, values: np.ndarray) -> None:
         self.parts.append(values.astype(self.dtype, copy=False))
-        self.held += len(values)
-        if self.held > self.scratch.most:
-            self.file = self.file or open(self.scratch.path(), "wb")
+        self.held += self.parts[-1].nbytes
+        if self.held > self.scratch.most_bytes:
+            self._write()
+
+    def _write(self) -> None:
+        self.path = self.path or self.scratch.path()
+        with open(self.path, "ab") as file:
             for part in self.parts:
-                part.tofile(self.file)
-            self.parts, self.held = [], 0
+                part.tofile(file)
+        self.parts, self.held = [], 0
 
     def whole(self) -> np.ndarray:
-        if self.file is None:
+        if self.path is None:
             return np.concatenate([np.zeros(0, self.dtype), *self.parts])
-        for part in self.parts:
-            part.tofile(self.file)
-        self.file.close()
-        return np.asarray(np.memmap(self.file.name, self.dtype, "r"))
+        self._write()
+        return self.scratch.mapped(self.path, self.dtype)
 
 
 class SuffixQueue:
     """Monotone priority queue of suffix tuples: what is pushed never comes before what has been taken. Full buffers become runs on disk, sorted by symbol."""
 
-    def __init__(self, scratch: Scratch, most: int):
+    def __init__(self, scratch: Scratch, most: int, place: type):
         self.scratch, self.most, self.buffer, self.size, self.runs = scratch, most, [], 0, []
+        self.kinds = (np.int32, place, np.int16) if place is np.int32 else (np.int64, place, np.int16)  # names are no more than places
 
     def push(self, *columns: np.ndarray) -> None:
         """Symbols, places, common prefixes; in order of arrival."""
@@ -91,20 +104,16 @@ class SuffixQueue:
         if self.size > self.most:
             columns = [np.concatenate(x) for x in zip(*self.buffer, strict=True)]
             order = np.argsort(columns[0], kind="stable")
-            self.runs.append([0, *(self._run(x[order]) for x in columns)])
+            self.runs.append([0, *(self.scratch.put(x[order].astype(kind, copy=False)) for x, kind in zip(columns, self.kinds, strict=True))])
             self.buffer, self.size = [], 0
 
-    def _run(self, values: np.ndarray) -> np.ndarray:
-        np.save(path := self.scratch.path(), values)
-        return np.asarray(np.load(path, mmap_mode="r"))
-
     def take(self, end: int) -> tuple[np.ndarray, ...]:
         """All tuples with a symbol under ``end``, by arrival as far as they share a symbol."""
         found = []
         for run in self.runs:
             start, stop = run[0], int(np.searchsorted(run[1], end))
             if stop > start:
-                found.append([np.array(x[start:stop]) for x in run[1:]])
+                found.append([run[1][start:stop].astype(np.int64), run[2][start:stop].astype(np.int64), np.array(run[3][start:stop])])
                 run[0] = stop
         self.runs = [run for run in self.runs if run[0] < len(run[1])]
         if self.buffer:
@@ -117,6 +126,10 @@ class SuffixQueue:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _place_type(n: int) -> type:
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Minimum of ``values`` from each first to each last place, by minima over powers of two."""
     out = np.empty(len(first), values.dtype)
@@ -158,7 +171,7 @@ class _Pass:
 
     def __init__(self, text: np.ndarray, kind: np.ndarray, want: bool, mirror: int, room: np.ndarray, step: int, length: int, most: int, scratch: Scratch, out: tuple[Sequence, Sequence]):
         self.text, self.kind, self.want, self.mirror, self.length, self.out = text, kind, want, mirror, length, out
-        self.ends, self.step, self.queue = np.cumsum(room), step, SuffixQueue(scratch, most)
+        self.ends, self.step, self.queue = np.cumsum(room), step, SuffixQueue(scratch, most, _place_type(len(text)))
         self.gap = np.full(len(room) if length else 0, -1, np.int16)  # least common prefix since the last push under each symbol; none yet
         self.before: tuple[int, int, int] = (-1, -1, 0)  # symbol, place and turn of the last suffix met
 
@@ -304,16 +317,27 @@ def _same(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> n
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of the suffixes at each a and b, up to ``most``."""
+    """Length of the common prefix of the suffixes at each a and b, up to ``most``; bytes are compared eight at a time while there are eight."""
     out, live, n = np.zeros(len(a), np.int16), np.arange(len(a)), len(text)
-    for k in range(most):
-        x, y = a[live] + k, b[live] + k
-        inside = (x < n) & (y < n)
-        live, x, y = live[inside], x[inside], y[inside]
+    if text.dtype == np.uint8 and n >= 8:
+        eight = np.ndarray(n - 7, np.uint64, np.ascontiguousarray(text), 0, (1,))
+        going = live
+        for k in range(0, most - 7, 8):
+            x, y = a[going] + k, b[going] + k
+            good = (x < n - 7) & (y < n - 7)
+            good[good] = eight[x[good]] == eight[y[good]]
+            going = going[good]
+            out[going] = k + 8
+            if not len(going):
+                break
+    for _ in range(most):
+        x, y = a[live] + out[live], b[live] + out[live]
+        good = (x < n) & (y < n) & (out[live] < most)
+        live, x, y = live[good], x[good], y[good]
         live = live[text[x] == text[y]]
         if not len(live):
             break
-        out[live] = k + 1
+        out[live] += 1
     return out
 
 
@@ -338,13 +362,13 @@ def _sorted(text: np.ndarray, length: int, most: int, scratch: Scratch, step: in
     sigma = int(text.max()) + 1
     room = np.bincount(text, minlength=sigma)
     step = step or STEP
-    star = scratch.hold(np.flatnonzero(kind[1:] & ~kind[:-1]) + 1)
+    star = scratch.hold((np.flatnonzero(kind[1:] & ~kind[:-1]) + 1).astype(_place_type(n)))
 
     def both(seeds: np.ndarray, prefixes: np.ndarray | None, keep: int) -> tuple[np.ndarray, ...]:
         """L suffixes in order and S suffixes in reverse order, each with common prefixes, induced from S* suffixes in order."""
-        large, small = (Sequence(scratch, np.int64), Sequence(scratch, np.int16)), (Sequence(scratch, np.int64), Sequence(scratch, np.int16))
+        large, small = ((Sequence(scratch, _place_type(n)), Sequence(scratch, np.int16)) for _ in range(2))
         blank = lambda a, b: np.zeros(b - a, np.int16)
-        read = lambda a, b: (text[seeds[a:b]].astype(np.int64), np.array(seeds[a:b]), blank(a, b) if prefixes is None else prefixes[a:b])
+        read = lambda a, b: (text[seeds[a:b]].astype(np.int64), seeds[a:b].astype(np.int64), blank(a, b) if prefixes is None else prefixes[a:b])
         upto = np.cumsum(np.bincount(text[seeds], minlength=sigma)) if len(seeds) else np.zeros(sigma, np.int64)
         own = step if not keep else 0  # common prefixes: one symbol at a time
         _Pass(text, kind, False, -1, room, own, keep, most, scratch, large).run(np.array([n - 1]), _Seeds(len(seeds), read, upto))
@@ -352,7 +376,7 @@ def _sorted(text: np.ndarray, length: int, most: int, scratch: Scratch, step: in
         size = len(places)
 
         def back(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            own = np.array(places[size - b : size - a][::-1])
+            own = places[size - b : size - a][::-1].astype(np.int64)
             # with the next larger one, which comes before it here
             after = np.append(commons[size - b + 1 : size - a + 1], np.zeros(1, np.int16))[: b - a][::-1] if keep else blank(a, b)
             return sigma - 1 - text[own].astype(np.int64), own, after
@@ -364,28 +388,32 @@ def _sorted(text: np.ndarray, length: int, most: int, scratch: Scratch, step: in
     if len(star) > 1:
         rough = star[np.argsort(text[star], kind="stable")]
         down = both(rough, None, 0)[2]
-        order = down[(down > 0) & ~kind[np.maximum(down, 1) - 1]][::-1]
+        order = down[(down > 0) & ~kind[np.maximum(down, 1) - 1]][::-1].astype(np.int64)
+        del down
         # names: equal substrings, from one S* place to the next, share one
+        turn = np.empty(n, star.dtype)
+        turn[star] = np.arange(len(star))
+        turn = turn[order]
         after = np.append(star[1:], n)
-        size = after[np.searchsorted(star, order)] - order + 1
+        size = after[turn] - order + 1
         same = np.zeros(len(order), bool)
         like = np.flatnonzero((size[1:] == size[:-1]) & (order[1:] + size[1:] <= n) & (order[:-1] + size[:-1] <= n))
         same[like + 1] = _same(text, order[like], order[like + 1], size[like])
         if same.any():
-            names = np.empty(len(star), np.int64)
-            names[np.searchsorted(star, order)] = np.cumsum(~same) - 1
+            names = np.empty(len(star), np.int32 if len(star) < 1 << 31 else np.int64)
+            names[turn] = np.cumsum(~same) - 1
             order = np.concatenate([star[p] for p, _ in suffix_order(names, 0, most, scratch)])
-        seeds = scratch.hold(order)
+        seeds = scratch.hold(order.astype(star.dtype))
     else:
         seeds = star
-    prefixes = np.append(np.zeros(min(len(seeds), 1), np.int16), common_prefix(text, seeds[:-1], seeds[1:], length)) if length else None
+    prefixes = np.append(np.zeros(min(len(seeds), 1), np.int16), common_prefix(text, seeds[:-1].astype(np.int64), seeds[1:].astype(np.int64), length)) if length else None
     large, up, small, down = both(seeds, prefixes, length)
     l_end, s_end = np.cumsum(np.bincount(text[large], minlength=sigma)), np.cumsum(np.bincount(text[small], minlength=sigma)) if len(small) else np.zeros(sigma, np.int64)
     lo = a = b = 0
     while lo < sigma:
         hi = max(int(np.searchsorted(l_end + s_end, a + b + PIECE, "right")), lo + 1)
         c, d = int(l_end[hi - 1]), int(s_end[hi - 1])
-        mine, other = np.array(large[a:c]), np.array(small[len(small) - d : len(small) - b][::-1])
+        mine, other = large[a:c].astype(np.int64), small[len(small) - d : len(small) - b][::-1].astype(np.int64)
         place = np.concatenate([mine, other])
         key = np.concatenate([2 * text[mine].astype(np.int64), 2 * text[other].astype(np.int64) + 1])
         order = np.argsort(key, kind="stable")

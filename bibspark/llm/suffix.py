@@ -8,8 +8,11 @@ different contexts around one anchor, at the ends of repeated passages and aroun
 shards by anchor, one copy per different context. Anchors with very many different contexts are dealt
 out once more, by the least of another hash in each window.
 
-A shard's contexts are one text, put in suffix order by external induced sorting (see induced.py);
-suffixes between which all common prefixes reach LENGTH bytes are the repeats.
+Contexts that cannot share a window are left out without loss: windows begin in one of PARTS ranges
+before their anchor, all those of a range have most of their bytes in common, and a context that shares
+these with no other one of its anchor, for any range, has no repeat. A shard's contexts are one text,
+put in suffix order by external induced sorting (see induced.py); suffixes between which all common
+prefixes reach LENGTH bytes are the repeats.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ LENGTH = 200
 #: Bytes of an anchor (less for short windows); the least of LENGTH - GRAM + 1 hashes is the anchor of a window. Multipliers of the two hashes.
 GRAM, FIRST, SECOND = 32, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 #: Least bytes of one sorted shard: many times what the sorter's queues hold in memory.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Different contexts of one anchor from which on they are dealt out once more.
-MANY_CONTEXTS = 1 << 12
+MANY_CONTEXTS = 1 << 13
 BLOCK_BYTES = 1 << 20
-#: Bits of a packed place that hold the further windows of a context.
+#: Ranges of window starts before an anchor, by which contexts are sieved.
+PARTS = 8
+#: Bits of a packed place that hold the further windows of a context; as many hold how far its anchor is from its start.
 MORE_BITS = 20
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,10 +104,15 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, base: int =
         out.append((h[p], p, first, np.minimum(last, p)))
         more = p < last
         first, last, mine = p[more] + 1, last[more], mine[more]
-        if len(out) == 16:  # long runs of one hash: every window by itself
+        if len(out) == 16 and len(first):  # long runs of one hash: the places of all their windows at once
             size = last - first + 1
             mine = np.repeat(mine, size)
-            first = last = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(mine))
+            window = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(mine))
+            p = place[np.searchsorted(key, mine * np.int64(n) + window)]
+            new = np.append(True, (p[1:] != p[:-1]) | (window[1:] != window[:-1] + 1))
+            first = np.flatnonzero(new)
+            out.append((h[p[first]], p[first], window[first], window[np.append(first[1:], len(p)) - 1]))
+            break
     hashes, places, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
     text = np.searchsorted(at, lo, "right") - 1
     return text, hashes, places - at[text], lo - at[text], hi - at[text]
@@ -127,7 +137,7 @@ def repeated(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, most: i
 
 # ---------------------------------------------------------------- distributed part
 def _contexts(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(anchor, context, id, row, at): each anchor with a digest of its context. ``at`` packs the first window and the number of further ones."""
+    """(anchor, context, id, row, at): each anchor with a digest of its context. ``at`` packs the first window, the number of further ones, and the anchor's distance."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +154,7 @@ def _contexts(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataF
                 raw, base = data.tobytes(), at[text]
                 own = b"".join([digest(raw[x:y], p) for x, y, p in zip((base + lo).tolist(), (base + hi + length).tolist(), (place - lo).tolist(), strict=True)])
                 pick = pa.array(text + a)
-                cols = [pa.array(h.view(np.int64)), pa.array(np.frombuffer(own, ">i8").astype(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(lo << MORE_BITS | hi - lo)]
+                cols = [pa.array(h.view(np.int64)), pa.array(np.frombuffer(own, ">i8").astype(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array((lo << MORE_BITS | hi - lo) << MORE_BITS | place - lo)]
                 yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "id", "row", "at"])
 
     own = docs.select(column(id_col).alias("id"), row_key(id_col, text_col).alias("row"), column(text_col).alias("t"))
@@ -172,11 +182,39 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, rows.schema)
 
 
+def _can_repeat(rows: pa.Table, length: int) -> np.ndarray:
+    """Which contexts share, with another one of their anchor, the bytes common to all windows that begin in one of PARTS ranges before the anchor."""
+    from xxhash import xxh3_64_intdigest
+
+    span = length - min(GRAM, 1 << length.bit_length() - 1)
+    edge = [i * (span + 1) // PARTS for i in range(PARTS + 1)]
+    anchor, texts, offs = rows.column("anchor").to_numpy(), rows.column("bytes").to_pylist(), rows.column("off").to_pylist()
+    keep = np.zeros(len(texts), bool)
+    for near, far in zip(edge, edge[1:], strict=False):
+        if near == far:
+            continue
+        who, key = [], []
+        for i, (text, off) in enumerate(zip(texts, offs, strict=True)):
+            if near <= off and off + length - (far - 1) <= len(text):
+                who.append(i)
+                key.append(xxh3_64_intdigest(text[off - near : off + length - (far - 1)]))
+        at, own = np.array(who, np.int64), np.array(key, np.uint64)
+        order = np.lexsort((own, anchor[at]))
+        at, own = at[order], own[order]
+        same = (own[1:] == own[:-1]) & (anchor[at][1:] == anchor[at][:-1])
+        keep[at[1:][same]] = keep[at[:-1][same]] = True
+    return keep
+
+
 def _sorted_shards(length: int, most: int):
     """Contexts sorted by anchor -> repeated windows of each, as (id, row, lo, hi) of first and last window; a shard is whole anchors of at least SHARD_BYTES."""
 
+    def sieved(rows: pa.Table) -> pa.Table:
+        return rows.filter(pa.array(_can_repeat(rows, length))).combine_chunks()
+
     def find(rows: pa.Table) -> pa.RecordBatch:
-        contexts = rows.column("bytes").combine_chunks()
+        rows = rows.combine_chunks()
+        contexts = pa.concat_arrays([pa.array([], pa.binary()), *rows.column("bytes").chunks])
         data, at = bytes_of(contexts)
         ends = np.diff(at) - length  # last window's start in each context
         count = ends + 1
@@ -196,20 +234,26 @@ def _sorted_shards(length: int, most: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # rows of which the last anchor may go on
+        ready: list[pa.Table] = []  # sieved, whole anchors
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             if sum(x.nbytes for x in held) >= SHARD_BYTES:
-                rows = pa.Table.from_batches(held)
+                rows = pa.Table.from_batches(held).combine_chunks()
                 anchor = rows.column("anchor").to_numpy()
-                cut = int(np.searchsorted(anchor, anchor[-1]))  # sorted: the last anchor may go on
+                cut = int(np.searchsorted(anchor, anchor[-1]))
                 if cut:
-                    yield find(rows.slice(0, cut).combine_chunks())
+                    ready.append(sieved(rows.slice(0, cut)))
                 held = rows.slice(cut).combine_chunks().to_batches()
+            if sum(x.nbytes for x in ready) >= SHARD_BYTES:
+                yield find(pa.concat_tables(ready))
+                ready = []
         if held:
-            yield find(pa.Table.from_batches(held))
+            ready.append(sieved(pa.Table.from_batches(held)))
+        if ready:
+            yield find(pa.concat_tables(ready))
 
     return run
 
@@ -221,13 +265,13 @@ def _dealt_again(length: int):
         for batch in batches:
             contexts = batch.column(3)
             data, at = bytes_of(contexts)
-            text, h, _, lo, hi = anchors(data, at, length, SECOND)
+            text, h, place, lo, hi = anchors(data, at, length, SECOND)
             raw, base = data.tobytes(), at[text]
             pick = pa.array(text)
             key = _mix(batch.column(4).to_numpy().view(np.uint64)[text] ^ _mix(h)).view(np.int64)
             parts = pa.array([raw[a:b] for a, b in zip((base + lo).tolist(), (base + hi + length).tolist(), strict=True)], pa.binary())
             first = batch.column(2).to_numpy()[text] + lo
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first), parts, pa.array(key)], ["id", "row", "lo", "bytes", "anchor"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first), parts, pa.array(key), pa.array(place - lo)], ["id", "row", "lo", "bytes", "anchor", "off"])
 
     return run
 
@@ -242,15 +286,16 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = F.min(F.struct("id", "row", "at")).alias("first")
     by_context = checkpointed(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), first).select("anchor", "context", "n", "first.*"))
     several = by_context.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    lo, more = F.shiftright("at", MORE_BITS), F.col("at").bitwiseAND((1 << MORE_BITS) - 1)
-    wanted = by_context.join(several, "anchor").select("id", "row", F.struct("anchor", "m", lo.alias("lo"), more.alias("more")).alias("w"))
+    low = (1 << MORE_BITS) - 1
+    lo, more, off = F.shiftright("at", 2 * MORE_BITS), F.shiftright("at", MORE_BITS).bitwiseAND(low), F.col("at").bitwiseAND(low)
+    wanted = by_context.join(several, "anchor").select("id", "row", F.struct("anchor", "m", lo.alias("lo"), more.alias("more"), off.alias("off")).alias("w"))
 
     # the texts of the contexts to be sorted
     own = docs.select(column(id_col).alias("__id"), row_key(id_col, text_col).alias("__row"), column(text_col).cast("binary").alias("t"))
     wanted = wanted.groupBy("id", "row").agg(F.collect_list("w").alias("ws"))
     met = wanted.join(own, (F.col("row") == F.col("__row")) & F.col("id").eqNullSafe(F.col("__id"))).select("id", "row", "t", F.explode("ws").alias("w"))
     cut = F.substring("t", (F.col("w.lo") + 1).cast("int"), (F.col("w.more") + length).cast("int"))
-    texts = checkpointed(met.select("id", "row", "w.lo", cut.alias("bytes"), "w.anchor", "w.m"))
+    texts = checkpointed(met.select("id", "row", "w.lo", cut.alias("bytes"), "w.anchor", "w.off", "w.m"))
     release(spark)
 
     few, hot = texts.filter(F.col("m") <= many).drop("m"), texts.filter(F.col("m") > many).drop("m")

@@ -267,11 +267,11 @@ def test_induced_sorting():
 def test_queues_spill_with_production_settings():
     import numpy as np
 
-    text = np.random.default_rng(1).integers(97, 101, suffix.SHARD_BYTES // 2).astype(np.uint8)
+    text = np.random.default_rng(1).integers(97, 101, suffix.SHARD_BYTES).astype(np.uint8)
     scratch = induced.Scratch(induced.QUEUED)
     try:
         order = np.concatenate([p for p, _ in induced.suffix_order(text, 0, induced.QUEUED, scratch)])
-        assert scratch.folder and scratch.count > 10  # runs on disk, in a shard of half the usual size
+        assert scratch.folder and scratch.count >= 3  # runs on disk, in a shard of the usual size
     finally:
         scratch.close()
     assert np.array_equal(np.sort(order), np.arange(len(text)))
