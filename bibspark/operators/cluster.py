@@ -10,8 +10,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_ROUNDS = 200
-
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The folder that the cluster names; a temporary one only in local mode."""
@@ -35,13 +33,12 @@ def reachable(members: DataFrame, edges: DataFrame) -> DataFrame:
     """
     edges = cut(edges.select("bucket", "j", "i"))
     found = front = cut(members.groupBy("bucket").agg(F.min("ord").alias("ord")))
-    for _ in range(MOST_ROUNDS):
+    while True:  # a round per step of the longest path
         step = edges.join(front.withColumnRenamed("ord", "j"), ["bucket", "j"]).select("bucket", F.col("i").alias("ord")).distinct()
         front = cut(step.join(found, ["bucket", "ord"], "left_anti"))
         if front.isEmpty():
             return found
         found = found.unionByName(front)  # of checkpointed rounds
-    raise RuntimeError("no end of the greedy pass")
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -53,7 +50,7 @@ def stars(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select("j", "i").distinct())
     nodes = edges.select(F.col("j").alias("ord")).union(edges.select("i")).distinct()
     decided = None
-    for _ in range(MOST_ROUNDS):
+    while True:  # each round decides the first open node of every component at least
         if decided is None:
             state = nodes.withColumn("seed", F.lit(None).cast("long"))
         else:
@@ -73,4 +70,3 @@ def stars(edges: DataFrame) -> DataFrame:
         decided = now.filter(F.col("seed").isNotNull())
         if now.filter(F.col("seed").isNull()).isEmpty():
             return now
-    raise RuntimeError("no end of the star cover")

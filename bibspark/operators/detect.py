@@ -19,12 +19,8 @@ from .cluster import cut, reachable, stars
 
 @dataclass(frozen=True)
 class MatchConfig:
-    isbn_match_threshold: float = 1.0
-    title_author_match_threshold: float = 0.90
     simhash_threshold: float = 0.80
-    size_match_tolerance: float = 0.05
     min_duplicate_size: int = 2
-    author_verification_strict: bool = True
     #: Stage 5 can be left out without touching the others.
     enable_fuzzy: bool = True
 

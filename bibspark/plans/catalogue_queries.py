@@ -41,10 +41,17 @@ def isbn_books(spark: SparkSession, d: str) -> DataFrame:
     return books(spark, d).withColumn("isbn_normalized", isbn.normalize_isbn(c("isbn")))
 
 
+def fingerprinted_isbn_books(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(books of ISBN groups with fingerprints, their (bucket, ord)): only what is in a group is fingerprinted."""
+    own = isbn_books(spark, d)
+    found = detect.cut(detect.isbn_groups(own))
+    return fingerprint.with_fingerprints(own.join(found.select("ord"), "ord", "left_semi")), found
+
+
 def isbn_members(spark: SparkSession, d: str) -> DataFrame:
     """Members of the ISBN groups with fingerprint columns."""
-    own = fingerprint.with_fingerprints(books(spark, d)).withColumn("tags", edit.tags_of(c("tag_text")))
-    found = detect.isbn_groups(own)
+    own, found = fingerprinted_isbn_books(spark, d)
+    own = own.withColumn("tags", edit.tags_of(c("tag_text")))
     first = found.groupBy("bucket").agg(F.min("ord").alias("first")).withColumns({"stage": F.lit(0), "prefix": F.lit("group_isbn_")})
     ids = detect.numbered(first).select("bucket", "group_id")
     place = F.row_number().over(Window.partitionBy("group_id").orderBy("ord")) - 1
@@ -64,31 +71,24 @@ def ded02(spark: SparkSession, d: str) -> DataFrame:
     return own.join(detect.isbn_groups(own), "ord", "left_anti").select("ord", "file_path")
 
 
-_DETECTED: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
-
-
-def _detected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Books, groups and members of one detection run per session and catalogue, checkpointed: the stages' queries are views of it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _DETECTED:
-        own = detect.cut(fingerprint.with_fingerprints(books(spark, d)))
-        _DETECTED[key] = (own, *map(detect.cut, detect.detect(own)))
-    return _DETECTED[key]
+def _detected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Groups and members of a detection run over the whole catalogue."""
+    return detect.detect(fingerprint.with_fingerprints(books(spark, d)))
 
 
 @query("ded00_detect_groups")
 def ded00(spark: SparkSession, d: str) -> DataFrame:
-    return _detected(spark, d)[1].withColumn("similarity", F.round("similarity", 6))
+    return _detected(spark, d)[0].withColumn("similarity", F.round("similarity", 6))
 
 
 @query("ded00_detect_members")
 def ded00_members(spark: SparkSession, d: str) -> DataFrame:
-    return _detected(spark, d)[2]
+    return _detected(spark, d)[1]
 
 
 def _stage(match_type: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        _, groups, members = _detected(spark, d)
+        groups, members = _detected(spark, d)
         return members.filter(c("match_type") == match_type).join(groups.select("group_id", F.round("similarity", 6).alias("similarity")), "group_id")
 
     return run
@@ -101,8 +101,7 @@ for _name, _type in (("ded03_06_07_title_author", "title_author_simhash"), ("ded
 @query("ded08_09_pair_and_group_similarity")
 def ded09(spark: SparkSession, d: str) -> DataFrame:
     """Mean pair similarity inside the ISBN groups."""
-    own = fingerprint.with_fingerprints(books(spark, d))
-    found = detect.isbn_groups(own)
+    own, found = fingerprinted_isbn_books(spark, d)
     return detect._mean_similarity(detect._scored(detect._pairs(own, found)), found).select("bucket", F.round("similarity", 6).alias("similarity"))
 
 
@@ -198,9 +197,9 @@ _TYPES = "split_part('isbn_exact|title_author_simhash|title_with_author_check|si
 _LABEL_SQL = "CASE match_type " + " ".join(f"WHEN {Q(k)} THEN {Q(v)}" for k, v in K.MATCH_LABELS.items()) + " ELSE match_type END"
 
 
-@query("rpt03_match_type_distribution", f"WITH t AS (SELECT {_TYPES} AS match_type FROM documents WHERE mod(doc_id, 3) <> 1), n AS (SELECT match_type, count(*) AS n FROM t GROUP BY 1) SELECT match_type, {_LABEL_SQL} AS label, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 6) AS percent FROM n")
+@query("rpt03_match_type_distribution", f"WITH t AS (SELECT {_TYPES} AS match_type FROM documents), n AS (SELECT match_type, count(*) AS n FROM t GROUP BY 1) SELECT match_type, {_LABEL_SQL} AS label, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 6) AS percent FROM n")
 def rpt03(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(report.match_distribution(docs(spark, d).filter("mod(doc_id, 3) <> 1").select(F.expr(_TYPES).alias("match_type"))), "percent")
+    return _rounded(report.match_distribution(docs(spark, d).select(F.expr(_TYPES).alias("match_type"))), "percent")
 
 
 @query(
@@ -378,14 +377,18 @@ def net05(spark: SparkSession, d: str) -> DataFrame:
 _PAGE = """concat('<html><div class="subject-item"><a title="', replace(title, '"', ''), '">', title, '</a><div class="pub">', author, ' / ', publisher, '出版社 / 2001-2</div><span class="rating_nums">8.', cast(mod(ord, 10) as string), '</span><img src="c.jpg"></div></html>')"""
 
 
-@query("net06_parse_search_page")
+@query("net06_parse_search_page", f"{BOOKS} SELECT ord, replace(title, '\"', '') AS title, author, concat(publisher, '出版社') AS publisher, '2001-2' AS publish_date, '' AS isbn, '' AS language, '' AS description, concat('8.', CAST(mod(ord, 10) AS VARCHAR)) AS rating, 'c.jpg' AS cover_url FROM books WHERE title <> ''")
 def net06(spark: SparkSession, d: str) -> DataFrame:
     return books(spark, d).select("ord", F.explode(enrich.search_pages(F.expr(_PAGE))).alias("r")).select("ord", "r.*")
 
 
-@query("net07_parse_detail_page")
+@query(
+    "net07_parse_detail_page",
+    rf"""{BOOKS} SELECT ord, title, trim(concat(language, ' ', author)) AS author, CASE WHEN publisher = '' THEN trim(concat('ISBN: ', isbn)) ELSE publisher END AS publisher, '' AS publish_date, isbn,
+    substr(trim(regexp_replace(lead_text, '\s+', ' ', 'g')), 1, 300) AS description, '' AS language, '' AS rating, '' AS cover_url FROM books""",
+)
 def net07(spark: SparkSession, d: str) -> DataFrame:
-    page = F.expr("concat('<h1>', title, '</h1><div id=\"info\"><span>作者</span>: [', language, '] ', author, '<br/><span>出版社:</span> ', publisher, '<br/>ISBN: ', isbn, '</div><div class=\"intro\">', substr(lead_text, 1, 400), '</div>')")
+    page = F.expr("concat('<h1>', title, '</h1><div id=\"info\"><span>作者</span>: [', language, '] ', author, '<br/><span>出版社:</span> ', publisher, '<br/>ISBN: ', isbn, '</div><div class=\"intro\">', lead_text, '</div>')")
     return books(spark, d).select("ord", enrich.detail_pages(page).alias("r")).select("ord", "r.*")
 
 
@@ -410,9 +413,9 @@ def net08(spark: SparkSession, d: str) -> DataFrame:
 _TARGETS_SQL = " UNION ALL ".join(f"SELECT {Q(s)} AS s, {Q(t)} AS t" for s, ts in K.CONVERSIONS.items() for t in ts)
 
 
-@query("cnv01_targets", f"{BOOKS}, v AS ({_TARGETS_SQL}) SELECT DISTINCT t AS target_format FROM books JOIN v ON lower(file_format) = s WHERE mod(ord, 5) IN (1, 3) ORDER BY 1")
+@query("cnv01_targets", f"{BOOKS}, v AS ({_TARGETS_SQL}) SELECT DISTINCT t AS target_format FROM books JOIN v ON lower(file_format) = s ORDER BY 1")
 def cnv01(spark: SparkSession, d: str) -> DataFrame:
-    return convert.targets(books(spark, d).filter("mod(ord, 5) in (1, 3)"))
+    return convert.targets(books(spark, d))
 
 
 def _tasks(spark: SparkSession, d: str) -> DataFrame:
@@ -460,7 +463,16 @@ def _book_files(spark: SparkSession, d: str) -> DataFrame:
     return books(spark, d).select("ord", "title", "author", "lead_text", name.alias("path"), make("title", "author", "lead_text", "ord").alias("content")).withColumn("length", F.length("content").cast("long"))
 
 
-@query("src01_04_05_06_parse_epub")
+_STEM = "CAST(ord AS VARCHAR)"
+_ESCAPED = "replace(replace(replace(lead_text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(
+    "src01_04_05_06_parse_epub",
+    rf"""{BOOKS}, e AS (SELECT *, mod(ord, 5) <> 0 AS good FROM books) SELECT concat('/lib/', {_STEM}, '.epub') AS file_path, CASE WHEN good AND title <> '' THEN title ELSE {_STEM} END AS title, CASE WHEN good THEN author ELSE '' END AS author,
+    CASE WHEN good THEN 'en' ELSE '' END AS language, CASE WHEN good THEN concat('ISBN:978', {_STEM}) ELSE '' END AS isbn, CASE WHEN good THEN 'one,two' ELSE '' END AS tags, CASE WHEN good THEN 'cover.jpg' END AS cover_path,
+    CASE WHEN good THEN least(length(trim(regexp_replace({_ESCAPED}, '\s+', ' ', 'g'))), 1000) ELSE 0 END AS n_text, 'epub' AS file_format FROM e""",
+)
 def src05(spark: SparkSession, d: str) -> DataFrame:
     return files.parse(_book_files(spark, d)).select("file_path", "title", "author", "language", "isbn", F.array_join("tags", ",").alias("tags"), "cover_path", F.length("lead_text").alias("n_text"), "file_format")
 
@@ -471,13 +483,13 @@ def src04(spark: SparkSession, d: str) -> DataFrame:
     return files.parse(own).select("file_path", "title", "file_format")
 
 
-@query("src07_13_mobi")
+@query("src07_13_mobi", rf"{BOOKS} SELECT concat('/lib/', {_STEM}, '.mobi') AS file_path, coalesce(nullif(trim(substr(regexp_replace(author, '[^\x00-\x7F]', '', 'g'), 1, 31)), ''), {_STEM}) AS title, '' AS lead_text FROM books")
 def src07(spark: SparkSession, d: str) -> DataFrame:
     head = F.encode(F.rpad(F.substring(F.regexp_replace("author", "[^\\x00-\\x7F]", ""), 1, 31), 32, "\u0000"), "UTF-8")
     return files.parse(books(spark, d).select(F.concat(F.lit("/lib/"), c("ord").cast("string"), F.lit(".mobi")).alias("path"), c("file_size").alias("length"), head.alias("content"))).select("file_path", "title", "lead_text")
 
 
-@query("src08_12_pdf")
+@query("src08_12_pdf", f"{BOOKS} SELECT concat('/lib/', {_STEM}, '.pdf') AS file_path, {_STEM} AS title, '' AS lead_text FROM books")
 def src08(spark: SparkSession, d: str) -> DataFrame:
     return files.parse(books(spark, d).select(F.concat(F.lit("/lib/"), c("ord").cast("string"), F.lit(".pdf")).alias("path"), c("file_size").alias("length"), F.lit(b"%PDF").alias("content"))).select("file_path", "title", "lead_text")
 
@@ -511,7 +523,7 @@ def src16(spark: SparkSession, d: str) -> DataFrame:
     return files.books_from_json(rows).select("title", "author", "publisher", "file_path", "file_size", "is_duplicate", "metadata_completeness")
 
 
-@query("snk01_02_save_epub")
+@query("snk01_02_save_epub", f"{BOOKS} SELECT concat('/lib/', {_STEM}, '.epub') AS file_path, trim(concat('New ', title)) AS title, author, 'ISBN:123' AS isbn FROM books WHERE mod(ord, 5) <> 0")
 def snk01(spark: SparkSession, d: str) -> DataFrame:
     """Write a new title into each container and read it back."""
     own = _book_files(spark, d).withColumn("changes", F.create_map(F.lit("title"), F.concat(F.lit("New "), "title"), F.lit("isbn"), F.lit("ISBN:ISBN:123")))
