@@ -362,13 +362,13 @@ def test_mixture_of_two_languages(spark):
     assert [languages[i] for i in chosen] == ["en", "fr"] and 0.55 < share[0] < 0.8
 
 
-def brute_lines(rows):
+def brute_lines(rows, least=5):
     distinct = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None}, key=lambda x: x[:2])
     order = {}
     for none, i, t in distinct:
         for k, line in enumerate(t.split("\n")):
             w = tuple(lower(line).split())
-            if len(w) >= 5:
+            if len(w) >= least:
                 order.setdefault(w, []).append((none, i, t, k))
 
     def near(a, b):

@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bibspark.llm import decontaminate, langid, lines, mixing, oracles, pii, quality, secrets, simhash, suffix, tokens
@@ -23,7 +24,7 @@ def brute_quality(rows):
 
 
 def brute_drop_lines(rows):
-    order, near = brute_lines(rows)
+    order, near = brute_lines(rows, 1)
     first = {w: min(places) for w, places in order.items()}
     stays = {w for w in order if not any(v != w and first[v] < first[w] and near(w, v) for v in order)}
     out = []
@@ -31,7 +32,7 @@ def brute_drop_lines(rows):
         left = []
         for k, line in enumerate(r[1].split("\n")):
             w = tuple(lower(line).split())
-            if len(w) < 5 or w in stays and first[w] == (False, r[0], r[1], k):
+            if not w or w in stays and first[w] == (False, r[0], r[1], k):
                 left.append(line)
         text = "\n".join(left)
         if text == r[1] or GAP.search(text):
@@ -84,7 +85,7 @@ def test_pipeline(spark, tmp_path):
 def operators(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     return {
-        "secrets": secrets.scan_secrets, "tokens": lambda x: tokens.limits_report(tokens.length_histogram(x)), "simhash": simhash.near_duplicates, "pii": pii.pseudonymize, "mixing": mixing.mixed_counts, "mix": mixing.mix,
+        "secrets": secrets.scan_secrets, "tokens": lambda x: tokens.limits_report(tokens.length_histogram(x)), "simhash": simhash.near_duplicates, "pii": lambda x: pii.pseudonymize(x, "k"), "mixing": mixing.mixed_counts, "mix": mixing.mix,
         "language": langid.identify, "suffix": suffix.dedup_substrings, "lines": lines.dedup_lines, "leaks": lambda x: decontaminate.find_leaks(x, bench), "no benchmark": lambda x: decontaminate.find_leaks(x, bench.limit(0)),
         "quality": quality.quality, "quality stage": quality.quality_filter, "line stage": lines.drop_lines, "near stage": simhash.one_of_each, "leak stage": lambda x: decontaminate.drop_leaked(x, bench),
     }
@@ -158,3 +159,61 @@ def test_long_single_text(spark):
     r = suffix.dedup_substrings(docs).first()
     assert r["n_removed"] == r["n_bytes"] == len(rows[0][1])
     assert quality.quality(docs).first()["n_repeat_words"] == 240_000
+
+
+NAMES = ["secrets", "tokens", "simhash", "pii", "mixing", "mix", "language", "suffix", "lines", "leaks", "quality", "quality stage", "line stage", "near stage", "leak stage"]
+ODD = ["a b", "__row", "__text", "pass", "key", "row", "own", "stays", "a`b", "a.b", "__source", "best_id", "lang_of"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_odd_column_names(spark, name):
+    """Extra columns of any name neither break an operator nor change its rows."""
+    rows = [r[:5] for r in fixtures.documents(seed=5, n=8)[:20]]
+    plain = spark.createDataFrame(rows, COLUMNS)
+    odd = plain.select("*", *(F.lit(1).alias(c) for c in ODD))
+    run = operators(spark)[name]
+    want, got = run(plain), run(odd)
+    assert set(want.columns) <= set(got.columns)
+    pick = lambda df: Counter(map(str, df.select(*want.columns).collect()))
+    assert pick(got) == pick(want)
+    if "stage" in name:
+        assert got.columns == odd.columns
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_one_very_long_text(spark, name):
+    """A million characters in one row: white space, one letter, or numbers that look like personal data."""
+    for text in (" " * 1_000_000, "\n" * 300_000, "eyJabcd" * 40_000, "1985-02-28 " * 32_000):
+        docs = spark.createDataFrame([(1, text, "en", "a", len(text)), (2, "a b c d e f g h i j k l", "en", "a", 23)], COLUMNS)
+        assert operators(spark)[name](docs).count() >= 0
+
+
+def test_long_white_space_has_the_same_tokens():
+    encode = tokens.encoder(tokens.VOCABULARY, tokens.PATTERN).encode_ordinary
+    for gap in (" " * 70_000, "\n" * 66_000, " \n" * 40_000, "\u3000" * 70_000):
+        for text in (gap, "a" + gap, gap + "b", f"a b{gap}c d{gap}e", f"{gap}, x"):
+            assert tokens.encoded_length(text) == len(encode(text))
+
+
+def test_large_hypergeometric_draws():
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    for good, bad, sample in ((3 * 10**8, 15 * 10**8, 9 * 10**8), (10**10, 7, 10**9), (5, 10**10, 10**9), (10**9, 10**9, 2 * 10**9)):
+        got = [mixing.hypergeometric(draw, good, bad, sample) for _ in range(20)]
+        mean = sample * good / (good + bad)
+        sd = (mean * bad / (good + bad) * (good + bad - sample) / (good + bad - 1)) ** 0.5
+        assert all(max(0, sample - bad) <= x <= min(good, sample) and abs(x - mean) <= 6 * sd + 1 for x in got)
+    q = np.array([3 * 10**8] * 6)
+    out = np.stack([n for _, _, n in mixing.split_tree(q, 0, 8, 8, int(q.sum()), 5)], axis=1)
+    assert (out.sum(axis=1) == q).all() and np.ptp(out.sum(axis=0)) <= 1
+
+
+def test_shards_show_the_tree(spark):
+    docs = fixtures.frame(spark, fixtures.documents(seed=4, n=40)).select("doc_id", "text", "source")
+    shown = Counter()
+    for r in mixing.mixed_counts(docs).collect():
+        own = r["shards"].split(",") if r["shards"] else []
+        assert len(own) == r["copies"]
+        shown.update((r["doc_id"], *map(int, x.split(":"))) for x in own)
+    assert shown == Counter((r["doc_id"], r["shard"], r["pass"]) for r in mixing.mix(docs).collect())
