@@ -28,8 +28,10 @@ import numpy as np
 QUEUED = 1 << 18
 #: Bytes that count as one tuple where arrays are held.
 TUPLE_BYTES = 32
-#: Tuples of one piece of a result; tuples that a pass over names takes at once.
-PIECE, STEP = 1 << 18, 1 << 15
+#: Tuples that a queue sorts at once in memory.
+PART = 1 << 14
+#: Tuples of one piece of a result; tuples that a pass over names takes at once. With up to FEW symbols these come one by one.
+PIECE, STEP, FEW = 1 << 18, 1 << 13, 1 << 10
 #: Rounds in which tuples taken at once may still move.
 MOST_ROUNDS = 10
 _NONE, _NO_PREFIX = np.zeros(0, np.int64), np.zeros(0, np.int16)
@@ -91,31 +93,42 @@ class Sequence:
 
 
 class SuffixQueue:
-    """Monotone priority queue of suffix tuples: what is pushed never comes before what has been taken. Full buffers become runs on disk, sorted by symbol."""
+    """Monotone priority queue of suffix tuples: what is pushed never comes before what has been taken. Full buffers become sorted parts, and these, when they
+    hold more than ``most`` tuples together, one run on disk, sorted by symbol."""
 
     def __init__(self, scratch: Scratch, most: int, place: type):
-        self.scratch, self.most, self.buffer, self.size, self.runs = scratch, most, [], 0, []
+        self.scratch, self.most, self.buffer, self.size, self.parts, self.held, self.runs = scratch, most, [], 0, [], 0, []
         self.kinds = (np.int32, place, np.int16) if place is np.int32 else (np.int64, place, np.int16)  # names are no more than places
 
     def push(self, *columns: np.ndarray) -> None:
         """Symbols, places, common prefixes; in order of arrival."""
         self.buffer.append(columns)
         self.size += len(columns[0])
-        if self.size > self.most:
-            columns = [np.concatenate(x) for x in zip(*self.buffer, strict=True)]
-            order = np.argsort(columns[0], kind="stable")
-            self.runs.append([0, *(self.scratch.put(x[order].astype(kind, copy=False)) for x, kind in zip(columns, self.kinds, strict=True))])
-            self.buffer, self.size = [], 0
+        if self.size > min(PART, self.most):
+            self.parts.append([0, *self._by_symbol(self.buffer)])
+            self.held, self.buffer, self.size = self.held + self.size, [], 0
+            if self.held > self.most:
+                columns = self._by_symbol([[x[part[0] :] for x in part[1:]] for part in self.parts])
+                self.runs.append([0, *(self.scratch.put(x.astype(kind, copy=False)) for x, kind in zip(columns, self.kinds, strict=True))])
+                self.parts, self.held = [], 0
+
+    @staticmethod
+    def _by_symbol(pieces: list) -> list[np.ndarray]:
+        columns = [np.concatenate(x) for x in zip(*pieces, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        return [x[order] for x in columns]
 
     def take(self, end: int) -> tuple[np.ndarray, ...]:
         """All tuples with a symbol under ``end``, by arrival as far as they share a symbol."""
         found = []
         for run in self.runs:
-            start, stop = run[0], int(np.searchsorted(run[1], end))
-            if stop > start:
-                found.append([run[1][start:stop].astype(np.int64), run[2][start:stop].astype(np.int64), np.array(run[3][start:stop])])
-                run[0] = stop
-        self.runs = [run for run in self.runs if run[0] < len(run[1])]
+            start, run[0] = run[0], max(int(np.searchsorted(run[1], end)), run[0])
+            found.append([run[1][start : run[0]].astype(np.int64), run[2][start : run[0]].astype(np.int64), np.array(run[3][start : run[0]])])
+        for part in self.parts:
+            start, part[0] = part[0], max(int(np.searchsorted(part[1], end)), part[0])
+            self.held -= part[0] - start
+            found.append([x[start : part[0]] for x in part[1:]])
+        self.runs, self.parts = ([x for x in kept if x[0] < len(x[1])] for kept in (self.runs, self.parts))
         if self.buffer:
             columns = [np.concatenate(x) for x in zip(*self.buffer, strict=True)]
             due = columns[0] < end
@@ -361,7 +374,7 @@ def _sorted(text: np.ndarray, length: int, most: int, scratch: Scratch, step: in
     kind = scratch.hold(_kinds(text))
     sigma = int(text.max()) + 1
     room = np.bincount(text, minlength=sigma)
-    step = step or STEP
+    step = step or (STEP if sigma > FEW else 0)
     star = scratch.hold((np.flatnonzero(kind[1:] & ~kind[:-1]) + 1).astype(_place_type(n)))
 
     def both(seeds: np.ndarray, prefixes: np.ndarray | None, keep: int) -> tuple[np.ndarray, ...]:
@@ -370,7 +383,7 @@ def _sorted(text: np.ndarray, length: int, most: int, scratch: Scratch, step: in
         blank = lambda a, b: np.zeros(b - a, np.int16)
         read = lambda a, b: (text[seeds[a:b]].astype(np.int64), seeds[a:b].astype(np.int64), blank(a, b) if prefixes is None else prefixes[a:b])
         upto = np.cumsum(np.bincount(text[seeds], minlength=sigma)) if len(seeds) else np.zeros(sigma, np.int64)
-        own = step if not keep else 0  # common prefixes: one symbol at a time
+        own = 0 if keep else step  # common prefixes: one symbol at a time
         _Pass(text, kind, False, -1, room, own, keep, most, scratch, large).run(np.array([n - 1]), _Seeds(len(seeds), read, upto))
         places, commons = large[0].whole(), large[1].whole()
         size = len(places)
