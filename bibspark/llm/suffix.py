@@ -8,9 +8,9 @@ different contexts around one anchor, at the ends of repeated passages and aroun
 shards by anchor, one copy per different context. Anchors with very many different contexts are dealt
 out once more, by the least of another hash in each window.
 
-Contexts that cannot share a window are left out without loss: windows begin in one of PARTS ranges
+Windows that no other context can share are left out without loss: windows begin in one of PARTS ranges
 before their anchor, all those of a range have most of their bytes in common, and a context that shares
-these with no other one of its anchor, for any range, has no repeat. A shard's contexts are one text,
+these with no other one of its anchor has no repeat in that range. A shard's contexts are one text,
 put in suffix order by external induced sorting (see induced.py); suffixes between which all common
 prefixes reach LENGTH bytes are the repeats.
 """
@@ -38,7 +38,7 @@ SHARD_BYTES = 2 << 20
 MANY_CONTEXTS = 1 << 13
 BLOCK_BYTES = 1 << 20
 #: Ranges of window starts before an anchor, by which contexts are sieved.
-PARTS = 8
+PARTS = 16
 #: Bits of a packed place that hold the further windows of a context; as many hold how far its anchor is from its start.
 MORE_BITS = 20
 _SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -182,36 +182,36 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, rows.schema)
 
 
-def _can_repeat(rows: pa.Table, length: int) -> np.ndarray:
-    """Which contexts share, with another one of their anchor, the bytes common to all windows that begin in one of PARTS ranges before the anchor."""
+def _cut_to_repeats(rows: pa.Table, length: int) -> pa.Table:
+    """Contexts that share, with another one of their anchor, the bytes common to all windows that begin in one of PARTS ranges before the anchor, cut to
+    the windows from the first such range to the last."""
     from xxhash import xxh3_64_intdigest
 
     span = length - min(GRAM, 1 << length.bit_length() - 1)
     edge = [i * (span + 1) // PARTS for i in range(PARTS + 1)]
-    anchor, texts, offs = rows.column("anchor").to_numpy(), rows.column("bytes").to_pylist(), rows.column("off").to_pylist()
-    keep = np.zeros(len(texts), bool)
+    anchor, off, lo = (rows.column(x).to_numpy() for x in ("anchor", "off", "lo"))
+    texts, offs = rows.column("bytes").to_pylist(), off.tolist()
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    least, most = np.full(len(texts), length), np.full(len(texts), -1)  # distances before the anchor at which such windows begin
     for near, far in zip(edge, edge[1:], strict=False):
-        if near == far:
-            continue
-        who, key = [], []
-        for i, (text, off) in enumerate(zip(texts, offs, strict=True)):
-            if near <= off and off + length - (far - 1) <= len(text):
-                who.append(i)
-                key.append(xxh3_64_intdigest(text[off - near : off + length - (far - 1)]))
-        at, own = np.array(who, np.int64), np.array(key, np.uint64)
+        at = np.flatnonzero((near <= off) & (off + length - (far - 1) <= size)) if near < far else np.zeros(0, np.int64)
+        own = np.array([xxh3_64_intdigest(texts[i][offs[i] - near : offs[i] + length - (far - 1)]) for i in at.tolist()], np.uint64)
         order = np.lexsort((own, anchor[at]))
         at, own = at[order], own[order]
         same = (own[1:] == own[:-1]) & (anchor[at][1:] == anchor[at][:-1])
-        keep[at[1:][same]] = keep[at[:-1][same]] = True
-    return keep
+        hit = at[np.append(same, False) | np.append(False, same)] if len(at) else at
+        least[hit], most[hit] = np.minimum(least[hit], near), np.maximum(most[hit], far - 1)
+    keep = np.flatnonzero(most >= 0)
+    first = np.maximum(off - most, 0)[keep]
+    end = np.minimum(off - least + length, size)[keep]
+    cut = pa.array([texts[i][a:b] for i, a, b in zip(keep.tolist(), first.tolist(), end.tolist(), strict=True)], pa.binary())
+    kept = rows.take(pa.array(keep))
+    return pa.table({"id": kept.column("id"), "row": kept.column("row"), "lo": pa.array(lo[keep] + first), "bytes": cut})
 
 
 def _sorted_shards(length: int, most: int):
     """Contexts sorted by anchor -> repeated windows of each, as (id, row, lo, hi) of first and last window; a shard is whole anchors of at least SHARD_BYTES."""
 
-    def sieved(rows: pa.Table) -> pa.Table:
-        return rows.filter(pa.array(_can_repeat(rows, length))).combine_chunks()
-
     def find(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         contexts = pa.concat_arrays([pa.array([], pa.binary()), *rows.column("bytes").chunks])
@@ -235,7 +235,7 @@ def _sorted_shards(length: int, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of which the last anchor may go on
-        ready: list[pa.Table] = []  # sieved, whole anchors
+        ready: list[pa.Table] = []  # cut to what can repeat, whole anchors
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -245,13 +245,13 @@ def _sorted_shards(length: int, most: int):
                 anchor = rows.column("anchor").to_numpy()
                 cut = int(np.searchsorted(anchor, anchor[-1]))
                 if cut:
-                    ready.append(sieved(rows.slice(0, cut)))
+                    ready.append(_cut_to_repeats(rows.slice(0, cut), length))
                 held = rows.slice(cut).combine_chunks().to_batches()
             if sum(x.nbytes for x in ready) >= SHARD_BYTES:
                 yield find(pa.concat_tables(ready))
                 ready = []
         if held:
-            ready.append(sieved(pa.Table.from_batches(held)))
+            ready.append(_cut_to_repeats(pa.Table.from_batches(held), length))
         if ready:
             yield find(pa.concat_tables(ready))
 
