@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,8 @@ MANY_CONTEXTS = 1 << 13
 BLOCK_BYTES = 1 << 20
 #: Ranges of window starts before an anchor, by which contexts are sieved.
 PARTS = 16
+#: Rows among which a task looks for equal anchors before they are dealt out, and what it then knows of a row: others are as it is, or it stands for others.
+HELD_ROWS, KNOWN, STANDS = 1 << 18, 1, 2
 #: Bits of a packed place that hold the further windows of a context; as many hold how far its anchor is from its start.
 MORE_BITS = 20
 _SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -162,24 +165,53 @@ def _contexts(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataF
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """Rows whose anchor comes more than once. Equal anchors pass by in order, whatever their number."""
+    """Rows whose anchor comes more than once. Of the rows with one anchor among HELD_ROWS of a task only one, which stands for them, goes to the anchor's
+    partition; the others are known to come twice and are dealt out evenly. So no anchor, however frequent, fills a partition."""
+    names = rows.columns
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            key = own.column(0).to_numpy()
+            order = np.argsort(key, kind="stable")
+            same = key[order][1:] == key[order][:-1]
+            state, deal = np.zeros(len(key), np.int8), key.copy()
+            state[order[np.append(same, False)]] = STANDS
+            state[order[np.append(False, same)]] = KNOWN
+            known = np.flatnonzero(state == KNOWN)
+            deal[known] = _mix(key[known].view(np.uint64) + known.astype(np.uint64) * _SEED).view(np.int64)
+            return pa.RecordBatch.from_arrays([*own.columns, pa.array(deal), pa.array(state)], [*names, "deal", "state"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= HELD_ROWS:
+                yield flush()
+                held.clear()
+        if sum(x.num_rows for x in held):
+            yield flush()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row, with whether it has met its equal
         met = False
         for batch in batches:
+            known = pa.array(batch.column(len(names) + 1).to_numpy() == KNOWN)
+            yield batch.filter(known).select(names)
+            batch = batch.filter(pc.invert(known))
             if not batch.num_rows:
                 continue
             own = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             key = own.column(0).to_numpy()
             same = key[1:] == key[:-1]
-            keep = np.append(met, same) | np.append(same, False)
-            yield own.slice(0, own.num_rows - 1).filter(pa.array(keep[:-1]))
+            keep = np.append(met, same) | np.append(same, False) | (own.column(len(names) + 1).to_numpy() == STANDS)
+            yield own.slice(0, own.num_rows - 1).filter(pa.array(keep[:-1])).select(names)
             held, met = own.slice(own.num_rows - 1), bool(keep[-1])
         if held is not None and met:
-            yield held
+            yield held.select(names)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, rows.schema)
+    dealt = rows.mapInArrow(combine, T.StructType([*rows.schema.fields, *T.StructType.fromDDL("deal long, state tinyint").fields]))
+    return dealt.repartition("deal").sortWithinPartitions("deal", "anchor").mapInArrow(run, rows.schema)
 
 
 def _cut_to_repeats(rows: pa.Table, length: int) -> pa.Table:
