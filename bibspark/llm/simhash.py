@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shingles
 from .common import bounded_batches, checkpointed, column, filled, free_names, row_key, schema_of
@@ -181,8 +182,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` (all columns) per component of similar documents (see shingles): that of the least id (null ids last), of several the one with
     the least row hash; repeated rows stay once. Wordless texts, null or empty, are one component. An empty table gives no rows."""
-    row, best_id, key = free_names(docs, "row", "best_id", "key")
-    keyed = docs.select("*", row_key("doc_id", "text").alias(row))
-    best = shingles.groups(docs).select(F.col("doc_id").alias(best_id), F.col("row").alias(key))
-    kept = keyed.join(best, (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(best_id)), "left_semi")
-    return kept.dropDuplicates([row, "doc_id"]).drop(row)
+    own, best = free_names(docs, "own", "best")
+    # one key for the join and for repeated rows, of one type on both sides: texts move once
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("row", T.LongType())])
+    name = lambda doc_id, row: F.struct(doc_id, row).cast(kind)
+    named = docs.withColumn(own, name("doc_id", row_key("doc_id", "text")))
+    kept = named.join(shingles.groups(docs).select(name("doc_id", F.col("row")).alias(best)), F.col(own) == F.col(best), "left_semi")
+    return kept.dropDuplicates([own]).drop(own)
