@@ -63,3 +63,30 @@ n AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS item
 SELECT doc_id, length(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
   coalesce(spans, '') AS spans, coalesce(items, '') AS items FROM d LEFT JOIN m USING (r) LEFT JOIN n USING (r)
 """
+
+
+def trie_sql() -> str:
+    """Every conversation's prefixes spelled out as lists, which SQL can afford on small tables; CRC-32 bit by bit."""
+    return """
+    WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS d, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (SELECT DISTINCT c, (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ord(x)::BIGINT)),
+        lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda v, i: CASE WHEN (v & 1) = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 9) AS h FROM t),
+    r0 AS (SELECT i.c, 0 AS part, t.d, role, text FROM ids i JOIN t ON t.c = i.c - i.c % 5 AND t.d <= i.h UNION ALL SELECT i.c, 1, t.d, role, text FROM ids i JOIN t ON t.c = i.c AND t.d > i.h),
+    r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, d) AS d, sha256(concat(length(role), ':', role, text)) AS label, octet_length(encode(text)) AS size FROM r0),
+    w AS (SELECT i.c, count(r.d) AS n, coalesce(list(label ORDER BY d) FILTER (label IS NOT NULL), []) AS labels, coalesce(list(size ORDER BY d) FILTER (label IS NOT NULL), []) AS sizes FROM ids i LEFT JOIN r ON r.c = i.c GROUP BY 1),
+    x AS (SELECT c, n, unnest(range(n + 1)) AS d, labels, sizes FROM w),
+    p AS (SELECT c, n, d, sha256(concat(d, ':', array_to_string(labels[1:d], ','))) AS name, CASE WHEN d > 0 THEN sha256(concat(d - 1, ':', array_to_string(labels[1:d - 1], ','))) END AS above, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size FROM x),
+    v AS (SELECT name, any_value(d) AS depth, any_value(above) AS above, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '') AS ends FROM p GROUP BY name),
+    k AS (SELECT v.*, coalesce(q.n, 0) AS n_children FROM v LEFT JOIN (SELECT above, count(*) AS n FROM v GROUP BY 1) q ON q.above = v.name),
+    below AS (SELECT DISTINCT a.name, b.name AS under FROM p a JOIN p b ON a.c = b.c AND a.d <= b.d),
+    s AS (SELECT below.name, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(k.saved)::BIGINT AS saved_tokens FROM below JOIN k ON k.name = below.under GROUP BY 1)
+    SELECT k.conv_id, k.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, sha256(k.ends) AS ends_sha256 FROM k JOIN s ON s.name = k.name LEFT JOIN k u ON u.name = k.above"""
+
+
+def warc_sql() -> str:
+    return """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url FROM pages),
+    d AS (SELECT page_id, octet_length(encode(html)) AS bytes, sha256(html) AS digest, url FROM p),
+    f AS (SELECT digest, min(page_id) AS first FROM d WHERE bytes >= 100 GROUP BY 1 HAVING count(*) > 1)
+    SELECT page_id, bytes AS payload_bytes, d.digest AS payload_digest, CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to, url FROM d LEFT JOIN f ON f.digest = d.digest AND bytes >= 100"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, mixing, oracles, pii, quality, secrets, simhash, suffix, tokens
+from . import alignment, decontaminate, langid, lines, mixing, oracles, pii, quality, secrets, simhash, suffix, tokens, trie, warc
 from .common import read
 
 
@@ -56,6 +56,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
+#: Conversations take up to 8 turns of the first of each five (fixed values of the query).
+BRANCHES, MOST_TAKEN = 5, 8
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    nodes, ends = trie.branched_trie(read(spark, sf_dir, "conversations"), conv - conv % BRANCHES, F.crc32(conv.cast("string").cast("binary")) % (MOST_TAKEN + 1), MOST_TAKEN)
+    found = nodes.join(trie.ends_digest(ends), "name", "left")
+    return found.select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(trie.NOTHING)).alias("ends_sha256")
+    )
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(read(spark, sf_dir, "documents"))
+
+
+def op13_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"), warc.fresh_folder(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_secret_scan,
@@ -68,9 +89,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_decontamination,
         op10_quality_rules,
+        op11_conversation_trie,
+        op12_token_alignment,
+        op13_warc_round_trip,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": oracles.leaks_sql(), "op10_quality_rules": oracles.quality_sql()}
+    return {
+        "op9_decontamination": oracles.leaks_sql(),
+        "op10_quality_rules": oracles.quality_sql(),
+        "op11_conversation_trie": oracles.trie_sql(),
+        "op13_warc_round_trip": oracles.warc_sql(),
+    }
