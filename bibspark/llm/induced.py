@@ -34,7 +34,7 @@ PART = 1 << 14
 PIECE, STEP, FEW = 1 << 18, 1 << 13, 1 << 10
 #: Rounds in which tuples taken at once may still move.
 MOST_ROUNDS = 10
-_NONE, _NO_PREFIX = np.zeros(0, np.int64), np.zeros(0, np.int16)
+_NONE, _NO_PREFIX = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
 
 class Scratch:
@@ -98,7 +98,7 @@ class SuffixQueue:
 
     def __init__(self, scratch: Scratch, most: int, place: type):
         self.scratch, self.most, self.buffer, self.size, self.parts, self.held, self.runs = scratch, most, [], 0, [], 0, []
-        self.kinds = (np.int32, place, np.int16) if place is np.int32 else (np.int64, place, np.int16)  # names are no more than places
+        self.kinds = (np.int32, place, np.int32) if place is np.int32 else (np.int64, place, np.int32)  # names are no more than places
 
     def push(self, *columns: np.ndarray) -> None:
         """Symbols, places, common prefixes; in order of arrival."""
@@ -185,7 +185,7 @@ class _Pass:
     def __init__(self, text: np.ndarray, kind: np.ndarray, want: bool, mirror: int, room: np.ndarray, step: int, length: int, most: int, scratch: Scratch, out: tuple[Sequence, Sequence]):
         self.text, self.kind, self.want, self.mirror, self.length, self.out = text, kind, want, mirror, length, out
         self.ends, self.step, self.queue = np.cumsum(room), step, SuffixQueue(scratch, most, _place_type(len(text)))
-        self.gap = np.full(len(room) if length else 0, -1, np.int16)  # least common prefix since the last push under each symbol; none yet
+        self.gap = np.full(len(room) if length else 0, -1, np.int32)  # least common prefix since the last push under each symbol; none yet
         self.before: tuple[int, int, int] = (-1, -1, 0)  # symbol, place and turn of the last suffix met
 
     def symbol_of(self, place: np.ndarray) -> np.ndarray:
@@ -200,7 +200,7 @@ class _Pass:
 
     def run(self, start: np.ndarray, seeds: _Seeds) -> None:
         if len(start):
-            self.queue.push(self.symbol_of(start), start, np.zeros(len(start), np.int16))
+            self.queue.push(self.symbol_of(start), start, np.zeros(len(start), np.int32))
             if self.length:
                 self.gap[self.symbol_of(start)] = self.length
         lo, sigma, alone = 0, len(self.ends), False
@@ -250,7 +250,7 @@ class _Pass:
             hi = upto
         self.out[0].add(place[key & 1 == 0])
         if not due.all():
-            self.queue.push(to[~due], place[at[~due]] - 1, np.zeros(int(len(due) - due.sum()), np.int16))
+            self.queue.push(to[~due], place[at[~due]] - 1, np.zeros(int(len(due) - due.sum()), np.int32))
         return hi
 
     def one_symbol(self, symbol: int, place: np.ndarray, common: np.ndarray, seed: np.ndarray, seed_common: np.ndarray) -> None:
@@ -261,7 +261,7 @@ class _Pass:
                 if not turn:
                     self.out[0].add(place)
                 at, to = self.pushes(place)
-                carried = self.carry(symbol, turn, place, common, at, to) if self.length else np.zeros(len(at), np.int16)
+                carried = self.carry(symbol, turn, place, common, at, to) if self.length else np.zeros(len(at), np.int32)
                 again = (to == symbol) if not turn else np.zeros(len(to), bool)
                 if not again.all():
                     self.queue.push(to[~again], place[at[~again]] - 1, carried[~again])
@@ -287,9 +287,9 @@ class _Pass:
         first = np.where(head, 0, np.append(0, where[:-1] + 1)) if len(where) else _NONE
         least = _least(common, first, where)
         least[head] = np.minimum(least[head], self.gap[under[head]])
-        carried = np.empty(len(at), np.int16)
+        carried = np.empty(len(at), np.int32)
         carried[order] = np.minimum(least + 1, self.length)
-        rest = np.append(np.minimum.accumulate(common[::-1])[::-1], np.int16(self.length))  # least from each place on
+        rest = np.append(np.minimum.accumulate(common[::-1])[::-1], np.int32(self.length))  # least from each place on
         self.gap = np.minimum(self.gap, rest[0])
         tail = np.append(head[1:], True) if len(head) else head
         self.gap[under[tail]] = rest[where[tail] + 1]
@@ -331,7 +331,7 @@ def _same(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> n
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at each a and b, up to ``most``; bytes are compared eight at a time while there are eight."""
-    out, live, n = np.zeros(len(a), np.int16), np.arange(len(a)), len(text)
+    out, live, n = np.zeros(len(a), np.int32), np.arange(len(a)), len(text)
     if text.dtype == np.uint8 and n >= 8:
         eight = np.ndarray(n - 7, np.uint64, np.ascontiguousarray(text), 0, (1,))
         going = live
@@ -379,8 +379,8 @@ def _sorted(text: np.ndarray, length: int, most: int, scratch: Scratch, step: in
 
     def both(seeds: np.ndarray, prefixes: np.ndarray | None, keep: int) -> tuple[np.ndarray, ...]:
         """L suffixes in order and S suffixes in reverse order, each with common prefixes, induced from S* suffixes in order."""
-        large, small = ((Sequence(scratch, _place_type(n)), Sequence(scratch, np.int16)) for _ in range(2))
-        blank = lambda a, b: np.zeros(b - a, np.int16)
+        large, small = ((Sequence(scratch, _place_type(n)), Sequence(scratch, np.int32)) for _ in range(2))
+        blank = lambda a, b: np.zeros(b - a, np.int32)
         read = lambda a, b: (text[seeds[a:b]].astype(np.int64), seeds[a:b].astype(np.int64), blank(a, b) if prefixes is None else prefixes[a:b])
         upto = np.cumsum(np.bincount(text[seeds], minlength=sigma)) if len(seeds) else np.zeros(sigma, np.int64)
         own = 0 if keep else step  # common prefixes: one symbol at a time
@@ -391,7 +391,7 @@ def _sorted(text: np.ndarray, length: int, most: int, scratch: Scratch, step: in
         def back(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             own = places[size - b : size - a][::-1].astype(np.int64)
             # with the next larger one, which comes before it here
-            after = np.append(commons[size - b + 1 : size - a + 1], np.zeros(1, np.int16))[: b - a][::-1] if keep else blank(a, b)
+            after = np.append(commons[size - b + 1 : size - a + 1], np.zeros(1, np.int32))[: b - a][::-1] if keep else blank(a, b)
             return sigma - 1 - text[own].astype(np.int64), own, after
 
         counts = np.bincount(text[places], minlength=sigma)[::-1]
@@ -419,7 +419,7 @@ def _sorted(text: np.ndarray, length: int, most: int, scratch: Scratch, step: in
         seeds = scratch.hold(order.astype(star.dtype))
     else:
         seeds = star
-    prefixes = np.append(np.zeros(min(len(seeds), 1), np.int16), common_prefix(text, seeds[:-1].astype(np.int64), seeds[1:].astype(np.int64), length)) if length else None
+    prefixes = np.append(np.zeros(min(len(seeds), 1), np.int32), common_prefix(text, seeds[:-1].astype(np.int64), seeds[1:].astype(np.int64), length)) if length else None
     large, up, small, down = both(seeds, prefixes, length)
     l_end, s_end = np.cumsum(np.bincount(text[large], minlength=sigma)), np.cumsum(np.bincount(text[small], minlength=sigma)) if len(small) else np.zeros(sigma, np.int64)
     lo = a = b = 0
@@ -430,10 +430,10 @@ def _sorted(text: np.ndarray, length: int, most: int, scratch: Scratch, step: in
         place = np.concatenate([mine, other])
         key = np.concatenate([2 * text[mine].astype(np.int64), 2 * text[other].astype(np.int64) + 1])
         order = np.argsort(key, kind="stable")
-        common = np.zeros(len(place), np.int16)
+        common = np.zeros(len(place), np.int32)
         if length:
             # an S suffix has its common prefix with the next larger one
-            shifted = np.append(np.zeros(1, np.int16), down[len(small) - d : len(small) - b][::-1][:-1]) if d > b else np.zeros(0, np.int16)
+            shifted = np.append(np.zeros(1, np.int32), down[len(small) - d : len(small) - b][::-1][:-1]) if d > b else np.zeros(0, np.int32)
             common = np.concatenate([up[a:c], shifted])
         place, key, common = place[order], key[order], common[order]
         if length and len(key):

@@ -3,8 +3,8 @@
 Sizes are words. Every source's target is its weighted share of all words, stopped at MOST times its
 size (water-filling of the excess). A keyed hash permutes a source's documents and deals them into
 BLOCKS blocks; a target is whole passes over all blocks, one partial pass over the first blocks of
-the permutation, a cut inside the last of these, and a few single documents that fill what the
-cut leaves open. The blocks drawn are the source's exact quota.
+the permutation, and from there on every document in order that still fits what is left, until none
+does. The blocks drawn are the source's exact quota.
 The tree then splits the output shards again and again: at each node the left half's blocks per
 source are drawn from the multivariate hypergeometric distribution, so that every shard gets the
 same number of blocks, every source's quota is met exactly, and every assignment is equally likely.
@@ -29,8 +29,8 @@ WEIGHTS, MOST, SEED = (1, 2, 3), 3, 20240607
 BLOCKS, SHARDS, BLOCK_WORDS, SHARD_WORDS = 1024, 64, 1_000_000, 8_000_000
 #: Children of a node that one task splits off.
 WIDTH = 64
-#: Blocks behind a partial pass whose documents may fill what its cut leaves open, and how many of them do.
-FILL_BLOCKS, FILL_ROUNDS = 64, 4
+#: Blocks behind a partial pass that are looked through first for documents that fit what is left, and by how many times more the next time.
+FILL_BLOCKS, FILL_GROWTH = 64, 4
 #: Slices of a permutation in which places are counted; a power of two.
 SLICES = 1024
 
@@ -149,11 +149,70 @@ def _runs(drawn: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select("__source", F.col("lo").alias("shard"), F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("b"))
 
 
+def _fill(placed: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ranges, singles) of the partial passes, from the block on that does not fit as a whole.
+
+    ranges: __source, __block, passes, low, cut, below: what has low <= __h <= cut and a size from 1 to ``below`` is taken. Documents are passed in the
+    order of the permutation and taken as long as they fit; one that does not is passed over, and the next ones are held against what is left
+    now. No document passed over would fit later, as what is left only shrinks; so in the end what is left is less than any document.
+    singles: __source, __block, passes, __h: the smallest document left over, where taking it comes nearer to the target than leaving it.
+    """
+    none, kept = F.lit(-(1 << 63)), []
+    ends = met.filter((F.col("left") > 0) & (F.col("left") < F.col("size"))).select("__source", F.col("turn").alias("at"), none.alias("after"), F.col("left").cast("long").alias("gap"))
+    last = met.groupBy("__source").agg(F.max("turn").alias("last"))
+    start = open_ = checkpointed(ends.join(last, "__source"))
+    blocks = met.select("__source", "__block", "passes", "turn")
+    reach, done = FILL_BLOCKS, []
+    while not open_.isEmpty():  # every round shrinks what is left below a document that did not fit, or looks through more blocks
+        near = blocks.join(open_, "__source").filter((F.col("turn") >= F.col("at")) & (F.col("turn") < F.col("at") + reach))
+        docs = placed.select("__source", "__block", "__h", "__size").join(near, ["__source", "__block"])
+        docs = docs.filter((F.col("__size") > 0) & (F.col("__size") <= F.col("gap")) & ((F.col("turn") > F.col("at")) | (F.col("__h") > F.col("after"))))
+        docs = docs.groupBy("__source", "__block", "turn", "passes", "gap", "__h").agg(F.sum("__size").alias("s"))  # repeated rows go together
+        per = docs.groupBy("__source", "turn").agg(F.sum("s").alias("s"))
+        before = F.coalesce(F.sum("s").over(Window.partitionBy("__source").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        upto = Window.partitionBy("__source", "turn").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
+        docs = docs.join(per.select("__source", "turn", before.alias("before")), ["__source", "turn"]).withColumn("fits", F.col("before") + F.sum("s").over(upto) <= F.col("gap"))
+        taken = F.when(F.col("fits"), F.col("__h"))
+        met_now = docs.groupBy("__source", "__block", "turn", "passes", "gap").agg(
+            F.min(taken).alias("low"), F.max(taken).alias("cut"), F.sum(F.when(F.col("fits"), F.col("s"))).alias("took"), F.min(F.when(~F.col("fits"), F.col("__h"))).alias("stop")
+        )
+        met_now = checkpointed(met_now)
+        kept.append(met_now.filter("cut is not null").select("__source", "__block", "passes", "low", "cut", F.col("gap").alias("below")))
+        found = met_now.groupBy("__source").agg(F.coalesce(F.sum("took"), F.lit(0)).alias("took"), F.min(F.when(F.col("stop").isNotNull(), F.struct("turn", "stop"))).alias("stop"))
+        state = open_.join(found, "__source", "left").select(
+            "__source",
+            F.coalesce("stop.turn", F.col("at") + reach).alias("at"),
+            F.coalesce("stop.stop", none).alias("after"),
+            (F.col("gap") - F.coalesce("took", F.lit(0))).alias("gap"),
+            "last",
+        )
+        state = checkpointed(state)
+        over = (F.col("gap") == 0) | (F.col("at") > F.col("last"))
+        done.append(state.filter(over))
+        open_, reach = checkpointed(state.filter(~over)), reach * FILL_GROWTH
+    ranges = met.select("__source", "__block", "passes", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("below")).limit(0)
+    for part in kept:
+        ranges = ranges.unionByName(part)
+    ranges = checkpointed(ranges)
+    gaps = None
+    for part in done:
+        gaps = part if gaps is None else gaps.unionByName(part)
+    if gaps is None:
+        return ranges, blocks.withColumn("__h", none).select("__source", "__block", "passes", "__h").limit(0)
+    # what the partial pass has not taken: of each source with something left, the least
+    mine = ranges.groupBy("__source", "__block").agg(F.collect_list(F.struct("low", "cut", "below")).alias("ranges"))  # one a round at most
+    rest = blocks.join(gaps.filter("gap > 0").select("__source", "gap"), "__source").join(start.select("__source", F.col("at").alias("end")), "__source").filter(F.col("turn") >= F.col("end"))
+    rest = placed.select("__source", "__block", "__h", "__size").join(rest, ["__source", "__block"]).join(mine, ["__source", "__block"], "left")
+    taken = F.coalesce(F.exists("ranges", lambda r: F.col("__h").between(r["low"], r["cut"]) & (F.col("__size") <= r["below"])), F.lit(False))
+    spare = rest.filter((F.col("__size") > 0) & ~taken).groupBy("__source", "__block", "passes", "gap", "__h").agg(F.sum("__size").alias("s")).filter(F.col("s") < 2 * F.col("gap"))
+    return ranges, checkpointed(spare.groupBy("__source").agg(F.min(F.struct("s", "__h", "__block", "passes")).alias("p")).select("__source", "p.__block", "p.passes", "p.__h"))
+
+
 def mixing_plan(placed: DataFrame, shards: int, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(sources, draws). ``placed`` has __source, __size, __h, __block and is cheap to read again.
 
-    sources: __source, source_size, weight, target. draws: __source, __block, pass, shard, low, cut: the documents of the block go to the
-    shard once, where ``cut`` is given only those with low <= __h <= cut.
+    sources: __source, source_size, weight, target. draws: __source, __block, pass, shard, low, cut, below: the documents of the block go to
+    the shard once, where ``cut`` is given only those with low <= __h <= cut and a size of ``below`` at most.
     """
     by_block = checkpointed(placed.groupBy("__source", "__block").agg(F.sum("__size").alias("size")))
     sources = checkpointed(targets(by_block, weights, most))
@@ -163,41 +222,20 @@ def mixing_plan(placed: DataFrame, shards: int, weights: tuple[int, ...] = WEIGH
     met = along(along(met, turn, ("__block",), F.col("size"), "before"), turn, ("__block",), F.lit(1).cast("long"), "turn")
     met = checkpointed(met.select("__source", "__block", "size", "passes", (F.col("rest") - F.col("before")).alias("left"), "turn"))
 
-    # the cut inside the block in which the partial pass ends: the longest run of documents that fits
-    partial = met.filter((F.col("left") > 0) & (F.col("left") < F.col("size")))
-    ends = partial.select("__source", F.col("turn").alias("end"), F.col("left").alias("gap"))
-    near = met.join(ends, "__source").filter((F.col("turn") >= F.col("end")) & (F.col("turn") <= F.col("end") + FILL_BLOCKS))
-    near = near.select("__source", "__block", "passes", "gap", (F.col("turn") == F.col("end")).alias("last"))
-    places = placed.select("__source", "__block", "__h", "__size").join(near, ["__source", "__block"])
-    places = places.groupBy("__source", "__block", "__h").agg(F.sum("__size").alias("s"), *(F.first(x).alias(x) for x in ("passes", "gap", "last")))
-    upto = Window.partitionBy("__source", "__block").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
-    places = checkpointed(places.withColumn("fits", F.col("last") & (F.sum("s").over(upto) <= F.col("gap"))))
-    cuts = places.filter("fits").groupBy("__source", "__block").agg(F.max("__h").alias("cut"))
-
-    # what the cut leaves open is filled with single documents from there on, the one that comes nearest first
-    gaps = places.groupBy("__source").agg((F.max("gap") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("s"))), F.lit(0))).alias("gap"))
-    spare = places.filter("not fits and s > 0").drop("gap", "fits", "last")
-    single = spare.select("__source", "__block", "passes", "__h").limit(0)
-    for _ in range(FILL_ROUNDS):
-        fit = F.abs(F.col("gap") - F.col("s")).alias("miss")
-        pick = spare.join(gaps, "__source").filter("s < 2 * gap").groupBy("__source").agg(F.min(F.struct(fit, "s", "__h", "__block", "passes")).alias("p"))
-        pick = checkpointed(pick.select("__source", "p.*"))
-        single = single.unionByName(pick.select("__source", "__block", "passes", "__h"))
-        gaps = gaps.join(pick.select("__source", "s"), "__source", "left").select("__source", (F.col("gap") - F.coalesce("s", F.lit(0))).alias("gap"))
-        spare = spare.join(pick.select("__source", "__h"), ["__source", "__h"], "left_anti")
-
+    ranges, single = _fill(placed, met)
     none = F.lit(None).cast("long")
     whole, part = met.filter("passes > 0"), met.filter("left > 0 and size > 0")
-    drawn = whole.select("__source", "__block", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass"), none.alias("low"), none.alias("cut"))
-    last = part.filter("left >= size").select("__source", "__block", (F.col("passes") + 1).alias("pass"), none.alias("low"), none.alias("cut"))
-    split = part.filter("left < size").join(cuts, ["__source", "__block"]).select("__source", "__block", (F.col("passes") + 1).alias("pass"), F.lit(-(1 << 63)).alias("low"), "cut")
-    alone = single.select("__source", "__block", (F.col("passes") + 1).alias("pass"), F.col("__h").alias("low"), F.col("__h").alias("cut"))
+    all_of = (none.alias("low"), none.alias("cut"), none.alias("below"))
+    drawn = whole.select("__source", "__block", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass"), *all_of)
+    last = part.filter("left >= size").select("__source", "__block", (F.col("passes") + 1).alias("pass"), *all_of)
+    split = ranges.select("__source", "__block", (F.col("passes") + 1).alias("pass"), "low", "cut", "below")
+    alone = single.select("__source", "__block", (F.col("passes") + 1).alias("pass"), F.col("__h").alias("low"), F.col("__h").alias("cut"), F.lit((1 << 63) - 1).alias("below"))
     drawn = drawn.unionByName(last).unionByName(split).unionByName(alone)
     ties = ("__block", "pass", "cut")
     drawn = checkpointed(along(drawn, F.xxhash64(F.lit(seed + 3), *ties), ties, F.lit(1).cast("long"), "place"))
 
     runs = _runs(drawn, shards, seed).select("__source", "shard", F.explode(F.sequence("a", "b")).alias("place"))
-    draws = checkpointed(drawn.join(runs, ["__source", "place"]).select("__source", "__block", "pass", "shard", "low", "cut"))
+    draws = checkpointed(drawn.join(runs, ["__source", "place"]).select("__source", "__block", "pass", "shard", "low", "cut", "below"))
     return sources, draws
 
 
@@ -214,9 +252,9 @@ def mixed_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks, shards = scale(placed)
     placed = placed.withColumn("__block", block_of(blocks))
     sources, draws = mixing_plan(placed, shards, **options)
-    # a block is drawn MOST + 1 + FILL_ROUNDS times at most
-    taken = draws.groupBy("__source", "__block").agg(F.array_sort(F.collect_list(F.struct("shard", "pass", "low", "cut"))).alias("draws"))
-    mine = F.filter("draws", lambda r: r["cut"].isNull() | (F.col("__h") >= r["low"]) & (F.col("__h") <= r["cut"]))
+    # a block is drawn once a pass and once a round of the fill
+    taken = draws.groupBy("__source", "__block").agg(F.array_sort(F.collect_list(F.struct("shard", "pass", "low", "cut", "below"))).alias("draws"))
+    mine = F.filter("draws", lambda r: r["cut"].isNull() | F.col("__h").between(r["low"], r["cut"]) & (F.col("__size") > 0) & (F.col("__size") <= r["below"]))
     met = placed.join(taken, ["__source", "__block"], "left").join(sources, "__source").withColumn("mine", mine)
     copies = F.coalesce(F.size("mine"), F.lit(0)).cast("long")
     shown = F.array_join(F.transform("mine", lambda r: F.concat_ws(":", r["shard"], r["pass"])), ",")
@@ -232,6 +270,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = checkpointed(places.drop("own"))
     blocks, shards = scale(placed)
     _, draws = mixing_plan(placed.withColumn("__block", block_of(blocks)), shards, **options)
-    met = places.withColumn("__block", block_of(blocks)).join(draws, ["__source", "__block"]).filter(F.col("cut").isNull() | F.col("__h").between(F.col("low"), F.col("cut")))
+    met = places.withColumn("__block", block_of(blocks)).join(draws, ["__source", "__block"]).filter(F.col("cut").isNull() | F.col("__h").between(F.col("low"), F.col("cut")) & (F.col("__size") > 0) & (F.col("__size") <= F.col("below")))
     shuffled = met.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(options.get("seed", SEED) + 4), "shard", "pass", "__h"))
     return shuffled.select(*unpacked(rest, {}), "shard", "pass")

@@ -42,7 +42,7 @@ BLOCK_BYTES = 1 << 20
 PARTS = 16
 #: Rows among which a task looks for equal anchors before they are dealt out, and what it then knows of a row: others are as it is, or it stands for others.
 HELD_ROWS, KNOWN, STANDS = 1 << 18, 1, 2
-#: Bits of a packed place that hold the further windows of a context; as many hold how far its anchor is from its start.
+#: Bits that hold how far a context's anchor is from its start; the number of its further windows stands above them. Both are under the length.
 MORE_BITS = 20
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,7 +140,8 @@ def repeated(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, most: i
 
 # ---------------------------------------------------------------- distributed part
 def _contexts(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(anchor, context, id, row, at): each anchor with a digest of its context. ``at`` packs the first window, the number of further ones, and the anchor's distance."""
+    """(anchor, context, id, row, lo, at): each anchor with a digest of its context. ``lo`` is the first window, ``at`` packs the number of further ones and
+    the anchor's distance, both of which are bounded by the window's length; the start is not."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +158,11 @@ def _contexts(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataF
                 raw, base = data.tobytes(), at[text]
                 own = b"".join([digest(raw[x:y], p) for x, y, p in zip((base + lo).tolist(), (base + hi + length).tolist(), (place - lo).tolist(), strict=True)])
                 pick = pa.array(text + a)
-                cols = [pa.array(h.view(np.int64)), pa.array(np.frombuffer(own, ">i8").astype(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array((lo << MORE_BITS | hi - lo) << MORE_BITS | place - lo)]
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "id", "row", "at"])
+                cols = [pa.array(h.view(np.int64)), pa.array(np.frombuffer(own, ">i8").astype(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(lo), pa.array((hi - lo) << MORE_BITS | place - lo)]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "context", "id", "row", "lo", "at"])
 
     own = docs.select(column(id_col).alias("id"), row_key(id_col, text_col).alias("row"), column(text_col).alias("t"))
-    return own.mapInArrow(run, T.StructType([*T.StructType.fromDDL("anchor long, context long").fields, *schema_of(own, ["id"], "row long, at long").fields]))
+    return own.mapInArrow(run, T.StructType([*T.StructType.fromDDL("anchor long, context long").fields, *schema_of(own, ["id"], "row long, lo long, at long").fields]))
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -315,12 +316,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     found = checkpointed(_several(_contexts(docs, id_col, text_col, length)))
     release(spark)
-    first = F.min(F.struct("id", "row", "at")).alias("first")
+    first = F.min(F.struct("id", "row", "lo", "at")).alias("first")
     by_context = checkpointed(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), first).select("anchor", "context", "n", "first.*"))
     several = by_context.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     low = (1 << MORE_BITS) - 1
-    lo, more, off = F.shiftright("at", 2 * MORE_BITS), F.shiftright("at", MORE_BITS).bitwiseAND(low), F.col("at").bitwiseAND(low)
-    wanted = by_context.join(several, "anchor").select("id", "row", F.struct("anchor", "m", lo.alias("lo"), more.alias("more"), off.alias("off")).alias("w"))
+    lo, more, off = F.col("lo"), F.shiftright("at", MORE_BITS), F.col("at").bitwiseAND(low)
+    wanted = by_context.join(several, "anchor").select("id", "row", F.struct("anchor", "m", "lo", more.alias("more"), off.alias("off")).alias("w"))
 
     # the texts of the contexts to be sorted
     own = docs.select(column(id_col).alias("__id"), row_key(id_col, text_col).alias("__row"), column(text_col).cast("binary").alias("t"))
@@ -335,7 +336,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     part = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_shards(length, queued), schema_of(few, ["id"], "row long, lo long, hi long"))
     # contexts that come more than once are repeated as a whole, wherever they are
     often = by_context.filter("n > 1").select("anchor", "context")
-    whole = found.join(often, ["anchor", "context"], "left_semi").select("id", "row", lo.alias("lo"), (lo + more).alias("hi"))
+    whole = found.join(often, ["anchor", "context"], "left_semi").select("id", "row", "lo", (lo + more).alias("hi"))
     return checkpointed(part.unionByName(whole))
 
 
