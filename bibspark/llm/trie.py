@@ -82,16 +82,18 @@ def named(turns: DataFrame, longest: int) -> DataFrame:
         pair = halves[-1].groupBy("conv", F.shiftright(F.col("depth") + ((1 << k) - 1), k).alias("j"))
         pair = pair.agg(F.count(F.lit(1)).alias("n"), F.min_by("half", "depth").alias("first"), F.max_by("half", "depth").alias("then"))
         halves.append(checkpointed(pair.filter("n = 2").select("conv", F.shiftleft("j", k).alias("depth"), _hashed(F.lit(bytes([k])), "first", "then").alias("half"))))
-    state = turns.select("conv", "depth", "size", F.lit(ROOT).alias("name"), _hashed(F.lit(b"\x00"), "label").alias("own"))
+    turns = turns.select("conv", "depth", "size", F.lit(ROOT).alias("name"), _hashed(F.lit(b"\x00"), "label").alias("own"))
+    state = None
     for k in reversed(range(len(halves))):
-        low = F.shiftright("depth", k).bitwiseAND(1) == 1
+        # turns down to 2^k take part from here on: all above the cut lie in the upper half of every range so far
+        fresh = turns.filter(F.col("depth").between(1 << k, (2 << k) - 1))
+        state = fresh if state is None else state.unionByName(fresh)
+        low, half = F.shiftright("depth", k).bitwiseAND(1) == 1, F.col("own")
         if k:
             cuts = halves[k].withColumn("cut", F.shiftright("depth", k)).filter(F.col("cut") % 2 == 1).select("conv", "cut", "half")
-            state = state.withColumn("cut", F.shiftright("depth", k)).join(cuts, ["conv", "cut"], "left").drop("cut")
-            state = state.withColumn("name", F.when(low, _hashed(F.lit(bytes([k])), "name", "half")).otherwise(F.col("name"))).drop("half")
-        else:
-            state = state.withColumn("name", F.when(low, _hashed(F.lit(bytes([k])), "name", "own")).otherwise(F.col("name"))).drop("own")
-    return state
+            state, half = state.withColumn("cut", F.shiftright("depth", k)).join(cuts, ["conv", "cut"], "left").drop("cut"), F.col("half")
+        state = state.select("conv", "depth", "size", F.when(low, _hashed(F.lit(bytes([k])), "name", half)).otherwise(F.col("name")).alias("name"), "own")
+    return (turns if state is None else state).drop("own")
 
 
 def grafted(rows: DataFrame, nodes: DataFrame, longest: int, *sums: str) -> DataFrame:
