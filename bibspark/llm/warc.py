@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, checkpointed, column, ensure_checkpoint_dir
+from .common import bounded_batches, checkpointed, column, ensure_checkpoint_dir, release
 
 #: Payloads under this many bytes are always written in full.
 LEAST_SHARED = 100
 #: Aimed bytes of an archive and of one read; ranges with a gap of at most GAP_BYTES between them are read as one.
 ARCHIVE_BYTES, READ_BYTES, GAP_BYTES = 32 << 20, 4 << 20, 64 << 10
+#: Passes in which archives are written: only such a part of all payloads is in shuffle files at a time.
+WAVES = 3
 #: Rows of shared payloads that may be broadcast (about 100 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_SHARED = 1 << 18
 #: Fixed values of the format.
@@ -91,8 +93,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     kind = F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
     placed.select("page_id", "url", "digest", "bytes", kind.alias("record_type"), "refers_to", "archive", "offset", F.col("length").cast("long").alias("length")).write.parquet(f"{folder}/index")
     said = F.concat("head", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(F.lit("")))
-    dealt = records.withColumn("archive", archive).select("archive", *order, said.alias("value")).repartition(n, "archive").sortWithinPartitions("archive", *order)
-    dealt.select("archive", "value").write.partitionBy("archive").option("lineSep", END).text(f"{folder}/archives")
+    for wave in range(WAVES):
+        own_wave = records.withColumn("archive", archive).filter(F.col("archive") % WAVES == wave).select("archive", *order, said.alias("value"))
+        dealt = own_wave.repartition(-(-n // WAVES), "archive").sortWithinPartitions("archive", *order)
+        dealt.select("archive", "value").write.mode("append").partitionBy("archive").option("lineSep", END).text(f"{folder}/archives")
+        release(spark)
     return spark.read.parquet(f"{folder}/index")
 
 
