@@ -20,8 +20,8 @@ from .common import bounded_batches, checkpointed, column, ensure_checkpoint_dir
 
 #: Payloads under this many bytes are always written in full.
 LEAST_SHARED = 100
-#: Aimed bytes of an archive and of one read; ranges with a gap of at most GAP_BYTES between them are read as one.
-ARCHIVE_BYTES, READ_BYTES, GAP_BYTES = 32 << 20, 4 << 20, 64 << 10
+#: Aimed bytes of an archive and of one read; ranges with a gap of at most GAP_BYTES between them are read as one. Most bytes that a task is to read.
+ARCHIVE_BYTES, READ_BYTES, GAP_BYTES, TASK_BYTES = 32 << 20, 4 << 20, 64 << 10, 128 << 20
 #: Passes in which archives are written: only such a part of all payloads is in shuffle files at a time.
 WAVES = 3
 #: Rows of shared payloads that may be broadcast (about 100 bytes each); beyond, they are joined by a shuffle.
@@ -175,7 +175,10 @@ def read_records(index: DataFrame, folder: str, read_bytes: int = READ_BYTES, ga
                     found.append({"archive": row["archive"], "offset": r["offset"], **_parsed(said[at : at + r["length"]])})
                 yield pa.RecordBatch.from_pylist(found, schema=kinds)
 
-    return wanted.repartition(F.col("archive"), F.col("start")).mapInArrow(run, RECORD)
+    # a range is a small row and much to read: the number of tasks follows the bytes, not the rows
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    return wanted.repartition(tasks, "archive", "start").mapInArrow(run, RECORD)
 
 
 def fresh_folder(spark: SparkSession) -> str:
