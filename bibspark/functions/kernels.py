@@ -18,6 +18,7 @@ _GENERAL_STOP = {*K.ENGLISH_STOPWORDS, *K.ROMANCE_STOPWORDS}
 _STOP_CHARS = set(K.CJK_STOP_CHARS)
 
 
+@lru_cache(MEMO)
 def ideographs(text: str) -> str:
     return "".join(c for c in text if "一" <= c <= "鿿")
 
@@ -59,8 +60,13 @@ def author_form(text: str) -> str:
     return _general(name.split(mark)[0] if mark else name, True)
 
 
+@lru_cache(MEMO)
+def general_words(text: str) -> frozenset[str]:
+    return frozenset(general(text).split())
+
+
 # ---------------------------------------------------------------- similarity
-def jaccard(a: set, b: set) -> float:
+def jaccard(a: set | frozenset, b: set | frozenset) -> float:
     if not a and not b:
         return 1.0
     return len(a & b) / len(a | b) if a and b else 0.0
@@ -171,11 +177,13 @@ def title_from(floor: float):
         if ca == cb or fa and fa == title_form(b):
             return title(a, b)
         ia, ib = ideographs(ca), ideographs(cb)
+        alike = 2 * min(len(ca), len(cb)) / (len(ca) + len(cb))  # no ratio is larger
         if ia and ib:
-            most = 0.30 * ngram(ca, cb, 2) + 0.25 * ngram(ca, cb, 3) + 0.25 + 0.20 * jaccard(set(ia), set(ib))
+            most = 0.30 * ngram(ca, cb, 2) + 0.25 * ngram(ca, cb, 3) + 0.25 * alike + 0.20 * jaccard(set(ia), set(ib))
+        elif general(ca) == general(cb):
+            most = 1.0
         else:
-            ga, gb = general(ca), general(cb)
-            most = 1.0 if ga == gb else 0.30 + 0.25 * ngram(ca, cb, 2) + 0.30 * ngram(ca, cb, 3) + 0.15 * jaccard(set(ga.split()), set(gb.split()))
+            most = 0.30 * alike + 0.25 * ngram(ca, cb, 2) + 0.30 * ngram(ca, cb, 3) + 0.15 * jaccard(general_words(ca), general_words(cb))
         if most < floor - 1e-6:
             return 0.0
         value = title(a, b)

@@ -51,24 +51,42 @@ def size_score(size_a: Column, size_b: Column, format_a: Column, format_b: Colum
     return F.when((size_a == 0) | (size_b == 0), 0.5).when(other, F.least(share + 0.15, F.lit(1.0))).otherwise(share)
 
 
+def weights(isbns: bool, hashes: bool) -> dict[str, float]:
+    """Weights of the scores in their order. What is missing on a side gives its weight to other scores."""
+    w = dict(K.OVERALL_WEIGHTS)
+    if not isbns:
+        for name, share in (("simhash", 0.25), ("title", 0.15), ("author", 0.60)):
+            w[name] += w["isbn"] * share
+        w["isbn"] = 0.0
+    if not hashes:
+        for name, share in (("title", 0.25), ("author", 0.60), ("size", 0.15)):
+            w[name] += w["simhash"] * share
+        w["simhash"] = 0.0
+    return w
+
+
+def cap(isbn: Column, author: Column, title: Column, both_authors: Column) -> Column:
+    """The most that the overall similarity can be, whatever the other scores."""
+    by_author = F.when(isbn >= 0.5, 1.0).when(author < 0.35, 0.25).when(author < 0.55, 0.45).when(author < 0.70, 0.65).otherwise(1.0)
+    return F.least(F.when(both_authors, 1.0).otherwise(0.25), by_author, F.when(title < 0.4, 0.35).otherwise(1.0))
+
+
+def uncapped(scores: dict[str, Column], both_isbns: Column, both_hashes: Column) -> Column:
+    """Weighted mean of isbn, author, title, simhash and size scores, added up in this order."""
+
+    def mean(isbns: bool, hashes: bool) -> Column:
+        w = weights(isbns, hashes)
+        weighted = F.lit(0.0)
+        for name in w:
+            weighted = weighted + scores[name] * F.lit(w[name])
+        return weighted / F.lit(sum(w.values()))
+
+    return F.when(both_isbns, F.when(both_hashes, mean(True, True)).otherwise(mean(True, False))).otherwise(F.when(both_hashes, mean(False, True)).otherwise(mean(False, False)))
+
+
 def overall(scores: dict[str, Column], both_isbns: Column, both_hashes: Column, both_authors: Column) -> Column:
-    """Weighted mean of isbn, author, title, simhash and size scores. Weights of what is missing go to other scores; then caps, compared unrounded."""
-    w = {k: F.lit(v) for k, v in K.OVERALL_WEIGHTS.items()}
-    give = lambda name, share, of, when: F.when(when, w[name] + of * share).otherwise(w[name])
-    w |= {name: give(name, share, F.lit(K.OVERALL_WEIGHTS["isbn"]), ~both_isbns) for name, share in (("simhash", 0.25), ("title", 0.15), ("author", 0.60))}
-    w["isbn"] = F.when(both_isbns, w["isbn"]).otherwise(0.0)
-    extra = w["simhash"]
-    w |= {name: give(name, share, extra, ~both_hashes) for name, share in (("title", 0.25), ("author", 0.60), ("size", 0.15))}
-    w["simhash"] = F.when(both_hashes, extra).otherwise(0.0)
-    names = list(K.OVERALL_WEIGHTS)
-    total, weighted = F.lit(0.0), F.lit(0.0)
-    for name in names:
-        total, weighted = total + w[name], weighted + scores[name] * w[name]
-    score = weighted / total
-    score = F.when(both_authors, score).otherwise(F.least(score, F.lit(0.25)))
-    cap = F.when(scores["isbn"] >= 0.5, 1.0).when(scores["author"] < 0.35, 0.25).when(scores["author"] < 0.55, 0.45).when(scores["author"] < 0.70, 0.65).otherwise(1.0)
-    score = F.when(cap < 1.0, F.least(score, cap)).otherwise(score)
-    return F.when(scores["title"] < 0.4, F.least(score, F.lit(0.35))).otherwise(score)
+    """Weighted mean of isbn, author, title, simhash and size scores, under caps; compared unrounded."""
+    return F.least(uncapped(scores, both_isbns, both_hashes), cap(scores["isbn"], scores["author"], scores["title"], both_authors))
 
 
 def pair_overall(a: str, b: str, author_score: Column, title_score: Column) -> Column:

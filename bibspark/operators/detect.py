@@ -1,20 +1,20 @@
 """Duplicate detection in five stages, each on what the earlier ones left: ISBN, title and author, title, content, fuzzy.
 
-Pairs come from equality joins on block keys only. Order-dependent greedy passes become ordered
-reachability and star covers over the pairs that match (see cluster.py).
+Inside a bucket books of equal title, author and ISBN are one node, and nodes are paired and scored, not books (see quotient.py). Candidates of
+the fuzzy stage come from an inverted index of titles (see candidates.py). Order-dependent greedy passes are sorted sweeps (see cluster.py).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import similarity, text
-from ..functions.fingerprint import simhash_similarity
-from . import verify
-from .cluster import cut, reachable, stars
+from ..functions import similarity
+from . import candidates, quotient, verify
+from .cluster import accepted, cut, stars
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,15 @@ class MatchConfig:
     enable_fuzzy: bool = True
 
 
-BOOK = ["ord", "title", "author", "author_clean", "author_form", "isbn_normalized", "simhash", "file_size", "file_format"]
+BOOK = ["ord", *quotient.OWN, "simhash", "file_size", "file_format"]
+#: Match types of the stages in order, with the prefixes of their group ids.
+STAGES = {
+    "isbn_exact": "group_isbn_",
+    "title_author_simhash": "group_title_",
+    "title_with_author_check": "group_titleonly_",
+    "simhash_content": "group_simhash_",
+    "fuzzy_match": "group_fuzzy_",
+}
 
 
 def isbn_groups(books: DataFrame, least: int = 2) -> DataFrame:
@@ -35,166 +43,88 @@ def isbn_groups(books: DataFrame, least: int = 2) -> DataFrame:
     return own.join(large, "bucket", "left_semi")
 
 
-def _pairs(books: DataFrame, members: DataFrame) -> DataFrame:
-    """(bucket, a_*, b_*) of all pairs a before b of a bucket."""
-    own = members.join(books.select(*BOOK), "ord")
-    a, b = (own.select("bucket", *(F.col(c).alias(f"{s}_{c}") for c in BOOK)) for s in "ab")
-    return a.join(b, "bucket").filter("a_ord < b_ord")
-
-
-def _scored(pairs: DataFrame) -> DataFrame:
-    """Adds author and title scores in both orders of the arguments; the ratio behind them is not symmetric."""
-    c = F.col
-    scored = pairs.withColumns(
-        {
-            "author_ab": similarity.author(c("a_author"), c("b_author")),
-            "title_ab": similarity.title(c("a_title"), c("b_title")),
-            "author_ba": similarity.author(c("b_author"), c("a_author")),
-            "title_ba": similarity.title(c("b_title"), c("a_title")),
-        }
-    )
-    # the verifier looks at the earlier book first
-    return verify.verified(scored).withColumn("same", F.col("verdict.is_same_book")).drop("verdict")
-
-
-def _similar(config: MatchConfig, use_simhash: bool, need_author: bool) -> Column:
-    """The later book against an accepted one."""
-    whole = similarity.pair_overall("b_", "a_", F.col("author_ba"), F.col("title_ba"))
-    fits = F.lit(True)
-    if use_simhash:
-        both = (F.col("a_simhash") != 0) & (F.col("b_simhash") != 0)
-        fits = ~both | (simhash_similarity(F.col("a_simhash"), F.col("b_simhash")) >= config.simhash_threshold * 0.8)
-    match = fits & (whole >= 0.65) | (F.col("title_ba") >= 0.85) & (F.col("author_ba") >= 0.65)
-    return match & (F.col("author_ba") >= 0.55) if need_author else match
-
-
-def _edges(scored: DataFrame, match: Column) -> DataFrame:
-    return scored.filter(match).select("bucket", F.col("a_ord").alias("j"), F.col("b_ord").alias("i"))
-
-
 def _large(members: DataFrame, least: int) -> DataFrame:
     some = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least).select("bucket")
     return members.join(some, "bucket", "left_semi")
 
 
-def _mean_similarity(scored: DataFrame, members: DataFrame) -> DataFrame:
-    """(bucket, similarity): mean over all pairs of the members, earlier book first."""
-    whole = similarity.pair_overall("a_", "b_", F.col("author_ab"), F.col("title_ab"))
-    m = members.select("bucket", "ord")
-    met = scored.join(m.withColumnRenamed("ord", "a_ord"), ["bucket", "a_ord"], "left_semi").join(m.withColumnRenamed("ord", "b_ord"), ["bucket", "b_ord"], "left_semi")
-    return met.groupBy("bucket").agg(F.avg(whole).alias("similarity"))
+def _keyed(books: DataFrame, key: Column, present: Column) -> DataFrame:
+    return books.filter(present).select(key.cast("string").alias("bucket"), "ord", "node")
 
 
-def _within(scored: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs both of whose books are members."""
-    m = members.select("bucket", "ord")
-    return scored.join(m.withColumnRenamed("ord", "a_ord"), ["bucket", "a_ord"], "left_semi").join(m.withColumnRenamed("ord", "b_ord"), ["bucket", "b_ord"], "left_semi")
+def _scored(books: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of the nodes of each bucket with author and title scores in both orders."""
+    own = books.join(members.select("ord").distinct(), "ord", "left_semi")
+    return cut(quotient.backward(quotient.forward(quotient.node_pairs(quotient.bucket_nodes(members), quotient.nodes_of(own)))))
 
 
-def _keyed(books: DataFrame, key: Column, present: Column) -> DataFrame:
-    return books.filter(present).select(key.cast("string").alias("bucket"), "ord")
-
-
-def fuzzy_blocks(books: DataFrame) -> DataFrame:
-    """(block, ord): two books that stage 5 can accept share a block. Accepting needs an author score of 0.55 and a title score of 0.40 at least,
-    hence an equal normal form, a shared ideograph, the same last name, or a name without Latin words that shares a character."""
-    name = F.lower(text.clean_text(F.col("author")))
-    ideographs = F.array_distinct(F.regexp_extract_all(name, F.lit("([\\x{4e00}-\\x{9fff}])"), F.lit(1)))
-    words = F.filter(F.split(F.regexp_replace(name, "[^a-z]+", " "), " "), lambda w: F.length(w) > 1)
-    chars = F.array_distinct(F.filter(F.split(name, ""), lambda x: ~x.isin("", " ")))
-    tag = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
-    none = F.array().cast("array<string>")
-    keys = F.concat(
-        F.array(F.concat(F.lit("n:"), text.normalize_author(F.col("author"))), F.concat(F.lit("g:"), text.normalize_general(F.col("author")))),
-        tag("c:", ideographs),
-        F.when(F.size(words) > 0, F.array(F.concat(F.lit("l:"), F.element_at(words, -1)))).otherwise(none),
-        tag("x:", F.when(F.size(words) == 0, chars).otherwise(none)),
-    )
-    # a name without Latin words is compared with any other by its characters
-    latin = tag("x:", F.when(F.size(words) > 0, chars).otherwise(none))
-    own = books.filter(F.coalesce(F.col("author"), F.lit("")) != "").select("ord", F.explode(F.array_distinct(F.concat(keys, latin))).alias("block"), (F.size(words) > 0).alias("latin"))
-    return own
+def group_similarity(books: DataFrame, members: DataFrame) -> DataFrame:
+    """(bucket, similarity): mean overall similarity over all pairs of each bucket's members (bucket, ord)."""
+    books = cut(books.withColumn("node", quotient.node_of()).join(members.select("ord").distinct(), "ord", "left_semi"))
+    own = cut(members.select("bucket", "ord").join(books.select("ord", "node"), "ord"))
+    return quotient.mean_similarity(_scored(books, own), own, books)
 
 
-def _fuzzy_pairs(books: DataFrame) -> DataFrame:
-    """Candidate pairs of stage 5, each once."""
-    keys = fuzzy_blocks(books)
-    a, b = (keys.select("block", F.col("ord").alias(f"{s}_ord"), F.col("latin").alias(f"{s}_latin")) for s in "ab")
-    met = a.join(b, "block").filter("a_ord < b_ord and not (block like 'x:%' and a_latin and b_latin)")
-    pairs = met.select("a_ord", "b_ord").distinct()
-    own_a, own_b = (books.select(*(F.col(c).alias(f"{s}_{c}") for c in BOOK)) for s in "ab")
-    # different ISBNs never match; equal ones are gone unless groups must be larger
-    other = (F.col("a_isbn_normalized") != "") & (F.col("b_isbn_normalized") != "") & (F.col("a_isbn_normalized") != F.col("b_isbn_normalized"))
-    return pairs.join(own_a, "a_ord").join(own_b, "b_ord").filter(~other)
+def _similar(scored: DataFrame, members: DataFrame, books: DataFrame, config: MatchConfig, least: int, use_content: bool, need_author: bool, same_content: bool = False) -> DataFrame:
+    """What the similarity pass leaves of each bucket, if enough."""
+    arcs, edges = quotient.similar(scored, members, books, config.simhash_threshold * 0.8, use_content, need_author, same_content)
+    edges = cut(edges)
+    return cut(_large(accepted(members, arcs, None if edges.isEmpty() else edges), least))
 
 
-def detect(books: DataFrame, config: MatchConfig = MatchConfig()) -> tuple[DataFrame, DataFrame]:
-    """(groups, members) of a catalogue with fingerprints.
+def _by_titles(left: DataFrame, config: MatchConfig, key: str, need_author: bool) -> tuple[DataFrame, DataFrame]:
+    """(members, similarities) of books with an equal title key: verifier, then similarity."""
+    least = config.min_duplicate_size
+    members = cut(_large(_keyed(left, F.col(key), F.col(key) != ""), least))
+    scored = _scored(left, members)
+    found = cut(_large(accepted(members, quotient.verified_arcs(scored)), least))
+    found = _similar(scored, found, left, config, least, True, need_author)
+    return found, quotient.mean_similarity(scored, found, left)
 
-    groups: group_id, match_type, similarity, n_books. members: group_id, match_type, ord, member_pos. ``ord`` is the catalogue's order, unique.
-    """
+
+def _by_content(left: DataFrame, config: MatchConfig) -> tuple[DataFrame, DataFrame]:
+    """(members, similarities) of books with equal content hashes: the mean counts before the similarity pass."""
     least = config.min_duplicate_size
-    books = cut(books)
-    done: list[tuple[str, str, DataFrame, DataFrame]] = []
-
-    def rest() -> DataFrame:
-        left = books
-        for _, _, members, _ in done:
-            left = left.join(members, "ord", "left_anti")
-        return left
-
-    def keep(prefix: str, kind: str, members: DataFrame, similar: DataFrame) -> None:
-        done.append((prefix, kind, cut(members.select("bucket", "ord")), cut(similar)))
-
-    found = isbn_groups(books, least)
-    keep("group_isbn_", "isbn_exact", found, found.select("bucket").distinct().withColumn("similarity", F.lit(1.0)))
-
-    # title and author: verifier, then similarity
-    left = rest()
-    members = _keyed(left, F.col("title_author_key"), F.col("title_author_key") != "")
-    scored = cut(_scored(_pairs(left, members)))
-    accepted = _large(reachable(members, _edges(scored, F.col("same"))), least)
-    accepted = cut(_large(reachable(accepted, _edges(_within(scored, accepted), _similar(config, True, False))), least))
-    keep("group_title_", "title_author_simhash", accepted, _mean_similarity(scored, accepted))
-
-    # title alone: verifier, then similarity with author, and a mean of 0.70
-    left = rest()
-    members = _keyed(left, F.col("title_key"), F.col("title_key") != "")
-    scored = cut(_scored(_pairs(left, members)))
-    accepted = _large(reachable(members, _edges(scored, F.col("same"))), least)
-    accepted = cut(_large(reachable(accepted, _edges(_within(scored, accepted), _similar(config, True, True))), least))
-    similar = _mean_similarity(scored, accepted).filter("similarity >= 0.70")
-    keep("group_titleonly_", "title_with_author_check", accepted.join(similar, "bucket", "left_semi"), similar)
-
-    # equal content: the mean counts before the similarity pass
-    left = rest()
-    members = _keyed(left, F.col("simhash"), F.col("simhash") != 0)
-    scored = cut(_scored(_pairs(left, members)))
-    similar = cut(_mean_similarity(scored, members).filter(F.col("similarity") >= config.simhash_threshold))
-    members = members.join(similar, "bucket", "left_semi")
-    accepted = cut(_large(reachable(members, _edges(_within(scored, members), _similar(config, False, True))), least))
-    keep("group_simhash_", "simhash_content", accepted, similar.join(accepted, "bucket", "left_semi"))
-
-    if config.enable_fuzzy:
-        left = cut(rest())
-        # caps reject an author score under 0.55 (unless the ISBNs are equal) and a title score under 0.40, so these decide first
-        pairs = _fuzzy_pairs(left).withColumn("author_ab", similarity.author(F.col("a_author"), F.col("b_author")))
-        equal = (F.col("a_isbn_normalized") != "") & (F.col("a_isbn_normalized") == F.col("b_isbn_normalized"))
-        pairs = pairs.filter((F.col("author_ab") >= 0.55) | equal)
-        pairs = pairs.withColumn("title_ab", similarity.title_from_040(F.col("a_title"), F.col("b_title"))).filter("title_ab >= 0.40")
-        scored = cut(verify.verified(pairs).withColumn("same", F.col("verdict.is_same_book")).drop("verdict"))
-        close = F.col("same") & (similarity.pair_overall("a_", "b_", F.col("author_ab"), F.col("title_ab")) >= 0.55)
-        cover = stars(scored.filter(close).select(F.col("a_ord").alias("j"), F.col("b_ord").alias("i")))
-        cover = cut(cover.select(F.col("seed").cast("string").alias("bucket"), "ord"))
-        cover = _large(cover, least)
-        # inside a star any two members may be compared
-        scored = cut(_scored(_pairs(left, cover)))
-        accepted = cut(_large(reachable(cover, _edges(scored, _similar(config, True, True))), least))
-        similar = _mean_similarity(scored, accepted).filter("similarity >= 0.70")
-        keep("group_fuzzy_", "fuzzy_match", accepted.join(similar, "bucket", "left_semi"), similar)
+    members = cut(_large(_keyed(left, F.col("simhash"), F.col("simhash") != 0), least))
+    own = left.join(members.select("ord").distinct(), "ord", "left_semi")
+    pairs = quotient.forward(quotient.node_pairs(quotient.bucket_nodes(members), quotient.nodes_of(own)))
+    pairs = cut(pairs)
+    # the other order matters to the mean only where books of two nodes alternate
+    turned = F.col("a_last") > F.col("b_first")
+    none = F.lit(None).cast("double")
+    both = quotient.backward(pairs.filter(turned)).unionByName(pairs.filter(~turned).withColumns({"author_ba": none, "title_ba": none}))
+    similar = cut(quotient.mean_similarity(both, members, left).filter(F.col("similarity") >= config.simhash_threshold))
+    members = cut(members.join(similar, "bucket", "left_semi"))
+    scored = cut(quotient.backward(pairs.join(similar.select("bucket"), "bucket", "left_semi")))
+    return _similar(scored, members, left, config, least, False, True, True), similar
+
+
+def _fuzzy(left: DataFrame, config: MatchConfig) -> tuple[DataFrame, DataFrame]:
+    """(members, similarities): a greedy star cover of the books that verifier and similarity match with a seed, then the similarity pass."""
+    least = config.min_duplicate_size
+    left = cut(left)
+    pairs = cut(candidates.fuzzy_pairs(left, least > 2))
+    for s in "ab":
+        pairs = pairs.join(left.select(*(F.col(x).alias(f"{s}_{x}") for x in BOOK)), f"{s}_ord")
+    pairs = pairs.withColumn("title_ab", similarity.title_from_040(F.col("a_title"), F.col("b_title"))).filter("title_ab >= 0.40")
+    near = cut(pairs.select(*pairs.columns, similarity.pair_overall("a_", "b_", F.col("author_ab"), F.col("title_ab")).alias("overall"))).filter("overall >= 0.55")
+    near = cut(verify.verified(near).select("a_ord", "b_ord", F.col("verdict.is_same_book").alias("same"))).filter("same")
+    cover = stars(near.select(F.col("a_ord").alias("j"), F.col("b_ord").alias("i")))
+    cover = cut(_large(cover.select(F.col("seed").cast("string").alias("bucket"), "ord"), least).join(left.select("ord", "node"), "ord"))
+    scored = _scored(left, cover)
+    found = _similar(scored, cover, left, config, least, True, True)
+    return found, quotient.mean_similarity(scored, found, left)
+
+
+def detect(books: DataFrame, config: MatchConfig = MatchConfig(), upto: str = "fuzzy_match") -> tuple[DataFrame, DataFrame]:
+    """(groups, members) of a catalogue with fingerprints, by the stages as far as ``upto`` (a match type).
 
+    groups: group_id, match_type, similarity, n_books. members: group_id, match_type, ord, member_pos. ``ord`` is the catalogue's order, unique.
+    """
+    done = list(stages(books, config, upto))
     members = groups = None
-    for stage, (prefix, kind, own, similar) in enumerate(done):
+    for stage, (kind, own, similar) in enumerate(done):
+        prefix = STAGES[kind]
         m = own.select(F.lit(stage).alias("stage"), F.lit(prefix).alias("prefix"), F.lit(kind).alias("match_type"), "bucket", "ord")
         g = own.groupBy("bucket").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n_books")).join(similar, "bucket")
         g = g.select(F.lit(stage).alias("stage"), F.lit(prefix).alias("prefix"), F.lit(kind).alias("match_type"), "bucket", "first", "n_books", "similarity")
@@ -205,6 +135,30 @@ def detect(books: DataFrame, config: MatchConfig = MatchConfig()) -> tuple[DataF
     return groups.select("group_id", "match_type", "similarity", "n_books"), members
 
 
+def stages(books: DataFrame, config: MatchConfig = MatchConfig(), upto: str = "fuzzy_match") -> Iterator[tuple[str, DataFrame, DataFrame]]:
+    """(match type, members (bucket, ord), similarities (bucket, similarity)) of each stage in order; each works on what the earlier ones left."""
+    left = cut(books.select(*BOOK, "title_author_key", "title_key", quotient.node_of().alias("node")))
+    kinds = [k for k in STAGES if config.enable_fuzzy or k != "fuzzy_match"]
+    for kind in kinds[: kinds.index(upto) + 1 if upto in kinds else None]:
+        if kind == "isbn_exact":
+            members = isbn_groups(left, config.min_duplicate_size)
+            similar = members.select("bucket").distinct().withColumn("similarity", F.lit(1.0))
+        elif kind == "title_author_simhash":
+            members, similar = _by_titles(left, config, "title_author_key", False)
+        elif kind == "title_with_author_check":
+            members, similar = _by_titles(left, config, "title_key", True)
+        elif kind == "simhash_content":
+            members, similar = _by_content(left, config)
+        else:
+            members, similar = _fuzzy(left, config)
+        if kind in ("title_with_author_check", "fuzzy_match"):
+            similar = similar.filter("similarity >= 0.70")
+        similar = cut(similar)
+        members = cut(members.select("bucket", "ord").join(similar, "bucket", "left_semi"))
+        yield kind, members, similar.join(members, "bucket", "left_semi")
+        left = cut(left.join(members, "ord", "left_anti"))
+
+
 def numbered(groups: DataFrame) -> DataFrame:
     """Group ids count on over the stages, in order of the groups' first books. Counts per stage and block first, so that no task sees all groups."""
     block = F.floor(F.col("first") / 100_000)

@@ -102,7 +102,7 @@ for _name, _type in (("ded03_06_07_title_author", "title_author_simhash"), ("ded
 def ded09(spark: SparkSession, d: str) -> DataFrame:
     """Mean pair similarity inside the ISBN groups."""
     own, found = fingerprinted_isbn_books(spark, d)
-    return detect._mean_similarity(detect._scored(detect._pairs(own, found)), found).select("bucket", F.round("similarity", 6).alias("similarity"))
+    return detect.group_similarity(own, found).select("bucket", F.round("similarity", 6).alias("similarity"))
 
 
 _MAP_TEXT = "array_join(transform(map_entries({0}), e -> concat(e.key, '=', cast(e.value as string))), ',')"

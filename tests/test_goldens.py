@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bibspark.functions import fingerprint, isbn, kernels, similarity, text
 from bibspark.operators import bin as bins
-from bibspark.operators import cluster, convert, detect, recommend, report, verify
+from bibspark.operators import candidates, cluster, convert, detect, quotient, recommend, report, verify
 from bibspark.plans import fixture
 from bibspark.sources import epub, files
 
@@ -91,8 +91,15 @@ def frame(spark, rows):
 
 def pair(spark, a, b):
     rows = [(0, *a), (1, *b)]
-    met = detect._scored(detect._pairs(frame(spark, rows), spark.createDataFrame([("x", 0), ("x", 1)], "bucket string, ord long")))
-    return met.select("same", similarity.pair_overall("a_", "b_", F.col("author_ab"), F.col("title_ab")).alias("overall")).first()
+    books, members = noded(spark, rows)
+    met = quotient._book_pairs(verify.verified(detect._scored(books, members)), members, books)
+    return met.select(F.col("verdict.is_same_book").alias("same"), similarity.pair_overall("a_", "b_", F.col("author_ab"), F.col("title_ab")).alias("overall")).first()
+
+
+def noded(spark, rows):
+    """Books with their nodes, all in one bucket."""
+    books = frame(spark, rows).withColumn("node", quotient.node_of())
+    return books, books.select(F.lit("x").alias("bucket"), "ord", "node")
 
 
 @pytest.mark.parametrize(
@@ -280,7 +287,7 @@ def test_fuzzy_blocks_miss_nothing(spark):
     parts = ["余华", "路遥", "刘", "Jane", "Austen", "J.", "Leo", "Tolstoy", "Лев", "Éva", "Kiss", "王小明", "O'Neil", "ß", "é"]
     names = sorted({" ".join(rng.sample(parts, rng.randint(1, 3))) for _ in range(150)})
     rows = [(i, "同", n, "", 0, 1, "epub") for i, n in enumerate(names)]
-    found = {tuple(sorted((r["a_ord"], r["b_ord"]))) for r in detect._fuzzy_pairs(frame(spark, rows)).select("a_ord", "b_ord").collect()}
+    found = {tuple(sorted((r["a_ord"], r["b_ord"]))) for r in candidates.fuzzy_pairs(frame(spark, rows)).select("a_ord", "b_ord").collect()}
     for i in range(len(names)):
         for j in range(i + 1, len(names)):
             if max(kernels.author(names[i], names[j]), kernels.author(names[j], names[i])) >= 0.55:
@@ -367,7 +374,8 @@ def test_sql_functions(spark):
 
 def test_verdict_reasons(spark):
     rows = [(0, "活着", "余华", "", 0, 1, "epub"), (1, "活着", "王小明", "", 0, 1, "epub")]
-    met = detect._pairs(frame(spark, rows), spark.createDataFrame([("x", 0), ("x", 1)], "bucket string, ord long"))
+    books, members = noded(spark, rows)
+    met = quotient.node_pairs(quotient.bucket_nodes(members), quotient.nodes_of(books))
     v = verify.verified(met.withColumns({"author_ab": F.lit(0.0), "title_ab": F.lit(1.0)})).first()["verdict"]
     assert not v["is_same_book"] and v["severity"] == "low" and v["reasons"] == ["❌ 作者名完全不同，疑似不同书", "作者差异大，匹配度仅 0%", "书名匹配度 100%"]
 
