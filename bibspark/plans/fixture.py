@@ -35,3 +35,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BOOKS_SQL.replace("FROM documents", "FROM {documents}"), documents=read(spark, sf_dir, "documents"))
+
+
+#: The catalogue with later editions of its books: names with a middle name in two spellings, and reprints of the same content under a longer title.
+#: ``ord`` counts on after the books'; editions have no ISBN.
+EDITIONS_SQL = """
+SELECT ord, title, author, isbn, file_path, file_format, file_size, lead_text FROM books
+UNION ALL SELECT ord + 1000000000, title, replace(author, ' ', ' Marie '), '', concat(file_path, '.2'), file_format, file_size, lead_text FROM books WHERE author LIKE '% %'
+UNION ALL SELECT ord + 2000000000, title, replace(author, ' ', ' Maria '), '', concat(file_path, '.3'), file_format, file_size, lead_text FROM books WHERE author LIKE '% %'
+UNION ALL SELECT ord + 3000000000, concat(title, ' II'), author, '', concat(file_path, '.4'), 'epub', file_size, lead_text FROM books WHERE author <> ''
+"""
+
+
+def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books and their editions, with the fields that fingerprints need."""
+    own = spark.sql(EDITIONS_SQL.replace("FROM books", "FROM {books}"), books=books(spark, sf_dir))
+    return own.selectExpr("*", "'' AS publisher", "'' AS publish_date", "'' AS language", "'' AS description")

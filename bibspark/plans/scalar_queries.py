@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import fingerprint, isbn, similarity, text
-from ..operators import verify
+from ..operators import cluster, verify
 from . import fixture
 from .catalogue import BOOKS, Catalogue
 
@@ -288,13 +288,15 @@ def ver01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ver08_filter_candidates")
 def ver08(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates verified against the first book of their list (ten books to a list) only."""
-    own = fingerprint.with_fingerprints(fixture.books(spark, d)).withColumn("list", F.floor(c("ord") / 10))
+    """Candidates verified against the first book of their list only; a list is a book with its later editions."""
+    own = fingerprint.with_fingerprints(fixture.editions(spark, d)).withColumn("list", c("ord") % 1_000_000_000)
     names = ["ord", "title", "author", "author_clean", "author_form", "isbn_normalized"]
     seed = own.groupBy("list").agg(F.min_by(F.struct(*names), "ord").alias("s")).select("list", *(c(f"s.{x}").alias(f"a_{x}") for x in names))
     met = own.select("list", *(c(x).alias(f"b_{x}") for x in names)).join(seed, "list").filter("b_ord > a_ord")
     met = met.withColumns({"author_ab": similarity.author(c("a_author"), c("b_author")), "title_ab": similarity.title(c("a_title"), c("b_title"))})
-    return verify.verified(met).filter("verdict.is_same_book").select(c("a_ord").alias("seed_ord"), c("b_ord").alias("ord"))
+    # cut, as a filter on the verdict would take all of its rules with it
+    same = cluster.cut(verify.verified(met).select(c("a_ord").alias("seed_ord"), c("b_ord").alias("ord"), c("verdict.is_same_book").alias("same")))
+    return same.filter("same").drop("same")
 
 
 _GAP = "abs(a_file_size - b_file_size) / greatest(a_file_size, b_file_size)::DOUBLE"
