@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import fingerprint, isbn, text
 from ..operators import bin as bins
-from ..operators import convert, detect, edit, enrich, recommend, report
+from ..operators import cluster, convert, detect, edit, enrich, recommend, report
 from ..sources import epub, files
 from ..streaming import incremental
 from . import fixture
@@ -26,6 +28,12 @@ def books(spark: SparkSession, d: str) -> DataFrame:
     return fixture.books(spark, d)
 
 
+def shared_folder(spark: SparkSession, stem: str) -> str:
+    """A new folder in the place that the cluster shares."""
+    cluster.ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{stem}-{uuid.uuid4().hex}"
+
+
 # ---------------------------------------------------------------- detection
 ISBN_SQL = f"{BOOKS}, n AS (SELECT *, {isbn.sql_normalize_isbn('isbn')} AS isbn_normalized FROM books), k AS (SELECT isbn_normalized AS bucket FROM n WHERE isbn_normalized <> '' GROUP BY 1 HAVING count(*) >= 2)"
 #: Members of ISBN groups with all that ranking needs; groups are numbered by their first books.
@@ -538,10 +546,7 @@ def snk01(spark: SparkSession, d: str) -> DataFrame:
 @query("snk03_index_persist", f"{ENTRIES_SQL} SELECT id, file_size FROM e")
 def snk03(spark: SparkSession, d: str) -> DataFrame:
     """Write the index and read it again."""
-    import uuid
-
-    detect.cut(spark.range(1))  # makes sure of the shared folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "index")
     files.write_index(entries(spark, d), path)
     return spark.read.parquet(path).select("id", "file_size")
 
@@ -556,3 +561,54 @@ def snk04(spark: SparkSession, d: str) -> DataFrame:
 def str01(spark: SparkSession, d: str) -> DataFrame:
     own = incremental.deletions_per_window(fixture.read(spark, d, "events").withColumn("ts", c("ts").cast("timestamp")))
     return own.select(c("start").cast("timestamp_ntz").alias("start"), c("end").cast("timestamp_ntz").alias("end"), "n", F.round("bytes", 6).alias("bytes"))
+
+
+# ---------------------------------------------------------------- streams with keyed state
+def streamed(spark: SparkSession, d: str, table: str) -> DataFrame:
+    """A table's files as a stream, some files to a batch. The pattern makes a table of one file and one of a folder alike."""
+    return spark.readStream.schema(fixture.read(spark, d, table).schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/{table}.parque[t]")
+
+
+def _drained(spark: SparkSession, start) -> DataFrame:
+    """What a stream has written once it has met all of its input; ``start`` gets a place for its table and one for its checkpoint."""
+    folder = shared_folder(spark, "stream")
+    start(f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/table")
+
+
+@query("src14_import_stream", f"{BOOKS} SELECT file_path, title FROM books WHERE mod(ord, 3) <> 0")
+def src14_stream(spark: SparkSession, d: str) -> DataFrame:
+    """All books come as a stream, every other one twice; a third of them is known."""
+    known = books(spark, d).filter("mod(ord, 3) = 0")
+    found = spark.sql(fixture.BOOKS_SQL.replace("FROM documents", "FROM {documents}"), documents=streamed(spark, d, "documents")).select("file_path", "title", "ord")
+    twice = found.withColumn("copy", F.explode(F.when(c("ord") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return _drained(spark, lambda table, at: incremental.append_new(twice, table, at, known)).select("file_path", "title")
+
+
+#: What each kind of event does to a user's file in the life cycle below.
+_KIND = "CASE event_type WHEN 'click' THEN 'restore' WHEN 'purchase' THEN 'purge' ELSE 'delete' END"
+_DAYS = 2
+_OUTCOME_SQL = f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq, {_KIND} AS kind, ts FROM events), m AS (SELECT date_trunc('millisecond', max(ts)) AS now FROM e),
+    n AS (SELECT *, lead(ts) OVER w AS next, lead(kind) OVER w AS then_kind FROM e WINDOW w AS (PARTITION BY id ORDER BY ts, seq)),
+    o AS (SELECT id, seq, ts, ts + INTERVAL {_DAYS} DAY AS lim, next, then_kind FROM n WHERE kind = 'delete'),
+    r AS (SELECT id, ts AS deleted, CASE WHEN next <= lim THEN CASE then_kind WHEN 'restore' THEN 'restored' WHEN 'purge' THEN 'purged' ELSE 'replaced' END ELSE 'expired' END AS outcome, CASE WHEN next <= lim THEN next ELSE lim END AS ended FROM o)
+    SELECT id, deleted, outcome, ended FROM r, m WHERE ended < now AND deleted < now"""
+
+
+def _bin_events(df: DataFrame) -> DataFrame:
+    return df.selectExpr("CAST(user_id AS STRING) AS id", "event_id AS seq", f"{_KIND} AS kind", "CAST(ts AS TIMESTAMP) AS ts")
+
+
+@query("bin09_outcomes_stream", _OUTCOME_SQL)
+def bin09_stream(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each deletion: restored, purged, replaced or expired, by event time and timers."""
+    found = incremental.bin_outcomes_stream(_bin_events(streamed(spark, d, "events")), _DAYS)
+    start = lambda table, at: found.writeStream.format("parquet").option("path", table).option("checkpointLocation", at).trigger(availableNow=True).start()
+    return _drained(spark, start).select("id", c("deleted").cast("timestamp_ntz").alias("deleted"), "outcome", c("ended").cast("timestamp_ntz").alias("ended"))
+
+
+@query("bin09_outcomes", _OUTCOME_SQL.replace("ended < now AND deleted < now", "(outcome <> 'expired' OR ended < (SELECT max(ts) FROM e))"))
+def bin09(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the whole table at once."""
+    found = incremental.bin_outcomes(_bin_events(fixture.read(spark, d, "events")), _DAYS)
+    return found.select("id", c("deleted").cast("timestamp_ntz").alias("deleted"), "outcome", c("ended").cast("timestamp_ntz").alias("ended"))
