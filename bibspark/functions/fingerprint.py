@@ -33,10 +33,8 @@ def completeness(columns: list[str] = COMPLETENESS) -> Column:
     return sum(filled[1:], filled[0]) / F.lit(float(len(columns)))
 
 
-def tokens(content: Column) -> Column:
-    """Latin words of two letters or more, and bigrams and trigrams of the ideographs run together; none with a stopword."""
-    low = F.lower(F.coalesce(content, F.lit("")))
-    words = F.filter(F.regexp_extract_all(low, F.lit("([a-z]+)"), F.lit(1)), lambda w: (F.length(w) > 1) & ~w.isin(K.SIMHASH_STOPWORDS))
+def _ideograph_grams(low: Column) -> Column:
+    """Bigrams and trigrams of the ideographs of a text run together, none with a stopword; null where it has none."""
     run = F.regexp_replace(low, "[^\\x{4e00}-\\x{9fff}]", "")
     stop = "[" + "".join(K.SIMHASH_STOP_CHARS) + "]"
 
@@ -44,7 +42,26 @@ def tokens(content: Column) -> Column:
         own = F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substr(run, i, F.lit(n))))
         return F.filter(F.coalesce(own, F.array().cast("array<string>")), lambda g: ~g.rlike(stop))
 
-    return F.when(run == "", words).otherwise(F.concat(words, grams(2), grams(3)))
+    return F.when(run != "", F.concat(grams(2), grams(3)))
+
+
+def _is_word(token: Column) -> Column:
+    return (F.length(token) > 1) & ~token.isin(K.SIMHASH_STOPWORDS)
+
+
+def tokens(content: Column) -> Column:
+    """Latin words of two letters or more, and bigrams and trigrams of the ideographs run together; none with a stopword."""
+    low = F.lower(F.coalesce(content, F.lit("")))
+    words = F.filter(F.regexp_extract_all(low, F.lit("([a-z]+)"), F.lit(1)), _is_word)
+    return F.concat(words, F.coalesce(_ideograph_grams(low), F.array().cast("array<string>")))
+
+
+def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, token) of every occurrence of tokens(); words are told from others after they have become rows, where that is compiled code."""
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    held = docs.select(id_col, F.explode(F.split(low, "[^a-z]+")).alias("token")).filter(_is_word(F.col("token")))
+    ideographs = docs.filter(F.col(text_col).rlike("[\\x{4e00}-\\x{9fff}]")).select(id_col, F.explode(_ideograph_grams(low)).alias("token"))
+    return held.unionByName(ideographs)
 
 
 def token_hash(token: Column) -> Column:
@@ -54,20 +71,22 @@ def token_hash(token: Column) -> Column:
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, token, n)."""
-    return docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
+    return occurrences(docs, id_col, text_col).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def simhashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, simhash) of rows that have a token: one partially aggregated pass over (id, token) occurrences.
 
-    Occurrences carry the same sign as token weights, so tokens need no count of their own before the sums.
+    Occurrences carry the same sign as token weights, so tokens need no count of their own before the sums. Bits are counted two at a time, bit k in
+    the lower and bit k + 32 in the upper half of one sum.
     """
-    rows = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("token")).select(id_col, token_hash(F.col("token")).alias("h"))
-    ones = [F.sum(F.getbit("h", F.lit(i)).cast("int")).alias(f"b{i}") for i in range(64)]
-    bits = [F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)]
+    rows = occurrences(docs, id_col, text_col).select(id_col, token_hash(F.col("token")).alias("h"))
+    pairs = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(1 << 32 | 1))).alias(f"s{k}") for k in range(32)]
+    ones = [F.col(f"s{k}").bitwiseAND(F.lit((1 << 32) - 1)) for k in range(32)] + [F.shiftrightunsigned(f"s{k}", 32) for k in range(32)]
+    bits = [F.when(2 * ones[i] > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)]
     while len(bits) > 1:
         bits = [bits[k].bitwiseOR(bits[k + 1]) for k in range(0, len(bits), 2)]
-    return rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), *ones).select(id_col, bits[0].cast("long").alias("simhash"))
+    return rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), *pairs).select(id_col, bits[0].cast("long").alias("simhash"))
 
 
 def hex16(h: Column) -> Column:
