@@ -12,7 +12,7 @@ from .. import constants as K
 from ..functions import fingerprint, isbn, text
 from ..operators import bin as bins
 from ..operators import cluster, convert, detect, edit, enrich, recommend, report
-from ..sources import epub, files
+from ..sources import epub, files, index_log
 from ..streaming import incremental
 from . import fixture
 from .catalogue import BOOKS, Catalogue
@@ -551,6 +551,21 @@ def snk03(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("id", "file_size")
 
 
+@query("snk03_src15_index_log", f"{ENTRIES_SQL} SELECT id, CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN file_size + 1 ELSE file_size END AS file_size FROM e WHERE CAST(id AS BIGINT) % 5 <> 0")
+def snk03_log(spark: SparkSession, d: str) -> DataFrame:
+    """All entries are put, every seventh is put anew, every fifth dropped; the log is compacted in between. Its folder is removed when it has been read."""
+    path, number = shared_folder(spark, "index-log"), c("id").cast("long")
+    own = detect.cut(entries(spark, d))
+    event = lambda df, op, seq: df.withColumns({"op": F.lit(op), "seq": number + seq})
+    index_log.append(event(own, index_log.PUT, 0), path)
+    index_log.append(event(own.filter(number % 7 == 0).withColumn("file_size", c("file_size") + 1), index_log.PUT, 1), path)
+    index_log.compact(spark, path)
+    index_log.append(event(own.filter(number % 5 == 0), index_log.DROP, 2), path)
+    found = detect.cut(index_log.load(spark, path).select("id", "file_size"))
+    index_log.remove(spark, path)
+    return found
+
+
 @query("snk04_to_json", f"{BOOKS} SELECT ord, json_object('title', title, 'file_size', file_size, 'cover_path', NULL)::VARCHAR AS value FROM books")
 def snk04(spark: SparkSession, d: str) -> DataFrame:
     own = books(spark, d)
