@@ -133,6 +133,8 @@ def _world_phone(text: str, move: Callable) -> str | None:
     code = len(lead.group(1)) if lead else 1 if digits[0] in "17" else 2
     if not 8 <= len(digits) <= 15:
         return None
+    if len(digits) == 11 and digits[0] == "1" and code == 1:
+        return _phone(text, move)  # the same number in another notation
     own = digits[code:]
     fresh = iter(digits[:code] + _by_place(own, ["0" if own[0] == "0" else DIGIT[1:], *[DIGIT] * (len(own) - 1)], move))
     return "".join(next(fresh) if c.isdigit() else c for c in text)

@@ -317,3 +317,23 @@ def test_suffix_dedup_of_long_windows(spark):
     rows = [(1, "q" + text), (2, "zz" + text), (3, text[:39_999])]
     got = {r["doc_id"]: r["spans"] for r in suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), length=40_000).select("doc_id", "spans").collect()}
     assert got == {1: "1:45001", 2: "2:45002", 3: ""}
+
+
+# ---------------------------------------------------------------- op4
+def test_one_number_in_any_notation_has_one_pseudonym():
+    from bibspark.llm import pii
+
+    own, back = pii.Pseudonymizer("k"), pii.Pseudonymizer("k", back=True)
+    forms = ["+1 202-555-0142", "202-555-0142", "+12025550142", "(202) 555-0142", "2025550142", "+1 (202) 555 0142", "+1.202.555.0142"]
+    moved = [pseudonym(own, f"call {f} now") for f in forms]
+    digits = {"".join(c for c in m if c.isdigit())[-10:] for m in moved}
+    assert len(digits) == 1 and digits != {"2025550142"}
+    assert [pseudonym(back, m) for m in moved] == [f"call {f} now" for f in forms]
+
+
+def pseudonym(own, text):
+    out, at = [], 0
+    for start, end, _, fresh in own.spans(text):
+        out += [text[at:start], fresh]
+        at = end
+    return "".join([*out, text[at:]])
