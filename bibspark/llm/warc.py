@@ -23,7 +23,7 @@ LEAST_SHARED = 100
 #: Aimed bytes of an archive and of one read; ranges with a gap of at most GAP_BYTES between them are read as one. Most bytes that a task is to read.
 ARCHIVE_BYTES, READ_BYTES, GAP_BYTES, TASK_BYTES = 32 << 20, 4 << 20, 64 << 10, 128 << 20
 #: Passes in which archives are written: only such a part of all payloads is in shuffle files at a time.
-WAVES = 3
+WAVES = 5
 #: Rows of shared payloads that may be broadcast (about 100 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_SHARED = 1 << 18
 #: Fixed values of the format.
