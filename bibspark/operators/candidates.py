@@ -131,28 +131,36 @@ def title_index(titles: DataFrame) -> DataFrame:
     return ordered.mapInPandas(kept, "title string, entry array<string>").select("title", F.explode("entry").alias("entry"))
 
 
-def fuzzy_pairs(books: DataFrame, equal_isbns: bool = False) -> DataFrame:
+def fuzzy_pairs(books: DataFrame, equal_isbns: bool = False, fresh: DataFrame | None = None) -> DataFrame:
     """(a_ord, b_ord, author_ab): pairs of books, the earlier one as a, among which are all that score LEAST_AUTHOR and LEAST_TITLE and whose ISBNs
-    do not contradict each other; with ``equal_isbns`` those of equal ISBNs too, whatever their authors."""
+    do not contradict each other; with ``equal_isbns`` those of equal ISBNs too, whatever their authors. Where ``fresh`` (ord) is given, only pairs
+    with one of these books."""
     pairs = author_pairs(books).withColumn("pair", F.md5(F.concat(F.length("x").cast("string"), F.lit(":"), "x", "y")))
     sides = pairs.select("pair", F.col("x").alias("author"), F.lit(0).alias("side"), (F.col("x") == F.col("y")).alias("own"))
     sides = sides.unionByName(pairs.filter("x <> y").select("pair", F.col("y").alias("author"), F.lit(1).alias("side"), F.lit(False).alias("own")))
     index = cut(title_index(books.select("title").distinct()))
-    held = books.select("ord", "author", "title", (F.col("isbn_normalized") != "").alias("isbn")).join(sides, "author").join(index, "title")
-    rows = cut(held.select("ord", "isbn", "pair", "side", "own", F.xxhash64("pair", "entry").alias("key")))
+    new = F.lit(True)
+    if fresh is not None:
+        books, new = books.join(fresh.select("ord", F.lit(True).alias("__new")), "ord", "left"), F.col("__new").isNotNull()
+    held = books.select("ord", "author", "title", (F.col("isbn_normalized") != "").alias("isbn"), new.alias("new")).join(sides, "author").join(index, "title")
+    rows = cut(held.select("ord", "isbn", "new", "pair", "side", "own", F.xxhash64("pair", "entry").alias("key")))
     # books with an ISBN meet only those without one
     free, bound = rows.filter("not isbn"), rows.filter("isbn")
     names = lambda df, s: df.select("key", "pair", *(F.col(c).alias(f"{s}_{c}") for c in ("ord", "side", "own")))
-    fit = F.col("u_own") | (F.col("u_side") != F.col("v_side"))
-    met = names(free, "u").join(names(free, "v"), ["key", "pair"]).filter("u_ord < v_ord").filter(fit).select("u_ord", "v_ord", "pair")
-    mixed = names(free, "u").join(names(bound, "v"), ["key", "pair"]).filter(fit).select(F.least("u_ord", "v_ord").alias("u_ord"), F.greatest("u_ord", "v_ord").alias("v_ord"), "pair")
-    met = met.unionByName(mixed).distinct()
+    fit = (F.col("u_own") | (F.col("u_side") != F.col("v_side"))) & (F.col("u_ord") != F.col("v_ord"))
+    ends = F.least("u_ord", "v_ord").alias("u_ord"), F.greatest("u_ord", "v_ord").alias("v_ord")
+    meet = lambda u, v: names(u, "u").join(names(v, "v"), ["key", "pair"]).filter(fit).select(*ends, "pair")
+    if fresh is None:
+        met = names(free, "u").join(names(free, "v"), ["key", "pair"]).filter("u_ord < v_ord").filter(fit).select("u_ord", "v_ord", "pair").unionByName(meet(free, bound))
+    else:
+        met = meet(free.filter("new"), rows).unionByName(meet(rows.filter("new"), free))
+    met = met.distinct()
     of = books.select("ord", "author")
     met = met.join(pairs.select("pair", "x", "x_y", "y_x"), "pair").join(of.withColumnRenamed("ord", "u_ord"), "u_ord")
     score: Column = F.when(F.col("author") == F.col("x"), F.col("x_y")).otherwise(F.col("y_x"))
     found = met.select(F.col("u_ord").alias("a_ord"), F.col("v_ord").alias("b_ord"), score.alias("author_ab")).filter(F.col("author_ab") >= LEAST_AUTHOR)
     if equal_isbns:
-        own = books.filter("isbn_normalized <> ''").select("isbn_normalized", "ord", "author")
+        own = books.filter("isbn_normalized <> ''").select("isbn_normalized", "ord", "author")  # few, as equal ISBNs are the first stage's
         same = own.select("isbn_normalized", *(F.col(c).alias(f"a_{c}") for c in ("ord", "author"))).join(own.select("isbn_normalized", *(F.col(c).alias(f"b_{c}") for c in ("ord", "author"))), "isbn_normalized")
         found = found.unionByName(same.filter("a_ord < b_ord").select("a_ord", "b_ord", similarity.author(F.col("a_author"), F.col("b_author")).alias("author_ab")))
     return found

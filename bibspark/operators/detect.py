@@ -99,29 +99,66 @@ def _by_content(left: DataFrame, config: MatchConfig) -> tuple[DataFrame, DataFr
     return _similar(scored, members, left, config, least, False, True, True), similar
 
 
-def _fuzzy(left: DataFrame, config: MatchConfig) -> tuple[DataFrame, DataFrame]:
-    """(members, similarities): a greedy star cover of the books that verifier and similarity match with a seed, then the similarity pass."""
-    least = config.min_duplicate_size
-    left = cut(left)
-    pairs = cut(candidates.fuzzy_pairs(left, least > 2))
+def near_books(left: DataFrame, config: MatchConfig, fresh: DataFrame | None = None) -> DataFrame:
+    """(j, i): the earlier book of a pair, as a seed, takes the later one; of all pairs, or of those with a book of ``fresh`` (ord)."""
+    pairs = cut(candidates.fuzzy_pairs(left, config.min_duplicate_size > 2, fresh))
     for s in "ab":
         pairs = pairs.join(left.select(*(F.col(x).alias(f"{s}_{x}") for x in BOOK)), f"{s}_ord")
     pairs = pairs.withColumn("title_ab", similarity.title_from_040(F.col("a_title"), F.col("b_title"))).filter("title_ab >= 0.40")
     near = cut(pairs.select(*pairs.columns, similarity.pair_overall("a_", "b_", F.col("author_ab"), F.col("title_ab")).alias("overall"))).filter("overall >= 0.55")
     near = cut(verify.verified(near).select("a_ord", "b_ord", F.col("verdict.is_same_book").alias("same"))).filter("same")
-    cover = stars(near.select(F.col("a_ord").alias("j"), F.col("b_ord").alias("i")))
-    cover = cut(_large(cover.select(F.col("seed").cast("string").alias("bucket"), "ord"), least).join(left.select("ord", "node"), "ord"))
+    return near.select(F.col("a_ord").alias("j"), F.col("b_ord").alias("i")).distinct()
+
+
+def cover_groups(left: DataFrame, near: DataFrame, config: MatchConfig) -> tuple[DataFrame, DataFrame]:
+    """(members, similarities): a greedy star cover along ``near``, then the similarity pass inside each star."""
+    least = config.min_duplicate_size
+    cover = cut(_large(stars(near).select(F.col("seed").cast("string").alias("bucket"), "ord"), least).join(left.select("ord", "node"), "ord"))
     scored = _scored(left, cover)
     found = _similar(scored, cover, left, config, least, True, True)
     return found, quotient.mean_similarity(scored, found, left)
 
 
+def run_stage(kind: str, left: DataFrame, config: MatchConfig) -> tuple[DataFrame, DataFrame]:
+    """(members (bucket, ord), similarities (bucket, similarity)) of one stage over the books that it is given."""
+    if kind == "isbn_exact":
+        members = isbn_groups(left, config.min_duplicate_size)
+        similar = members.select("bucket").distinct().withColumn("similarity", F.lit(1.0))
+    elif kind == "title_author_simhash":
+        members, similar = _by_titles(left, config, "title_author_key", False)
+    elif kind == "title_with_author_check":
+        members, similar = _by_titles(left, config, "title_key", True)
+    elif kind == "simhash_content":
+        members, similar = _by_content(left, config)
+    else:
+        members, similar = cover_groups(left, near_books(left, config), config)
+    return settled(kind, members, similar)
+
+
+def settled(kind: str, members: DataFrame, similar: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a stage keeps: groups that are similar enough, with their members."""
+    if kind in ("title_with_author_check", "fuzzy_match"):
+        similar = similar.filter("similarity >= 0.70")
+    similar = cut(similar)
+    members = cut(members.select("bucket", "ord").join(similar, "bucket", "left_semi"))
+    return members, similar.join(members, "bucket", "left_semi")
+
+
+def prepared(books: DataFrame) -> DataFrame:
+    """What the stages need of books with fingerprints."""
+    return books.select(*BOOK, "title_author_key", "title_key", quotient.node_of().alias("node"))
+
+
 def detect(books: DataFrame, config: MatchConfig = MatchConfig(), upto: str = "fuzzy_match") -> tuple[DataFrame, DataFrame]:
     """(groups, members) of a catalogue with fingerprints, by the stages as far as ``upto`` (a match type).
 
     groups: group_id, match_type, similarity, n_books. members: group_id, match_type, ord, member_pos. ``ord`` is the catalogue's order, unique.
     """
-    done = list(stages(books, config, upto))
+    return collected([(kind, members, similar) for kind, members, similar in stages(books, config, upto)])
+
+
+def collected(done: list[tuple[str, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) of the stages' results, numbered on over the stages."""
     members = groups = None
     for stage, (kind, own, similar) in enumerate(done):
         prefix = STAGES[kind]
@@ -137,25 +174,11 @@ def detect(books: DataFrame, config: MatchConfig = MatchConfig(), upto: str = "f
 
 def stages(books: DataFrame, config: MatchConfig = MatchConfig(), upto: str = "fuzzy_match") -> Iterator[tuple[str, DataFrame, DataFrame]]:
     """(match type, members (bucket, ord), similarities (bucket, similarity)) of each stage in order; each works on what the earlier ones left."""
-    left = cut(books.select(*BOOK, "title_author_key", "title_key", quotient.node_of().alias("node")))
+    left = cut(prepared(books))
     kinds = [k for k in STAGES if config.enable_fuzzy or k != "fuzzy_match"]
     for kind in kinds[: kinds.index(upto) + 1 if upto in kinds else None]:
-        if kind == "isbn_exact":
-            members = isbn_groups(left, config.min_duplicate_size)
-            similar = members.select("bucket").distinct().withColumn("similarity", F.lit(1.0))
-        elif kind == "title_author_simhash":
-            members, similar = _by_titles(left, config, "title_author_key", False)
-        elif kind == "title_with_author_check":
-            members, similar = _by_titles(left, config, "title_key", True)
-        elif kind == "simhash_content":
-            members, similar = _by_content(left, config)
-        else:
-            members, similar = _fuzzy(left, config)
-        if kind in ("title_with_author_check", "fuzzy_match"):
-            similar = similar.filter("similarity >= 0.70")
-        similar = cut(similar)
-        members = cut(members.select("bucket", "ord").join(similar, "bucket", "left_semi"))
-        yield kind, members, similar.join(members, "bucket", "left_semi")
+        members, similar = run_stage(kind, left, config)
+        yield kind, members, similar
         left = cut(left.join(members, "ord", "left_anti"))
 
 

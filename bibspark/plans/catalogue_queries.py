@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import fingerprint, isbn, text
 from ..operators import bin as bins
-from ..operators import cluster, convert, detect, edit, enrich, recommend, report
+from ..operators import cluster, convert, detect, edit, enrich, increments, recommend, report
 from ..sources import epub, files, index_log
 from ..streaming import incremental
 from . import fixture
@@ -94,6 +94,14 @@ def ded00_members(spark: SparkSession, d: str) -> DataFrame:
     return _detected(spark, d)[1]
 
 
+@query("ded00_increment")
+def ded00_increment(spark: SparkSession, d: str) -> DataFrame:
+    """Groups after a fifth of the catalogue has been added to the rest; the same as those of one run over all."""
+    own = detect.cut(fingerprint.with_fingerprints(books(spark, d)))
+    state = increments.extended(increments.begun(own.filter("mod(ord, 5) <> 0")), own.filter("mod(ord, 5) = 0"))
+    return state.groups()[0].withColumn("similarity", F.round("similarity", 6))
+
+
 def _stage(match_type: str, catalogue=books):
     """Groups of one stage; the stages after it are not run."""
 
