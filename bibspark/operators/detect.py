@@ -1,6 +1,6 @@
 """Duplicate detection in five stages, each on what the earlier ones left: ISBN, title and author, title, content, fuzzy.
 
-Inside a bucket books of equal title, author and ISBN are one node, and nodes are paired and scored, not books (see quotient.py). Candidates of
+Inside a bucket books of equal title, author and ISBN (ISBNs of one book only count as one) are one node, and nodes are paired and scored, not books (see quotient.py). Candidates of
 the fuzzy stage come from an inverted index of titles (see candidates.py). Order-dependent greedy passes are sorted sweeps (see cluster.py).
 """
 
@@ -60,7 +60,7 @@ def _scored(books: DataFrame, members: DataFrame) -> DataFrame:
 
 def group_similarity(books: DataFrame, members: DataFrame) -> DataFrame:
     """(bucket, similarity): mean overall similarity over all pairs of each bucket's members (bucket, ord)."""
-    books = cut(books.withColumn("node", quotient.node_of()).join(members.select("ord").distinct(), "ord", "left_semi"))
+    books = cut(quotient.noded(books).join(members.select("ord").distinct(), "ord", "left_semi"))
     own = cut(members.select("bucket", "ord").join(books.select("ord", "node"), "ord"))
     return quotient.mean_similarity(_scored(books, own), own, books)
 
@@ -146,7 +146,7 @@ def settled(kind: str, members: DataFrame, similar: DataFrame) -> tuple[DataFram
 
 def prepared(books: DataFrame) -> DataFrame:
     """What the stages need of books with fingerprints."""
-    return books.select(*BOOK, "title_author_key", "title_key", quotient.node_of().alias("node"))
+    return quotient.noded(cut(books.select(*BOOK, "title_author_key", "title_key")))
 
 
 def detect(books: DataFrame, config: MatchConfig = MatchConfig(), upto: str = "fuzzy_match") -> tuple[DataFrame, DataFrame]:

@@ -58,7 +58,7 @@ def _bucket(kind: str) -> Column:
 
 def extended(state: State, fresh: DataFrame, config: MatchConfig = MatchConfig()) -> State:
     """The state with books added; equal to a full run over all of them. ``fresh`` has fingerprints and places (ord) that no book has yet."""
-    books = cut(state.books.unionByName(detect.prepared(fresh)))
+    books = cut(detect.prepared(state.books.unionByName(fresh, allowMissingColumns=True)))  # an ISBN may have become another book's too
     left = books
     changed = cut(fresh.select("ord", F.lit(False).alias("was"), F.lit(True).alias("now")))  # books that are at a stage in one run only
     stages = {}

@@ -1,5 +1,8 @@
 """The quotient of a catalogue by what the matching rules look at first: books of equal title, author and ISBN are one node.
 
+Of an ISBN the rules ask only whether the other book has the same one, so ISBNs that a single book has count as one kind (SOLE): after the first
+stage nearly all are such, and the nodes of a title do not grow with its books.
+
 Inside a bucket nodes are paired instead of books, and each pair of nodes is scored once. Titles and authors settle most pairs of nodes for
 all of their books; only where content hash and size can still turn the answer are books paired. Means over all pairs of a large
 pair of nodes come from sorted sums: of size ratios by prefix sums, of hash distances by counts of bits.
@@ -22,19 +25,34 @@ OWN = ["title", "author", "author_clean", "author_form", "isbn_normalized"]
 FEW_PAIRS = 1 << 12
 #: Rounding of a score: answers nearer to a threshold than this are left to the pairs of books.
 DOUBT = 1e-9
+#: Rounding of a mean's summand that is told apart from no cap.
+ROUNDING = 1e-12
+#: In place of an ISBN that no other book has; it equals none, not even itself.
+SOLE = "*"
 #: Share of sizes from which on different formats make up the difference (fixed value of the size score).
 FORMAT_BONUS = 0.15
 
 
-def node_of() -> Column:
+def node_of(isbn: str = "isbn_normalized") -> Column:
     """Name of a book's node."""
-    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "author", "isbn_normalized")]
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "author", isbn)]
     return F.md5(F.concat(*(x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p))))
 
 
+def noded(books: DataFrame) -> DataFrame:
+    """``books`` with isbn_key (the ISBN, or SOLE where no other of them has it) and node. Holds for any part of ``books`` as well."""
+    has = F.coalesce(F.col("isbn_normalized"), F.lit("")) != ""
+    shared = books.filter(has).groupBy(F.col("isbn_normalized").alias("__key")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n").withColumn("__shared", F.lit(True))
+    keyed = books.withColumn("__key", F.when(has, F.col("isbn_normalized")).otherwise(F.concat(F.lit("-"), F.col("ord").cast("string"))))  # books without one go to no single task
+    key = F.when(~has, "").when(F.col("__shared"), F.col("isbn_normalized")).otherwise(SOLE)
+    own = keyed.join(shared, "__key", "left").withColumn("isbn_key", key).drop("__key", "__shared")
+    return own.withColumn("node", node_of("isbn_key"))
+
+
 def nodes_of(books: DataFrame) -> DataFrame:
-    """(node, OWN...) of books that have a column ``node``."""
-    return books.groupBy("node").agg(*(F.first(c).alias(c) for c in OWN))
+    """(node, OWN...) of books that have a column ``node``; where they have ``isbn_key`` too, that stands for the ISBN."""
+    own = books.withColumn("isbn_normalized", F.col("isbn_key")) if "isbn_key" in books.columns else books
+    return own.groupBy("node").agg(*(F.first(c).alias(c) for c in OWN))
 
 
 def bucket_nodes(members: DataFrame) -> DataFrame:
@@ -48,6 +66,7 @@ def node_pairs(held: DataFrame, nodes: DataFrame) -> DataFrame:
     met = a.join(b, "bucket").filter("a_first < b_first or (a_node = b_node and a_n > 1)")
     for s in "ab":
         met = met.join(nodes.select(F.col("node").alias(f"{s}_node"), *(F.col(c).alias(f"{s}_{c}") for c in OWN)), f"{s}_node")
+        met = met.withColumn(f"{s}_isbn_normalized", F.when(F.col(f"{s}_isbn_normalized") == SOLE, f"{SOLE}{s}").otherwise(F.col(f"{s}_isbn_normalized")))
     return met
 
 
@@ -214,7 +233,7 @@ def mean_similarity(scored: DataFrame, members: DataFrame, books: DataFrame, few
     own = own.withColumns({"author": F.when(backwards, F.col("author_ba")).otherwise(F.col("author_ab")), "title": F.when(backwards, F.col("title_ba")).otherwise(F.col("title_ab"))})
     own = with_parts(own, F.col("author"), F.col("title"))
     low, high = bounds()
-    flat, free = low >= F.col("cap"), high <= F.col("cap")
+    flat, free = low >= F.col("cap") - ROUNDING, high <= F.col("cap") + ROUNDING
     large = cut(own.withColumns({"flat": flat, "summed": either & (F.col("size") > few) & (flat | free)}))
 
     direct = _book_pairs(large.filter("not summed"), members, books)
