@@ -68,8 +68,8 @@ def scored(members: DataFrame) -> DataFrame:
 
 
 def ranked(scored_members: DataFrame) -> DataFrame:
-    """Adds rank from 1: by score, then place in the group."""
-    return scored_members.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("score"), "member_pos")))
+    """Adds rank from 1: by score, then place in the group. Scores equal to nine digits are ties, as their sums are rounded differently from engine to engine."""
+    return scored_members.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc(F.round("score", 9)), "member_pos")))
 
 
 def keepers(scored_members: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bibspark.operators import detect, quotient
+from bibspark.operators import detect, quotient, recommend
 
 from .test_goldens import frame
 
@@ -41,3 +41,8 @@ def test_kinds_of_isbns_give_what_every_isbn_gives(spark):
         sizes.append(len(found[0][0]))
         assert found[0][1] == pytest.approx(found[1][1], abs=1e-9)
     assert sum(sizes) > 50
+
+
+def test_scores_equal_to_nine_digits_are_ties(spark):
+    rows = spark.createDataFrame([("g", 0, 0.1 + 0.2 + 0.3), ("g", 1, 0.1 + 0.2 + 0.3 + 2e-16), ("g", 2, 0.7)], "group_id string, member_pos int, score double")
+    assert {r["member_pos"]: r["rank"] for r in recommend.ranked(rows).collect()} == {2: 1, 0: 2, 1: 3}
