@@ -12,7 +12,7 @@ from functools import lru_cache
 from .. import constants as K
 from .text import fold_chars, nfkc_text
 
-MEMO = 1 << 16
+MEMO = 1 << 12
 _PUNCTUATION = re.compile("[" + "".join(map(re.escape, K.PUNCTUATION)) + "]")
 _GENERAL_STOP = {*K.ENGLISH_STOPWORDS, *K.ROMANCE_STOPWORDS}
 _STOP_CHARS = set(K.CJK_STOP_CHARS)
@@ -72,7 +72,7 @@ def jaccard(a: set | frozenset, b: set | frozenset) -> float:
     return len(a & b) / len(a | b) if a and b else 0.0
 
 
-@lru_cache(1 << 14)
+@lru_cache(1 << 10)
 def grams(text: str, n: int) -> frozenset[str]:
     text = text.replace(" ", "")
     return frozenset(text[i : i + n] for i in range(max(len(text) - n, 0) + 1))

@@ -1,10 +1,12 @@
 """Steps that grew faster than the catalogue."""
 
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
+from bibspark.functions import kernels
 from bibspark.operators import detect, quotient, recommend
 
 from .test_goldens import frame
@@ -46,3 +48,14 @@ def test_kinds_of_isbns_give_what_every_isbn_gives(spark):
 def test_scores_equal_to_nine_digits_are_ties(spark):
     rows = spark.createDataFrame([("g", 0, 0.1 + 0.2 + 0.3), ("g", 1, 0.1 + 0.2 + 0.3 + 2e-16), ("g", 2, 0.7)], "group_id string, member_pos int, score double")
     assert {r["member_pos"]: r["rank"] for r in recommend.ranked(rows).collect()} == {2: 1, 0: 2, 1: 3}
+
+
+def test_memory_of_title_kernels_is_small_whatever_the_titles():
+    rng = random.Random(2)
+    titles = [" ".join("".join(rng.choice("abcdefghiklmnorstu") for _ in range(6)) for _ in range(8)) for _ in range(8000)]
+    tracemalloc.start()
+    for a, b in zip(titles, titles[1:]):
+        kernels.title(a, b)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 40e6
