@@ -33,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many parts as the cluster can work on, for steps that cost far more than their rows' bytes say (adaptive execution would join small parts)."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 # ---------------------------------------------------------------- greedy acceptance
 ARC, EDGE, BOOK = 0, 1, 2
 

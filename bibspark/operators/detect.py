@@ -1,7 +1,7 @@
 """Duplicate detection in five stages, each on what the earlier ones left: ISBN, title and author, title, content, fuzzy.
 
 Inside a bucket books of equal title, author and ISBN (ISBNs of one book only count as one) are one node, and nodes are paired and scored, not books (see quotient.py). Candidates of
-the fuzzy stage come from an inverted index of titles (see candidates.py). Order-dependent greedy passes are sorted sweeps (see cluster.py).
+the fuzzy stage come from blocks of titles (see candidates.py). Order-dependent greedy passes are sorted sweeps (see cluster.py).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity
 from . import candidates, quotient, verify
-from .cluster import accepted, cut, stars
+from .cluster import accepted, cut, spread, stars
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ def _keyed(books: DataFrame, key: Column, present: Column) -> DataFrame:
 def _scored(books: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs of the nodes of each bucket with author and title scores in both orders."""
     own = books.join(members.select("ord").distinct(), "ord", "left_semi")
-    return cut(quotient.backward(quotient.forward(quotient.node_pairs(quotient.bucket_nodes(members), quotient.nodes_of(own)))))
+    return cut(quotient.backward(quotient.forward(spread(quotient.node_pairs(quotient.bucket_nodes(members), quotient.nodes_of(own))))))
 
 
 def group_similarity(books: DataFrame, members: DataFrame) -> DataFrame:
@@ -83,11 +83,13 @@ def _by_titles(left: DataFrame, config: MatchConfig, key: str, need_author: bool
 
 
 def _by_content(left: DataFrame, config: MatchConfig) -> tuple[DataFrame, DataFrame]:
-    """(members, similarities) of books with equal content hashes: the mean counts before the similarity pass."""
+    """(members, similarities) of books with equal content hashes: the mean counts before the similarity pass. Titles are scored only where names leave it open."""
     least = config.min_duplicate_size
     members = cut(_large(_keyed(left, F.col("simhash"), F.col("simhash") != 0), least))
     own = left.join(members.select("ord").distinct(), "ord", "left_semi")
-    pairs = quotient.forward(quotient.node_pairs(quotient.bucket_nodes(members), quotient.nodes_of(own)))
+    members = cut(members.join(quotient.may_reach(members, own, config.simhash_threshold), "bucket", "left_semi"))
+    own = left.join(members.select("ord").distinct(), "ord", "left_semi")
+    pairs = quotient.forward(spread(quotient.node_pairs(quotient.bucket_nodes(members), quotient.nodes_of(own))))
     pairs = cut(pairs)
     # the other order matters to the mean only where books of two nodes alternate
     turned = F.col("a_last") > F.col("b_first")
@@ -104,7 +106,7 @@ def near_books(left: DataFrame, config: MatchConfig, fresh: DataFrame | None = N
     pairs = cut(candidates.fuzzy_pairs(left, config.min_duplicate_size > 2, fresh))
     for s in "ab":
         pairs = pairs.join(left.select(*(F.col(x).alias(f"{s}_{x}") for x in BOOK)), f"{s}_ord")
-    pairs = pairs.withColumn("title_ab", similarity.title_from_040(F.col("a_title"), F.col("b_title"))).filter("title_ab >= 0.40")
+    pairs = spread(pairs).withColumn("title_ab", similarity.title_from_040(F.col("a_title"), F.col("b_title"))).filter("title_ab >= 0.40")
     near = cut(pairs.select(*pairs.columns, similarity.pair_overall("a_", "b_", F.col("author_ab"), F.col("title_ab")).alias("overall"))).filter("overall >= 0.55")
     near = cut(verify.verified(near).select("a_ord", "b_ord", F.col("verdict.is_same_book").alias("same"))).filter("same")
     return near.select(F.col("a_ord").alias("j"), F.col("b_ord").alias("i")).distinct()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity
 from ..functions.fingerprint import simhash_similarity
 from . import verify
-from .cluster import cut
+from .cluster import cut, spread
 
 OWN = ["title", "author", "author_clean", "author_form", "isbn_normalized"]
 #: Pairs of books up to which a pair of nodes is summed pair by pair; sorted sums give the same beyond.
@@ -122,6 +122,23 @@ def bounds(same_content: bool = False) -> tuple[Column, Column]:
     return F.least("base1", "base0"), F.greatest(c("base1") + c("content1") + c("size1"), c("base0") + c("size0"))
 
 
+def may_reach(members: DataFrame, books: DataFrame, least: float) -> DataFrame:
+    """Buckets of ``members`` (bucket, ord, node), books of one content hash each, whose mean similarity can reach ``least`` as far as authors and ISBNs say: with equal
+    titles and sizes. Each two names are scored once for all buckets."""
+    nodes = nodes_of(books).select("node", F.coalesce("author", F.lit("")).alias("author"), F.coalesce("isbn_normalized", F.lit("")).alias("isbn_normalized"))
+    kinds = cut(members.join(nodes, "node").groupBy("bucket", "author", "isbn_normalized").agg(F.count(F.lit(1)).alias("n")))
+    a, b = (kinds.select("bucket", F.struct("author", "isbn_normalized").alias(f"{s}_kind"), *(F.col(c).alias(f"{s}_{c}") for c in ("author", "isbn_normalized", "n"))) for s in "ab")
+    met = a.join(b, "bucket").filter("a_kind < b_kind or (a_kind = b_kind and a_n > 1)")
+    met = met.withColumn("size", F.when(F.col("a_kind") == F.col("b_kind"), F.col("a_n") * (F.col("a_n") - 1) / 2).otherwise(F.col("a_n") * F.col("b_n")))
+    for s in "ab":
+        met = met.withColumn(f"{s}_isbn_normalized", F.when(F.col(f"{s}_isbn_normalized") == SOLE, f"{SOLE}{s}").otherwise(F.col(f"{s}_isbn_normalized")))
+    names = spread(met.select("a_author", "b_author").distinct())
+    names = cut(names.withColumn("author", F.greatest(similarity.author(F.col("a_author"), F.col("b_author")), similarity.author(F.col("b_author"), F.col("a_author")))))
+    met = with_parts(met.join(names, ["a_author", "b_author"]), F.col("author"), F.lit(1.0))
+    most = met.groupBy("bucket").agg((F.sum(F.col("size") * F.least(bounds(True)[1], F.col("cap"))) / F.sum("size")).alias("most"))
+    return most.filter(F.col("most") >= least - DOUBT).select("bucket")
+
+
 def _book_pairs(pairs: DataFrame, members: DataFrame, books: DataFrame) -> DataFrame:
     """Pairs of books of ``pairs`` of nodes, a_ord and b_ord with what differs between books of a node; ``members`` is (bucket, ord, node)."""
     own = members.join(books.select("ord", "simhash", "file_size", "file_format"), "ord")
