@@ -86,7 +86,7 @@ ENDED = T.StructType([T.StructField("id", T.StringType()), T.StructField("delete
 
 
 class _Bin(StatefulProcessor):
-    """One file: events wait until the watermark has passed them, then take effect in order; a deletion sets the timer at which it expires."""
+    """One file: events wait until the watermark has passed them, then take effect in order; a deletion still open sets the timer at which it expires."""
 
     def __init__(self, days: float):
         self.ttl = int(days * 86_400_000)
@@ -98,20 +98,22 @@ class _Bin(StatefulProcessor):
         self.bin = handle.getValueState("deleted", T.StructType([long("us")]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for us, seq, kind in zip(batch["us"], batch["seq"], batch["kind"], strict=True):
-                self.waiting.appendValue((int(us), int(seq), kind))
-                self.handle.registerTimer(int(us) // 1000 + 1)
+        fresh = [(int(us), int(seq), kind) for batch in rows for us, seq, kind in zip(batch["us"], batch["seq"], batch["kind"], strict=True)]
+        if fresh:
+            self.waiting.appendList(fresh)
+            self.handle.registerTimer(min(fresh)[0] // 1000 + 1)  # one for all: when it fires, what is due is settled, and the next one set
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000  # a timer set in the past would wait for the next batch
         held = sorted(tuple(x) for x in self.waiting.get())
         due, later = [x for x in held if x[0] < now], [x for x in held if x[0] >= now]
-        if due:
+        if due and later:
+            self.waiting.put(later)
+        elif due:
             self.waiting.clear()
-            for x in later:
-                self.waiting.appendValue(x)
+        if later:
+            self.handle.registerTimer(later[0][0] // 1000 + 1)
         out = []
         since = self.bin.get()[0] if self.bin.exists() else None
         ttl = self.ttl * 1000
@@ -124,7 +126,6 @@ class _Bin(StatefulProcessor):
                 since = None
             if kind == DELETE:
                 since = us
-                self.handle.registerTimer((us + ttl) // 1000 + 1)
         if since is not None and now > since + ttl:
             out.append((since, "expired", since + ttl))
             since = None
@@ -132,6 +133,7 @@ class _Bin(StatefulProcessor):
             self.bin.clear()
         else:
             self.bin.update((since,))
+            self.handle.registerTimer((since + ttl) // 1000 + 1)
         if out:
             yield pd.DataFrame({"id": [key[0]] * len(out), "deleted": [x[0] for x in out], "outcome": [x[1] for x in out], "ended": [x[2] for x in out]})
 
