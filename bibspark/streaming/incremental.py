@@ -28,40 +28,31 @@ def with_state(spark: SparkSession) -> None:
 
 
 # ---------------------------------------------------------------- import
-class _FirstSeen(StatefulProcessor):
-    """The first row of each key; none where the initial state knows the key."""
+def _begun(spark: SparkSession, checkpoint: str) -> bool:
+    """Whether a stream has finished a batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(path) and any(x.getPath().getName().isdigit() for x in fs.listStatus(path))
 
-    def __init__(self, names: list[str]):
-        self.names = names
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("yes", T.BooleanType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            for _ in rows:
-                pass
-            return
-        first = None
-        for batch in rows:
-            if first is None and len(batch):
-                first = batch.head(1)
-        if first is not None:
-            self.seen.update((True,))
-            yield first[self.names]
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.seen.update((True,))
-
-    def close(self) -> None:
-        pass
+def first_seen(rows: DataFrame, key: str, checkpoint: str, known: DataFrame | None = None) -> DataFrame:
+    """Of a stream one row of each ``key``, unless ``known`` (any columns with the key) has it. Null keys are one key.
 
-
-def first_seen(rows: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
-    """Of a stream the first row of each ``key``, unless ``known`` (any columns with the key) has it. Null keys are one key."""
-    with_state(rows.sparkSession)
-    initial = None if known is None else known.select(key).distinct().groupBy(key)
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=_FirstSeen(rows.columns), outputStructType=rows.schema, outputMode="Append", timeMode="None", initialState=initial)
+    Keys of ``known`` are written beside the stream's logs once and enter the keyed state as rows of the first batch. As no order holds inside
+    a batch, rows are also held against them until that batch is done; later starts know them from state alone.
+    """
+    spark = rows.sparkSession
+    with_state(spark)
+    folder = f"{checkpoint}/known"
+    kind = T.StructType([T.StructField(key, rows.schema[key].dataType)])
+    if not files._exists(spark, f"{folder}/_SUCCESS"):
+        own = spark.createDataFrame([], kind) if known is None else known.select(F.col(key).cast(kind[0].dataType)).distinct()
+        own.write.mode("overwrite").parquet(folder)
+    if not _begun(spark, checkpoint):
+        there = spark.read.schema(kind).parquet(folder).withColumnRenamed(key, "__there")
+        rows = rows.join(there, F.col(key).eqNullSafe(F.col("__there")), "left_anti")
+    seeds = spark.readStream.schema(kind).parquet(folder).select(*(F.col(key) if f.name == key else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema), F.lit(True).alias("__known"))
+    return rows.withColumn("__known", F.lit(False)).unionByName(seeds).dropDuplicates([key]).filter("not __known").drop("__known")
 
 
 def import_stream(spark: SparkSession, folder: str, catalogue_path: str, checkpoint: str, known: DataFrame | None = None) -> StreamingQuery:
@@ -73,7 +64,7 @@ def import_stream(spark: SparkSession, folder: str, catalogue_path: str, checkpo
 
 def append_new(books: DataFrame, catalogue_path: str, checkpoint: str, known: DataFrame | None = None) -> StreamingQuery:
     """Append a stream's books by ``file_path`` to a table of its own, each once, without those of ``known``."""
-    new = first_seen(books, "file_path", known)
+    new = first_seen(books, "file_path", checkpoint, known)
     return new.writeStream.format("parquet").option("path", catalogue_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

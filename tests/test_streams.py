@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import shutil
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from bibspark.sources import epub
@@ -88,3 +89,77 @@ def test_life_cycle_equals_batch_form(spark, tmp_path):
     last = [x for x in want if x[3] >= int(end.timestamp()) * 1_000_000]
     assert [x for x in want if x not in last] == [x for x in got if x not in last] and set(got) <= set(want)
     assert {x[2] for x in got} == {"restored", "purged", "replaced", "expired"}
+
+
+def test_known_and_null_paths_in_the_batch_that_brings_them(spark, tmp_path):
+    """Known paths and new ones meet in the first batch; a later start without a catalogue still knows them."""
+    folder = tmp_path / "in"
+    known = spark.createDataFrame([(f"/k{i}",) for i in range(300)] + [("/k1",)], "file_path string")
+    put(folder, "1.json", *(f"/k{i}" for i in range(0, 300, 2)), *(f"/n{i}" for i in range(50)))
+    with (folder / "0.json").open("w") as f:
+        f.write('{"title": "no path"}\n{"title": "no path either"}\n')
+
+    def go(known):
+        books = spark.readStream.schema(BOOK).json(str(folder))
+        incremental.append_new(books, str(tmp_path / "store"), str(tmp_path / "ckpt"), known).awaitTermination()
+        return sorted(r["file_path"] or "" for r in spark.read.parquet(str(tmp_path / "store")).collect())
+
+    want = sorted(["", *(f"/n{i}" for i in range(50))])
+    assert go(known) == want
+    put(folder, "2.json", "/k3", "/k4", "/n1", "/new")
+    assert go(None) == sorted([*want, "/new"])
+
+
+def test_one_timer_for_all_waiting_events():
+    """Timers do not grow with a file's events: one a batch, and one for what is still to come."""
+
+    class Held:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def get(self):
+            return iter(self.rows) if isinstance(self.rows, list) else self.rows
+
+        def exists(self):
+            return bool(self.rows)
+
+        def appendList(self, rows):
+            self.rows, self.calls = self.rows + rows, self.calls + 1
+
+        def appendValue(self, row):
+            self.appendList([row])
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def update(self, row):
+            self.rows = row
+
+        def clear(self):
+            self.rows = []
+
+    class Handle:
+        timers = set()
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 500
+
+    state, handle = incremental._Bin(1), Handle()
+    state.handle, state.waiting, state.bin = handle, Held(), Held()
+    events = pd.DataFrame({"us": [i * 10_000 for i in range(100)], "seq": range(100), "kind": ["delete"] * 100})
+    list(state.handleInputRows(("a",), iter([events]), None))
+    assert handle.timers == {1} and state.waiting.calls == 1
+    handle.timers = set()
+    (out,) = state.handleExpiredTimer(("a",), Now(), None)
+    assert len(out) == 49 and len(state.waiting.rows) == 50 and state.bin.rows == (490_000,)
+    assert handle.timers == {501, 86_400_491}
+
+
+def test_import_keeps_paths_without_python(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    plan = incremental.first_seen(spark.readStream.schema(BOOK).json(str(tmp_path / "in")), "file_path", str(tmp_path / "ckpt"))._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "Python" not in plan and "Pandas" not in plan, plan
