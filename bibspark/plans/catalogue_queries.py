@@ -473,11 +473,9 @@ def src03(spark: SparkSession, d: str) -> DataFrame:
 def _book_files(spark: SparkSession, d: str) -> DataFrame:
     """Book files in memory, as a scan would give them; every fifth is broken."""
 
-    @F.pandas_udf(T.BinaryType())
+    @F.udf(T.BinaryType(), useArrow=False)
     def make(title, author, lead, number):
-        import pandas as pd
-
-        return pd.Series([b"broken" if n % 5 == 0 else epub.make(t, a, x, isbn=f"978{n}", tags=("one", "two", "one"), language="en") for t, a, x, n in zip(title, author, lead, number, strict=True)])
+        return b"broken" if number % 5 == 0 else epub.make(title, author, lead, isbn=f"978{number}", tags=("one", "two", "one"), language="en")
 
     name = F.concat(F.lit("/lib/"), c("ord").cast("string"), F.lit(".epub"))
     return books(spark, d).select("ord", "title", "author", "lead_text", name.alias("path"), make("title", "author", "lead_text", "ord").alias("content")).withColumn("length", F.length("content").cast("long"))

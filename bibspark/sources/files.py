@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import struct
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,10 +98,11 @@ def parse_one(kind: str, content: bytes | None) -> dict[str, object]:
     return _pdf(content) if kind == "pdf" else {}
 
 
-@F.pandas_udf(PARSED)
-def parse_content(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
-    none = {"tags": [], "cover_path": None}
-    return pd.DataFrame([{c: r.get(c, none.get(c, "")) for c in PARSED.names} for r in (parse_one(k, x) for k, x in zip(kind, content, strict=True))], columns=PARSED.names)
+#: Files come to Python some at a time, as rows: an Arrow batch would hold 10,000 files and their fields at once, whatever their size.
+@F.udf(PARSED, useArrow=False)
+def parse_content(kind: str | None, content: bytes | None) -> tuple:
+    found = {"tags": [], "cover_path": None} | parse_one(kind, None if content is None else bytes(content))
+    return tuple(found.get(c, "") for c in PARSED.names)
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -168,8 +168,8 @@ def write_index(entries: DataFrame, path: str) -> None:
 def save_epub_rows(rows: DataFrame, content: str = "content", changes: str = "changes") -> DataFrame:
     """``rows`` with ``saved``: the EPUB bytes of ``content`` with the metadata map ``changes`` written, null if it is no readable EPUB."""
 
-    @F.pandas_udf(T.BinaryType())
-    def save(raw: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else epub.write_metadata(r, dict(n or {})) for r, n in zip(raw, new, strict=True)], dtype=object)
+    @F.udf(T.BinaryType(), useArrow=False)  # rows, as in parse_content()
+    def save(raw: bytes | None, new: dict[str, str] | None) -> bytes | None:
+        return None if raw is None else epub.write_metadata(bytes(raw), new or {})
 
     return rows.withColumn("saved", save(F.col(content), F.col(changes)))

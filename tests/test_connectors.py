@@ -102,3 +102,18 @@ def test_answers_feed_the_parsers(spark, tmp_path, server):
     found = lookup.fetch(spark.createDataFrame([("9780306406157",)], "isbn string"), "isbn", server + "/isbn/{key}.json", str(tmp_path / "keys"))
     record = enrich.parse_isbn_record(found.filter(F.col("status") == 200)).first()
     assert (record["key"], record["title"], record["publisher"]) == ("9780306406157", "T 9780306406157", "P")
+
+
+def test_files_come_to_python_as_rows(spark):
+    """No batch of thousands of files is held at once; missing contents and changes are as ever."""
+    from pyspark.util import PythonEvalType
+
+    from bibspark.sources import epub, files
+
+    assert files.parse_content.evalType == PythonEvalType.SQL_BATCHED_UDF
+    good = epub.make("A", "X", "text", tags=("one",))
+    rows = spark.createDataFrame([("/a.epub", good, {"title": "B"}), ("/b.epub", good, None), ("/c.epub", None, {"title": "B"}), ("/d.epub", b"broken", {})], "path string, content binary, changes map<string,string>")
+    saved = files.save_epub_rows(rows)
+    assert "ArrowEval" not in saved._jdf.queryExecution().executedPlan().toString()
+    found = {r["file_path"]: (r["title"], r["author"], r["tags"], r["cover_path"]) for r in files.parse(saved.selectExpr("path", "saved AS content", "1L AS length")).collect()}
+    assert found == {"/a.epub": ("B", "X", ["one"], "cover.jpg"), "/b.epub": ("A", "X", ["one"], "cover.jpg"), "/c.epub": ("c", "", [], None), "/d.epub": ("d", "", [], None)}
