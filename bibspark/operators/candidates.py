@@ -1,28 +1,27 @@
 """Candidate pairs of the fuzzy stage, from bounds that its acceptance implies: an author score of 0.55 and a title score of 0.40.
 
 Authors are paired first, each name once, by keys that such names share: an equal form, the last name, two ideographs in the same order, two
-neighbouring characters. Titles of paired authors then meet block by block: what two titles can score at most comes from products of small matrices, and
-only pairs that can reach 0.40 leave a task. At so low a bound an inverted index of entries keeps three fifths of all pairs (title_index(),
-for titles of many authors at once).
+neighbouring characters. Titles of paired authors then meet block by block, and only pairs that can reach 0.40 leave a task (see sieve.py). At so
+low a bound an inverted index of entries keeps three fifths of all pairs (title_index(), for titles of many authors at once).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels, similarity, text
+from . import sieve
 from .cluster import cut, spread
 
 LEAST_AUTHOR, LEAST_TITLE = 0.55, 0.40
 #: Weights of the title score: ratio, character pairs, character triples, words (fixed values; see kernels.combined).
 RATIO, PAIRS, TRIPLES, WORDS = 0.30, 0.25, 0.30, 0.15
-#: Titles of an author in a block, about; columns of a matrix of entries, at most (twice as many for triples).
-BLOCK, WIDTH = 1 << 10, 1 << 10
+#: Titles of an author in a block, about.
+BLOCK = 1 << 12
 
 
 def author_keys(authors: DataFrame) -> DataFrame:
@@ -135,70 +134,16 @@ def title_index(titles: DataFrame) -> DataFrame:
     return ordered.mapInPandas(kept, "title string, entry array<string>").select("title", F.explode("entry").alias("entry"))
 
 
-def most_common(titles: pd.Series, other: pd.Series | None = None) -> np.ndarray:
-    """What each of ``titles`` can score against each of ``other`` (themselves where none), at most, in either order.
-
-    Shares of pairs, triples, words and ideographs come from products of 0-1 matrices. So does the ratio's bound, the letters that both
-    titles have, the k-th of a kind against the k-th. Columns may stand for several entries: that can only add to what is shared.
-    """
-    both = list(titles) + ([] if other is None else list(other))
-    n = len(titles)
-    cleaned = [kernels.clean(t) for t in both]
-    rows, columns = slice(0, n), slice(0, n) if other is None else slice(n, len(both))
-
-    def shared(sets: list, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(entries shared, entries of each row, entries of each column)."""
-        code: dict = {}
-        sizes = np.array([len(x) for x in sets], dtype="float32")
-        at = [code.setdefault(e, len(code)) % width for x in sets for e in x]
-        held = np.zeros((len(sets), max(min(len(code), width), 1)), dtype="float32")
-        np.add.at(held, (np.repeat(np.arange(len(sets)), sizes.astype("int64")), at), 1)
-        met = held[rows] @ held[columns].T
-        mine, theirs = np.broadcast_arrays(sizes[rows][:, None], sizes[columns][None, :])
-        return np.minimum(met, np.minimum(mine, theirs)), mine, theirs
-
-    def share(sets: list, width: int) -> np.ndarray:
-        met, mine, theirs = shared(sets, width)
-        return np.where(mine + theirs > 0, met / np.maximum(mine + theirs - met, 1), 1.0)
-
-    def letters(text: str) -> list[tuple[str, int]]:
-        seen: dict[str, int] = {}
-        out = []
-        for c in text:
-            seen[c] = seen.get(c, 0) + 1
-            out.append((c, seen[c]))
-        return out
-
-    def equal(names: list[str]) -> np.ndarray:
-        code = {name: i for i, name in enumerate(dict.fromkeys(names))}
-        codes = np.array([code[x] if x else -1 for x in names])
-        return (codes[rows][:, None] == codes[columns][None, :]) & (codes[rows][:, None] >= 0)
-
-    met, mine, theirs = shared([letters(t) for t in cleaned], WIDTH)
-    ratio = 2 * met / np.maximum(mine + theirs, 1)
-    two, three = (share([kernels.grams(t, k) for t in cleaned], WIDTH * (k - 1)) for k in (2, 3))
-    general = [kernels.general(t) for t in cleaned]
-    found = RATIO * ratio + PAIRS * two + TRIPLES * three + WORDS * share([set(g.split()) for g in general], WIDTH)
-    own = [set(kernels.ideographs(t)) for t in cleaned]
-    if any(own):
-        has = np.array([bool(x) for x in own])
-        drawn = 0.30 * two + 0.25 * three + 0.25 * ratio + 0.20 * share(own, WIDTH)
-        found = np.where(has[rows][:, None] & has[columns][None, :], drawn, found)
-    for names in (general, [kernels.title_form(t) for t in both], [f"={t}" for t in cleaned]):
-        found[equal(names)] = 1.0
-    return found
-
-
 def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(u, v): titles of a task, those of side 0 against those of side 1, or, where there are none, against each other. Rows come by task."""
 
     def pairs(own: pd.DataFrame) -> pd.DataFrame:
         first, second = own[own["side"] == 0], own[own["side"] == 1]
         if own["alone"].iloc[0]:
-            i, j = np.nonzero(np.triu(most_common(first["title"]) >= LEAST_TITLE - 1e-4, 1))
-            second = first
+            i, j = sieve.close(first, first, LEAST_TITLE)
+            i, j, second = i[i < j], j[i < j], first
         else:
-            i, j = np.nonzero(most_common(first["title"], second["title"]) >= LEAST_TITLE - 1e-4)
+            i, j = sieve.close(first, second, LEAST_TITLE)
         return pd.DataFrame({"u": first["id"].to_numpy()[i], "v": second["id"].to_numpy()[j], "pair": own["pair"].iloc[0]})
 
     held = None
@@ -217,8 +162,14 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def title_pairs(titles: DataFrame, authors: DataFrame) -> DataFrame:
     """(u, v, pair): ids of ``titles`` (id, author, title, free, new) whose authors are an x and y of ``authors`` (pair, x, y), u's x and v's y, among which are
     all that score LEAST_TITLE; one of both is free, one new. An author's titles are dealt into blocks, and each two blocks meet in a task of their own."""
+
+    @F.pandas_udf("clean string, words string, form string")
+    def formed(column: pd.Series) -> pd.DataFrame:
+        return sieve.formed(column)
+
     kind = titles.groupBy("author", "free", "new").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    titles = cut(titles.join(kind.drop("size"), ["author", "free", "new"]).withColumn("block", F.pmod(F.xxhash64("title"), "blocks").cast("int")))
+    made = spread(titles).withColumn("made", formed("title")).select("id", "author", "title", "free", "new", "made.*")
+    titles = cut(made.join(kind.drop("size"), ["author", "free", "new"]).withColumn("block", F.pmod(F.xxhash64("title"), "blocks").cast("int")))
     kind = cut(kind.withColumn("kind", F.col("free").cast("int") * 2 + F.col("new").cast("int")))
     x, y = (kind.select(F.col("author").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("free", "new", "kind", "blocks", "size"))) for s in "xy")
     tasks = authors.select("pair", "x", "y").join(x, "x").join(y, "y").filter("(x_free or y_free) and (x_new or y_new) and (x <> y or x_kind <= y_kind)")
@@ -230,7 +181,7 @@ def title_pairs(titles: DataFrame, authors: DataFrame) -> DataFrame:
     def side(s: str, number: int) -> DataFrame:
         keys = [F.col(s).alias("author"), *(F.col(f"{s}_{c}").alias(c) for c in ("free", "new", "block"))]
         own = tasks if number == 0 else tasks.filter("not alone")
-        return own.select("task", "pair", "alone", *keys).join(titles, ["author", "free", "new", "block"]).select("task", "pair", "alone", F.lit(number).alias("side"), "id", "title")
+        return own.select("task", "pair", "alone", *keys).join(titles, ["author", "free", "new", "block"]).select("task", "pair", "alone", F.lit(number).alias("side"), "id", "clean", "words", "form")
 
     rows = side("x", 0).unionByName(side("y", 1))
     return spread(rows, "task").sortWithinPartitions("task").mapInPandas(_met, "u long, v long, pair string")
