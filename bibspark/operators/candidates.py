@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels, similarity, text
-from . import sieve
+from . import sieve, verify
 from .cluster import cut, spread
 
 LEAST_AUTHOR, LEAST_TITLE = 0.55, 0.40
 #: Weights of the title score: ratio, character pairs, character triples, words (fixed values; see kernels.combined).
 RATIO, PAIRS, TRIPLES, WORDS = 0.30, 0.25, 0.30, 0.15
 #: Titles of an author in a block, about.
-BLOCK = 1 << 12
+BLOCK = 1 << 13
 
 
 def author_keys(authors: DataFrame) -> DataFrame:
@@ -65,6 +65,15 @@ def author_pairs(books: DataFrame) -> DataFrame:
     return cut(scored.filter((F.col("x_y") >= LEAST_AUTHOR) | (F.col("y_x") >= LEAST_AUTHOR)).unionByName(own))
 
 
+def may_match(pairs: DataFrame, books: DataFrame) -> DataFrame:
+    """Author ``pairs`` whose books the verifier can match where there is no ISBN."""
+    names = books.groupBy("author").agg(*(F.first(c).alias(c) for c in ("author_clean", "author_form")))
+    for s, side in (("x", "a_"), ("y", "b_")):
+        pairs = pairs.join(names.select(F.col("author").alias(s), *(F.col(c).alias(side + c) for c in names.columns)), s)
+    pairs = cut(verify.may_match(pairs.withColumns({"a_isbn_normalized": F.lit(""), "b_isbn_normalized": F.lit("")}), "x_y", "y_x"))
+    return pairs.filter("may_match").select("x", "y", "x_y", "y_x")
+
+
 # ---------------------------------------------------------------- titles
 def entries(title: str) -> list[str]:
     """Index entries of a title: its character pairs (spaces left out, lower case) and its words."""
@@ -188,10 +197,10 @@ def title_pairs(titles: DataFrame, authors: DataFrame) -> DataFrame:
 
 
 def fuzzy_pairs(books: DataFrame, equal_isbns: bool = False, fresh: DataFrame | None = None) -> DataFrame:
-    """(a_ord, b_ord, author_ab): pairs of books, the earlier one as a, among which are all that score LEAST_AUTHOR and LEAST_TITLE and whose ISBNs
-    do not contradict each other; with ``equal_isbns`` those of equal ISBNs too, whatever their authors. Where ``fresh`` (ord) is given, only pairs
+    """(a_ord, b_ord, author_ab): pairs of books, the earlier one as a, among which are all that score LEAST_AUTHOR and LEAST_TITLE, whose authors
+    the verifier can match and whose ISBNs do not contradict each other; with ``equal_isbns`` those of equal ISBNs too, whatever their authors. Where ``fresh`` (ord) is given, only pairs
     with one of these books."""
-    pairs = cut(author_pairs(books).withColumn("pair", F.md5(F.concat(F.length("x").cast("string"), F.lit(":"), "x", "y"))))
+    pairs = cut(may_match(author_pairs(books), books).withColumn("pair", F.md5(F.concat(F.length("x").cast("string"), F.lit(":"), "x", "y"))))
     new = F.lit(True)
     own = books
     if fresh is not None:

@@ -13,9 +13,9 @@ import pandas as pd
 from ..functions import kernels
 
 #: Columns of the matrices of character pairs, triples and words: of the more frequent half of them each has an entry of its own.
-WIDTHS = (256, 512, 128)
+WIDTHS = (384, 512, 128)
 #: Rows and columns of a product; pairs whose subsequences are sought at once.
-ROWS, COLUMNS, AT_ONCE = 256, 1024, 1 << 14
+ROWS, COLUMNS, AT_ONCE = 512, 512, 1 << 14
 #: Letters told apart in subsequences; one more stands for the end.
 LETTERS = 255
 #: Weights of ratio, character pairs, triples, and words or ideographs in the title score (fixed values; see kernels.title, kernels.combined).

@@ -112,6 +112,13 @@ def verified(pairs: DataFrame, a: str = "a_", b: str = "b_", author_score: str =
     return out.drop("__known", "__odd", "__author", "__author_ok", "__title_ok", "__total", "__same")
 
 
+def may_match(pairs: DataFrame, author_ab: str = "author_ab", author_ba: str = "author_ba") -> DataFrame:
+    """``pairs`` plus ``may_match``: whether verified() can match the books in one of both orders, whatever their titles. A title score of 1 is the best case of each rule."""
+    best = verified(pairs.withColumn("__best", F.lit(1.0)), author_score=author_ab, title_score="__best").withColumn("__ab", F.col("verdict.is_same_book")).drop("verdict")
+    best = verified(best, "b_", "a_", author_ba, "__best").withColumn("may_match", F.col("__ab") | F.col("verdict.is_same_book"))
+    return best.drop("__best", "__ab", "verdict")
+
+
 def size_compatible(size_a: Column, size_b: Column, format_a: Column, format_b: Column, tolerance: float = 0.05) -> Column:
     gap = F.abs(size_a - size_b) / F.greatest(size_a, size_b)
     return (size_a == 0) | (size_b == 0) | (gap < 0.3) | (format_a != format_b) | (gap < tolerance)
