@@ -112,7 +112,7 @@ def normalize_general(text: Column, author: bool = False) -> Column:
             rest = F.filter(F.array(ideographs), lambda w: w != "")
         else:
             kept = F.regexp_extract_all(_without(ideographs, K.CJK_STOP_WORDS), F.lit(f"({CJK})"), F.lit(1))
-            rest = F.array_sort(F.filter(kept, lambda c: ~c.isin(K.CJK_STOP_CHARS)))
+            rest = F.when(ideographs == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.filter(kept, lambda c: ~c.isin(K.CJK_STOP_CHARS))))
         return F.array_join(F.concat(words, rest), " ")
 
     return let(fold(F.coalesce(text, F.lit(""))), form)

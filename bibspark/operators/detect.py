@@ -26,6 +26,8 @@ class MatchConfig:
 
 
 BOOK = ["ord", *quotient.OWN, "simhash", "file_size", "file_format"]
+#: What detection needs of books with fingerprints.
+NEEDED = [*BOOK, "title_author_key", "title_key"]
 #: Match types of the stages in order, with the prefixes of their group ids.
 STAGES = {
     "isbn_exact": "group_isbn_",
@@ -73,11 +75,20 @@ def _similar(scored: DataFrame, members: DataFrame, books: DataFrame, config: Ma
 
 
 def _by_titles(left: DataFrame, config: MatchConfig, key: str, need_author: bool) -> tuple[DataFrame, DataFrame]:
-    """(members, similarities) of books with an equal title key: verifier, then similarity."""
+    """(members, similarities) of books with an equal title key: verifier, then similarity. Titles are scored where the verifier can match the authors, and between
+    books that it has accepted; most books of an equal title have authors that settle it."""
     least = config.min_duplicate_size
     members = cut(_large(_keyed(left, F.col(key), F.col(key) != ""), least))
-    scored = _scored(left, members)
+    own = left.join(members.select("ord").distinct(), "ord", "left_semi")
+    pairs = cut(quotient.authors_scored(spread(quotient.node_pairs(quotient.bucket_nodes(members), quotient.nodes_of(own)))))
+    pairs = cut(verify.may_match(pairs))
+    scored = cut(quotient.titles_scored(spread(pairs.filter("may_match").drop("may_match"))))
     found = cut(_large(accepted(members, quotient.verified_arcs(scored)), least))
+    kept = found.select("bucket", "node").distinct()
+    others = pairs.filter("not may_match").drop("may_match")
+    for s in "ab":
+        others = others.join(kept.withColumnRenamed("node", f"{s}_node"), ["bucket", f"{s}_node"], "left_semi")
+    scored = scored.unionByName(cut(quotient.titles_scored(spread(others))))
     found = _similar(scored, found, left, config, least, True, need_author)
     return found, quotient.mean_similarity(scored, found, left)
 
@@ -148,7 +159,7 @@ def settled(kind: str, members: DataFrame, similar: DataFrame) -> tuple[DataFram
 
 def prepared(books: DataFrame) -> DataFrame:
     """What the stages need of books with fingerprints."""
-    return quotient.noded(cut(books.select(*BOOK, "title_author_key", "title_key")))
+    return quotient.noded(cut(books.select(*NEEDED)))
 
 
 def detect(books: DataFrame, config: MatchConfig = MatchConfig(), upto: str = "fuzzy_match") -> tuple[DataFrame, DataFrame]:

@@ -70,16 +70,36 @@ def node_pairs(held: DataFrame, nodes: DataFrame) -> DataFrame:
     return met
 
 
+def _unless_equal(kernel, a: str, b: str) -> Column:
+    """``kernel`` of two names; equal ones, which score 1, travel to Python as nulls."""
+    same = (F.col(a) == F.col(b)) & (F.col(a) != "")
+    return F.when(same, 1.0).otherwise(kernel(F.when(~same, F.col(a)), F.when(~same, F.col(b))))
+
+
+def _added(pairs: DataFrame, kinds: tuple[str, ...], way: str) -> DataFrame:
+    x, y = way
+    kernels = {"author": similarity.author, "title": similarity.title}
+    return pairs.withColumns({f"{k}_{way}": _unless_equal(kernels[k], f"{x}_{k}", f"{y}_{k}") for k in kinds})
+
+
 def forward(pairs: DataFrame) -> DataFrame:
     """Adds author_ab, title_ab: scores of a before b."""
-    c = F.col
-    return pairs.withColumns({"author_ab": similarity.author(c("a_author"), c("b_author")), "title_ab": similarity.title(c("a_title"), c("b_title"))})
+    return _added(pairs, ("author", "title"), "ab")
 
 
 def backward(pairs: DataFrame) -> DataFrame:
     """Adds author_ba, title_ba: scores of b before a; the ratio behind them is not symmetric."""
-    c = F.col
-    return pairs.withColumns({"author_ba": similarity.author(c("b_author"), c("a_author")), "title_ba": similarity.title(c("b_title"), c("a_title"))})
+    return _added(pairs, ("author", "title"), "ba")
+
+
+def authors_scored(pairs: DataFrame) -> DataFrame:
+    """Adds author_ab, author_ba."""
+    return _added(_added(pairs, ("author",), "ab"), ("author",), "ba")
+
+
+def titles_scored(pairs: DataFrame) -> DataFrame:
+    """Adds title_ab, title_ba."""
+    return _added(_added(pairs, ("title",), "ab"), ("title",), "ba")
 
 
 def verified_arcs(scored: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from bibspark.functions import kernels
-from bibspark.operators import candidates, sieve
+from bibspark.operators import candidates, detect, quotient, sieve, verify
 
 from .test_goldens import frame
 
@@ -78,3 +79,21 @@ def test_candidates_of_prose_are_few(spark):
     assert found >= {(i, 500 + i) for i in range(40) if kernels.title(titles[i], titles[500 + i]) >= 0.40}
     close = sum(kernels.title(titles[a], titles[b]) >= 0.40 for a, b in found)
     assert close >= 35 and len(found) < 2 * close, (close, len(found))
+
+
+def test_titles_of_one_form_are_scored_only_where_authors_leave_it_open(spark, monkeypatch):
+    """Titles of stop words have one form; before, each two of them were scored, whatever their authors."""
+    rng = random.Random(3)
+    titles = ["The the the", "the The the", "The The the", "the the The", "The the", "the the the the"]
+    authors = ["余华", "余华 著", "路遥", "路遥远", "鲁迅", "周树人", "Leo Tolstoy", "Leo N Tolstoy", "Alexei Tolstoy", "Jane Austen", "Victor Hugo", ""]
+    rows = [(i, rng.choice(titles), rng.choice(authors) if i else "余华", "", 0, rng.choice([0, 100, 900]), "epub") for i in range(90)]
+    left = detect.prepared(frame(spark, rows)).cache()
+    scored, titles_scored, may_match = [], quotient.titles_scored, verify.may_match
+    monkeypatch.setattr(quotient, "titles_scored", lambda pairs: scored.append(pairs.count()) or titles_scored(pairs))
+    found = []
+    for rule in (may_match, lambda pairs: pairs.withColumn("may_match", F.lit(True))):
+        monkeypatch.setattr(verify, "may_match", rule)
+        members, similar = detect.run_stage("title_with_author_check", left, detect.MatchConfig())
+        found.append(({tuple(r) for r in members.collect()}, {r["bucket"]: round(r["similarity"], 9) for r in similar.collect()}))
+    assert found[0] == found[1] and found[0][0]
+    assert sum(scored[:2]) < sum(scored[2:]) / 2, scored
