@@ -97,7 +97,7 @@ def ded00_members(spark: SparkSession, d: str) -> DataFrame:
 @query("ded00_increment")
 def ded00_increment(spark: SparkSession, d: str) -> DataFrame:
     """Groups after a fifth of the catalogue has been added to the rest; the same as those of one run over all."""
-    own = detect.cut(fingerprint.with_fingerprints(books(spark, d)))
+    own = detect.cut(fingerprint.with_fingerprints(books(spark, d)).select(*detect.NEEDED))
     state = increments.extended(increments.begun(own.filter("mod(ord, 5) <> 0")), own.filter("mod(ord, 5) = 0"))
     return state.groups()[0].withColumn("similarity", F.round("similarity", 6))
 
